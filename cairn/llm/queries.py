@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cairn.llm import secrets, sharding
+from cairn.llm import line_dedup, secrets, sharding
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op9_shards": sharding.op9_shards,
 }
 
 ORACLE_SQL = {
     "op2_secrets": secrets.OP2_SQL,
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op9_shards": sharding.OP9_SQL,
 }
