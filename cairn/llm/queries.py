@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cairn.llm import line_dedup, secrets, sharding
+from cairn.llm import line_dedup, secrets, sharding, substring_dedup
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op9_shards": sharding.op9_shards,
+    "op10_suffix_dedup": substring_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
