@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontaminate, language_id, line_dedup, packing, secrets, sharding, substring_dedup
+from cairn.llm import decontaminate, language_id, line_dedup, near_dedup, packing, secrets, sharding, substring_dedup
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language_id": language_id.op6_language_id,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_shards": sharding.op9_shards,
     "op10_suffix_dedup": substring_dedup.op10_suffix_dedup,
 }
