@@ -217,7 +217,6 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, carry: list[str] = ["d
     rows = docs.select(*carry, F.col("text").alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     schema = ", ".join([*fields, FOUND.format(benchmark.schema["item_id"].dataType.simpleString())])
-    kind = docs.sparkSession.createDataFrame([], schema)
     n = len(carry)
     out = None
     for block in _blocks(benchmark):
@@ -245,7 +244,21 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, carry: list[str] = ["d
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return kind if out is None else out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text holds no item (see find_benchmark)."""
+    at = docs.columns.index("text")
+    for block in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(block))
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not find_items(t or "", shared.value) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

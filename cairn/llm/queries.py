@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontaminate, language_id, line_dedup, near_dedup, packing, secrets, sharding, substring_dedup
+from cairn.llm import decontaminate, language_id, line_dedup, near_dedup, packing, secrets, sharding, substring_dedup, token_count, vector_dedup
 
 QUERIES = {
+    "op1_token_count": token_count.op1_token_count,
     "op2_secrets": secrets.op2_secrets,
     "op3_packing": packing.op3_packing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language_id": language_id.op6_language_id,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_vector_dedup": vector_dedup.op8_vector_dedup,
     "op9_shards": sharding.op9_shards,
     "op10_suffix_dedup": substring_dedup.op10_suffix_dedup,
 }
