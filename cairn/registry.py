@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
     def add(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
         if sql:
-            ORACLE_SQL[name] = f"WITH {SQL_VIEWS} {sql.strip()}"
+            ORACLE_SQL[name] = f"WITH {SQL_VIEWS.strip()} {sql.strip()}"
         return f
 
     return add
