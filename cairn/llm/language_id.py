@@ -63,50 +63,75 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language of words and of n-grams of each length."""
+    """Log frequencies by language of words and of n-grams of each length.
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
+    tables holds for each length (0: whole words) the items' rows and a matrix of one column a
+    language. Rows of unseen words are worked out once and remembered behind those of known ones.
+    """
+
+    def __init__(self, langs: list[str], tables: dict[int, tuple[dict[str, int], np.ndarray]]):
         self.langs, self.tables = langs, tables
-        self._seen: dict[str, np.ndarray | None] = {}
+        self._forget()
 
     def __reduce__(self):
         return Model, (self.langs, self.tables)
 
-    def score(self, word: str) -> np.ndarray | None:
-        """A log frequency for each language: the word's, or the mean of its longest known n-grams'."""
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        if word in self._seen:
-            return self._seen[word]
-        out = None
-        if _is_word(word):
-            out = np.zeros(len(self.langs))
-            for n in range(LONGEST, 0, -1):
-                found = [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]
-                if found:
-                    out = np.mean(found, axis=0)
-                    break
-        if len(self._seen) >= REMEMBERED:
-            self._seen.clear()
-        self._seen[word] = out
-        return out
+    def _forget(self) -> None:
+        self._rows, known = dict(self.tables[0][0]), self.tables[0][1]
+        self._used = len(known)
+        self._logs = np.concatenate((known, np.zeros((REMEMBERED, len(self.langs)))))
+        self._support = np.zeros_like(self._logs)
+        self._support[: self._used] = _shares(known)
+
+    def _row(self, word: str) -> int:
+        """The row of a word that was not met before; -1 if it has no letter.
+
+        An unseen word gets the mean of its longest known n-grams' rows, or evenness if it has none.
+        """
+        if not _is_word(word):
+            self._rows[word] = -1
+            return -1
+        if self._used == len(self._logs):
+            return -2
+        logs = np.zeros(len(self.langs))
+        for n in range(LONGEST, 0, -1):
+            items, matrix = self.tables[n]
+            found = [k for g in grams_of(word, n) if (k := items.get(g)) is not None]
+            if found:
+                logs = matrix[found].sum(axis=0) / len(found)
+                break
+        k = self._rows[word] = self._used
+        self._logs[k], self._support[k] = logs, _shares(logs[None])[0]
+        self._used += 1
+        return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language with the greatest sum over the words, and the words' mean support for it."""
         if not text or not self.langs:
             return UNKNOWN, 0.0
-        rows, times = [], []
-        for w, c in Counter(words_of(text)).items():
-            if (v := self.score(w)) is not None:
-                rows.append(v)
-                times.append(c)
-        if not rows:
+        if self._used > len(self._logs) - REMEMBERED // 2 or len(self._rows) > 2 * len(self._logs):
+            self._forget()
+        total, support, n = np.zeros(len(self.langs)), np.zeros(len(self.langs)), 0
+        counts = Counter(words_of(text))
+        words = list(counts)
+        for a in range(0, len(words), REMEMBERED // 2):
+            part = words[a : a + REMEMBERED // 2]
+            get, row = self._rows.get, self._row
+            at = np.fromiter((k if (k := get(w)) is not None else row(w) for w in part), np.int64, len(part))
+            c = np.fromiter((counts[w] for w in part), np.float64, len(part))
+            at, c = at[at >= 0], c[at >= 0]
+            total, support, n = total + c @ self._logs[at], support + c @ self._support[at], n + c.sum()
+            if len(words) > len(part):
+                self._forget()
+        if not n:
             return UNKNOWN, 0.0
-        m, c = np.array(rows), np.array(times, float)
-        best = int(np.argmax(c @ m))
-        e = np.exp(m - m.max(axis=1, keepdims=True))
-        return self.langs[best], float(c @ (e[:, best] / e.sum(axis=1)) / c.sum())
+        best = int(np.argmax(total))
+        return self.langs[best], float(support[best] / n)
+
+
+def _shares(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True)) if logs.size else logs
+    return e / e.sum(axis=1, keepdims=True) if logs.size else logs
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -125,7 +150,7 @@ def learn(docs: DataFrame, rows: int = ROWS, words: int = WORDS, grams: int = GR
     )
     totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not totals:
-        return Model([], {n: {} for n in range(LONGEST + 1)})
+        return Model([], {n: ({}, np.zeros((0, 0))) for n in range(LONGEST + 1)})
     share = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     sample = labelled.filter(place < F.element_at(share, F.col("lang")))
@@ -137,13 +162,18 @@ def learn(docs: DataFrame, rows: int = ROWS, words: int = WORDS, grams: int = GR
     )
     langs = sorted(totals)
     at = {k: i for i, k in enumerate(langs)}
-    raw: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
+    raw: dict[int, dict[str, dict[int, int]]] = {n: {} for n in range(LONGEST + 1)}
     for r in kept.select("lang", "n", "item", "c").toArrow().to_pylist():
-        raw[r["n"]].setdefault(r["item"], np.zeros(len(langs)))[at[r["lang"]]] = r["c"]
+        raw[r["n"]].setdefault(r["item"], {})[at[r["lang"]]] = r["c"]
     tables = {}
     for n, items in raw.items():
-        total = sum(items.values(), np.zeros(len(langs))) + 0.5 * len(items)
-        tables[n] = {k: np.log((v + 0.5) / total) for k, v in items.items()}
+        counts = np.zeros((len(items), len(langs)))
+        names = sorted(items)
+        for k, item in enumerate(names):
+            for lang, c in items[item].items():
+                counts[k, lang] = c
+        logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(items)))
+        tables[n] = ({item: k for k, item in enumerate(names)}, logs)
     return Model(langs, tables)
 
 
