@@ -82,12 +82,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
+    sizes = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_at"),
     )
     order = ["doc_id", "size", "text_crc32", "_at"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = scratch.keep(sizes, "sizes")  # ranges are sampled first: that reads this table twice, not the texts
     ranged = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
     placed = scratch.keep(assign_shards(ranged, "doc_id", n_shards), "placed")
     ranked = gapless_rank(placed, ["shard"], "_range", order, "slot")
