@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
+_MADE: list["Scratch"] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,11 +39,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        _MADE.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it again."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -52,6 +56,18 @@ class Scratch:
         for path in [f"{self.root}/{n}" for n in names] or [self.root]:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
+        self.names -= set(names or self.names)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Delete every table that the result does not read."""
+        if gone := self.names - set(names):
+            self.drop(*gone)
+
+
+def clear_scratch() -> None:
+    """Delete all tables of this process's operators, once their results have been written."""
+    while _MADE:
+        _MADE.pop().drop()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

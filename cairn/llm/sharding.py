@@ -91,6 +91,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     rows = scratch.keep(sizes, "sizes")  # ranges are sampled first: that reads this table twice, not the texts
     ranged = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
     placed = scratch.keep(assign_shards(ranged, "doc_id", n_shards), "placed")
+    scratch.drop_all_but("placed")
     ranked = gapless_rank(placed, ["shard"], "_range", order, "slot")
     return ranked.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"

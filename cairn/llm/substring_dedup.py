@@ -280,7 +280,7 @@ def dedup_substrings(docs: DataFrame, carry: list[str] = ["doc_id"], group_spans
     per_text = scratch.keep(
         cuts.unionByName(sure).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "z")).alias("_cuts")), "cuts"
     )
-    scratch.drop("repeated", "spans")
+    scratch.drop_all_but("cuts")
 
     rows = docs.select(*carry, text_bytes().alias("_text"), *key).join(per_text, ["k1", "k2"], "left").select(*carry, "_text", "_cuts")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields]
