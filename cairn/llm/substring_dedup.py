@@ -248,8 +248,9 @@ def dedup_substrings(docs: DataFrame, carry: list[str] = ["doc_id"], group_spans
         F.count(F.lit(1)).alias("total"), F.min("span").alias("_lo"), F.max("span").alias("_hi")
     )
     often = per_anchor.filter("total > 1").select("anchor", (F.col("_lo") == F.col("_hi")).alias("alike"))
+    often = scratch.keep(often, "often")  # both sides of the join are plain tables, so a hot anchor can be split
     repeated = scratch.keep(runs.join(often.hint("shuffle_hash"), "anchor"), "repeated")
-    scratch.drop("runs")
+    scratch.drop("runs", "often")
 
     place = F.struct("k1", "k2", "start", "n", "at")
     different = (
