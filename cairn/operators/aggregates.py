@@ -33,8 +33,8 @@ def health_score(g: Graph) -> DataFrame:
     return g.item().agg(((share(present("brand")) + share(F.col("weight_grams").isNotNull())) / 2).alias("score"))
 
 
-@query("agg_commonest_casing", """SELECT k, arg_max(status2, (n, status2)) AS spelling FROM (SELECT lower(s) AS k, s AS status2, count(*) AS n FROM (
-  SELECT CASE WHEN event_id % 3 = 0 THEN upper(status) ELSE status END AS s FROM work_event) GROUP BY 1, 2) GROUP BY k""".replace("arg_max(status2, (n, status2))", "max(struct_pack(n := n, s := status2)).s"))
+@query("agg_commonest_casing", """SELECT k, max(struct_pack(n := n, s := spelt)).s AS spelling FROM (SELECT lower(s) AS k, s AS spelt, count(*) AS n FROM (
+  SELECT CASE WHEN event_id % 3 = 0 THEN upper(status) ELSE status END AS s FROM work_event) GROUP BY 1, 2) GROUP BY k""")
 def commonest_casing(g: Graph) -> DataFrame:
     """The most frequent spelling of each case-folded value; of ties the last in code-point order."""
     s = F.when(F.col("event_id") % 3 == 0, F.upper("status")).otherwise(F.col("status"))
@@ -67,8 +67,8 @@ def rates(g: Graph) -> DataFrame:
     return g.work_event().groupBy("entity").agg(F.count(F.lit(1)).alias("n"), rate.alias("rate"))
 
 
-@query("agg_usage_cost", """SELECT sum(credits) AS credits, round(sum(credits) * 0.005::DOUBLE, 6) AS cost, round_even(count(*) FILTER (self) * 100.0::DOUBLE / count(*), 1) AS self_percent FROM (
-  SELECT CAST(CASE WHEN status = 'view' THEN 1 WHEN status = 'click' THEN 5 ELSE 0 END AS BIGINT) AS credits, status = 'error' AS self FROM work_event)""".replace("sum(credits) AS credits", "CAST(sum(credits) AS BIGINT) AS credits"))
+@query("agg_usage_cost", """SELECT CAST(sum(credits) AS BIGINT) AS credits, round(sum(credits) * 0.005::DOUBLE, 6) AS cost, round_even(count(*) FILTER (self) * 100.0::DOUBLE / count(*), 1) AS self_percent FROM (
+  SELECT CAST(CASE WHEN status = 'view' THEN 1 WHEN status = 'click' THEN 5 ELSE 0 END AS BIGINT) AS credits, status = 'error' AS self FROM work_event)""")
 def usage_cost(g: Graph) -> DataFrame:
     credits = F.when(F.col("status") == "view", 1).when(F.col("status") == "click", 5).otherwise(0).cast("long")
     rows = g.work_event().select(credits.alias("credits"), (F.col("status") == "error").alias("self"))
@@ -146,7 +146,8 @@ def ordered_distinct(g: Graph) -> DataFrame:
     return g.work_event().groupBy("entity", "status").agg(F.min("event_id").alias("first_id"))
 
 
-@query("win_lag_sessions", """SELECT entity, event_id, CAST(coalesce(date_diff('second', lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id), ts), 0) AS BIGINT) AS gap FROM work_event""".replace("date_diff('second', lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id), ts)", "epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id)))"))
+@query("win_lag_sessions", """SELECT entity, event_id, CAST(coalesce(epoch(date_trunc('second', ts))
+  - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id))), 0) AS BIGINT) AS gap FROM work_event""")
 def lag_sessions(g: Graph) -> DataFrame:
     """Seconds since the entity's last event."""
     w = Window.partitionBy("entity").orderBy("ts", "event_id")

@@ -40,10 +40,10 @@ def crawl_links(g: Graph) -> DataFrame:
     return links_of(g.page())
 
 
-@query("crawl_breadth_first", """, RECURSIVE_GUARD AS (SELECT 1), l AS (SELECT src_id AS src, dst_id AS dst FROM e_compared_to UNION ALL SELECT src_id, dst_id FROM e_pairs_with),
+@query("crawl_breadth_first", """, l AS (SELECT src_id AS src, dst_id AS dst FROM e_compared_to UNION ALL SELECT src_id, dst_id FROM e_pairs_with),
   d0 AS (SELECT 0 AS node), d1 AS (SELECT DISTINCT dst AS node FROM l WHERE src IN (SELECT node FROM d0)), d2 AS (SELECT DISTINCT dst AS node FROM l WHERE src IN (SELECT node FROM d1)),
   d3 AS (SELECT DISTINCT dst AS node FROM l WHERE src IN (SELECT node FROM d2))
-  SELECT node, min(depth) AS depth FROM (SELECT node, 0 AS depth FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2 UNION ALL SELECT node, 3 FROM d3) GROUP BY node""".replace("RECURSIVE_GUARD AS (SELECT 1), ", ""))
+  SELECT node, min(depth) AS depth FROM (SELECT node, 0 AS depth FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2 UNION ALL SELECT node, 3 FROM d3) GROUP BY node""")
 def crawl_breadth_first(g: Graph) -> DataFrame:
     """Items within three comparison or pairing links of item 0."""
     both = g.edge("COMPARED_TO").unionByName(g.edge("PAIRS_WITH")).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))

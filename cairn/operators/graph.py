@@ -227,8 +227,8 @@ def comparisons(g: Graph) -> DataFrame:
     return both.join(names.toDF("item_id", "item"), "item_id").join(names.toDF("other_id", "other"), "other_id")
 
 
-@query("compatibility_lists", """SELECT i.node_id, list_sort(list_distinct(list(b.name) FILTER (b.name IS NOT NULL))) AS pairs_with
-  FROM item i LEFT JOIN e_pairs_with e ON e.src_id = i.node_id LEFT JOIN item b ON b.node_id = e.dst_id WHERE i.node_id % 2 = 0 GROUP BY 1""".replace("list_sort(list_distinct(list(b.name) FILTER (b.name IS NOT NULL)))", "coalesce(string_agg(DISTINCT b.name, '; ' ORDER BY b.name), '')").replace("WHERE i.node_id % 2 = 0 ", ""))
+@query("compatibility_lists", """SELECT i.node_id, coalesce(string_agg(DISTINCT b.name, '; ' ORDER BY b.name), '') AS pairs_with
+  FROM item i LEFT JOIN e_pairs_with e ON e.src_id = i.node_id LEFT JOIN item b ON b.node_id = e.dst_id GROUP BY 1""")
 def compatibility_lists(g: Graph) -> DataFrame:
     """Names of compatible items as one list; items without any keep an empty one."""
     names = g.item().select(F.col("node_id").alias("dst_id"), F.col("name").alias("other"))

@@ -160,9 +160,9 @@ def glossary_with_relations(g: Graph) -> DataFrame:
     ).orderBy("term", "related_id").limit(100)
 
 
-@query("preset_brands_with_counts", """SELECT b.node_id, b.name AS brand, count(DISTINCT i.dst_id) AS gear_items, count(DISTINCT f.dst_id) AS product_families
+@query("preset_brands_with_counts", """SELECT b.node_id, b.name AS brand, count(DISTINCT i.dst_id) AS items, count(DISTINCT f.dst_id) AS product_families
   FROM brand b LEFT JOIN e_manufactures_item i ON i.src_id = b.node_id LEFT JOIN e_manufactures f ON f.src_id = b.node_id
-  GROUP BY 1, 2 ORDER BY gear_items DESC, brand, b.node_id LIMIT 50""".replace("gear_items", "items"))
+  GROUP BY 1, 2 ORDER BY items DESC, brand, b.node_id LIMIT 50""")
 def brands_with_counts(g: Graph) -> DataFrame:
     counted = branch_counts(g.brand().select("node_id", F.col("name").alias("brand")), {"items": g.edge("MANUFACTURES_ITEM"), "product_families": g.edge("MANUFACTURES")})
     return counted.orderBy(F.desc("items"), "brand", "node_id").limit(50)

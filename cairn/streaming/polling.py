@@ -69,10 +69,9 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 def latest_state(events: DataFrame, key: str = "entity", delay: str = "1 hour", window: str = "1 day") -> DataFrame:
     """The last status of each key by window; late events within the delay still count. Batch or streaming."""
-    w = F.window("ts", window)
-    return events.withWatermark("ts", delay).groupBy(w.alias("w"), key).agg(F.max_by("status", F.struct("ts", "event_id")).alias("state"), F.count(F.lit(1)).alias("n")) if events.isStreaming else (
-        events.groupBy(w.alias("w"), key).agg(F.max_by("status", F.struct("ts", "event_id")).alias("state"), F.count(F.lit(1)).alias("n"))
-    )
+    rows = events.withWatermark("ts", delay) if events.isStreaming else events
+    last = F.max_by("status", F.struct("ts", "event_id"))
+    return rows.groupBy(F.window("ts", window).alias("w"), key).agg(last.alias("state"), F.count(F.lit(1)).alias("n"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "entity") -> DataFrame:
