@@ -22,8 +22,8 @@ WORD = re.compile(r"\w+")
 SHINGLE, SIMILARITY, FAR, NEAR = 5, 0.8, 0.2, 0.1
 #: Samples of a text, and shingles in a sample.
 SAMPLES, KEPT = 24, 4
-#: Samples that two texts must share to be compared once their bucket's first texts are done.
-SHARED = 8
+#: Groups that a text's words are dealt to, whose parities bound the words that two texts differ in.
+GROUPS = 512
 #: Rounds in which buckets are compared with one text of theirs at a time.
 ROUNDS = 2
 #: Shingles hashed together, which bounds a task's memory on very long texts.
@@ -91,18 +91,29 @@ def samples_of(words: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bag_bits(words: np.ndarray) -> np.ndarray:
+    """A bit for each of GROUPS groups of words: whether it holds an odd number of the text's words.
+
+    Each word that one of two texts has beyond the other's turns one bit, so the bits that
+    differ are no more than those words.
+    """
+    count = np.bincount((words % _U(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        t, n, keys, raw = [], [], [], []
+        t, n, keys, raw, bag = [], [], [], [], []
         for text in b.column(1).to_pylist():
             w = word_hashes(text)
             t.append(xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None)
             n.append(len(w))
             keys.append(samples_of(w).tolist())
             raw.append((w >> _U(32)).astype("<u4").tobytes())
+            bag.append(bag_bits(w >> _U(32)).tolist())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(t, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(raw, pa.binary()), *b.columns[2:]],
-            ["doc_id", "t", "n", "keys", "words", *b.schema.names[2:]])
+            [b.column(0), pa.array(t, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(raw, pa.binary()), pa.array(bag, pa.list_(pa.int64())), *b.columns[2:]],
+            ["doc_id", "t", "n", "keys", "words", "bag", *b.schema.names[2:]])
 
 
 def shingle_similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -154,17 +165,17 @@ def find_near_duplicates(docs: DataFrame, carry: list[str] = []) -> DataFrame:
 
     Texts that share a sample form a bucket. A bucket is first compared with one text of its
     own, ROUNDS times with another one, so a large group of near copies costs one comparison
-    each; texts which that leaves apart are then compared among each other if they share at
-    least SHARED samples and their lengths allow it, each pair once. No bucket has a cap, none is gathered in
+    each; texts which that leaves apart are then compared with the others of their buckets, unless
+    lengths or word parities (bag_bits) show that more than FAR of the words differ. No bucket has a cap, none is gathered in
     a task, and pairs already connected are not compared again.
     """
     scratch = Scratch(docs.sparkSession, "near")
     kind = docs.schema["doc_id"].dataType.simpleString()
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    schema = f"doc_id {kind}, t binary, n int, keys array<long>, words binary{extra}"
+    schema = f"doc_id {kind}, t binary, n int, keys array<long>, words binary, bag array<long>{extra}"
     rows = scratch.keep(docs.select("doc_id", "text", *carry).mapInArrow(_sketch, schema), "rows")
     texts = scratch.keep(
-        rows.filter("n >= 5").groupBy("t").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "texts"
+        rows.filter("n >= 5").groupBy("t").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bag").alias("bag")), "texts"
     )
     keyed = texts.select("t", F.posexplode("keys").alias("e", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key")
@@ -191,15 +202,15 @@ def find_near_duplicates(docs: DataFrame, carry: list[str] = []) -> DataFrame:
     left = _labelled(members, labels)
     done = _labelled(leaders, labels).select("key", "label").distinct()
     apart = scratch.keep(left.join(done, ["key", "label"], "left_anti"), "apart")
-    facts = texts.select("t", "n", *_fields())
-    one = apart.join(facts, "t").select("key", *[F.col(c).alias(f"{c}1") for c in ("t", "label", "n", *FIELDS)])
+    facts = texts.select("t", "n", *[F.col("bag")[i].alias(c) for i, c in enumerate(BAG)])
+    one = apart.join(facts, "t").select("key", *[F.col(c).alias(f"{c}1") for c in ("t", "label", "n", *BAG)])
     two = left.join(apart.select("key").distinct(), "key", "left_semi").join(facts, "t")
-    two = two.select("key", "e", *[F.col(c).alias(f"{c}2") for c in ("t", "label", "n", *FIELDS)])
-    equal = [_equal_fields(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in FIELDS]
-    before = [x.bitwiseAND(_below(F.col("e"), i)) for i, x in enumerate(equal)]
+    two = two.select("key", *[F.col(c).alias(f"{c}2") for c in ("t", "label", "n", *BAG)])
+    turned = reduce(Column.__add__, [F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in BAG])
+    longer = F.greatest("n1", "n2")
     near = (
-        (F.col("label1") != F.col("label2")) & (F.least("n1", "n2") >= (1 - FAR) * F.greatest("n1", "n2"))
-        & (reduce(Column.__add__, map(F.bit_count, equal)) >= SHARED) & (reduce(Column.bitwiseOR, before) == 0)
+        (F.col("label1") != F.col("label2")) & (F.least("n1", "n2") >= (1 - FAR) * longer - 1e-6)
+        & (turned + F.abs(F.col("n1") - F.col("n2")) <= 2 * FAR * longer + 1e-6)
     )
     rest = one.join(two, "key").filter(near).select(
         F.least("t1", "t2").alias("a"), F.greatest("t1", "t2").alias("b"), F.least("label1", "label2").alias("la"), F.greatest("label1", "label2").alias("lb")
@@ -228,29 +239,7 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(named, "t", "left").withColumn("label", F.coalesce("_label", "t")).drop("_label")
 
 
-#: A text's samples as fields of FIELD_BITS bits, three to a number: what two texts share is counted in
-#: a few integer operations. Fields of different samples agree by chance once in a million times.
-FIELD_BITS = 20
-FIELDS = [f"f{i}" for i in range(SAMPLES // 3)]
-_ONES = sum(1 << (FIELD_BITS * j) for j in range(3))
-_TOP, _REST = _ONES << (FIELD_BITS - 1), _ONES * ((1 << (FIELD_BITS - 1)) - 1)
-
-
-def _fields() -> list[Column]:
-    low = lambda k: F.col("keys")[k].bitwiseAND((1 << FIELD_BITS) - 1)
-    pack = lambda i: reduce(Column.bitwiseOR, [F.shiftleft(low(3 * i + j), FIELD_BITS * j) for j in range(3)])
-    return [pack(i).alias(c) for i, c in enumerate(FIELDS)]
-
-
-def _equal_fields(x: Column) -> Column:
-    """The top bit of each field that is 0 in x."""
-    return F.bitwise_not(((x.bitwiseAND(_REST)) + _REST).bitwiseOR(x)).bitwiseAND(_TOP)
-
-
-def _below(e: Column, i: int) -> Column:
-    """The top bits of the fields of number i that stand for samples before e."""
-    tops = [sum(1 << (FIELD_BITS * j + FIELD_BITS - 1) for j in range(k)) for k in range(4)]
-    return F.when(e <= 3 * i, tops[0]).when(e == 3 * i + 1, tops[1]).when(e == 3 * i + 2, tops[2]).otherwise(tops[3])
+BAG = [f"g{i}" for i in range(GROUPS // 64)]
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
