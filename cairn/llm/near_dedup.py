@@ -165,7 +165,7 @@ def find_near_duplicates(docs: DataFrame, carry: list[str] = []) -> DataFrame:
 
     Texts that share a sample form a bucket. A bucket is first compared with one text of its
     own, ROUNDS times with another one, so a large group of near copies costs one comparison
-    each; texts which that leaves apart are then compared with the others of their buckets, unless
+    each; then all texts of a bucket that lie in different classes are compared, unless
     lengths or word parities (bag_bits) show that more than FAR of the words differ. No bucket has a cap, none is gathered in
     a task, and pairs already connected are not compared again.
     """
@@ -189,10 +189,9 @@ def find_near_duplicates(docs: DataFrame, carry: list[str] = []) -> DataFrame:
         both = pairs.join(one, "a").join(two, "b").select(*ends, "wa", "wb")
         return scratch.keep(both.mapInArrow(_distances, "a binary, b binary, similar boolean"), name)
 
-    links, leaders, open_ = None, None, members.select("key", "t")
+    links, open_ = None, members.select("key", "t")
     for k in range(ROUNDS):
         lead = scratch.keep(open_.groupBy("key").agg(F.min("t").alias("b")), f"lead{k}")
-        leaders = lead.toDF("key", "t") if leaders is None else leaders.unionByName(lead.toDF("key", "t"))
         pairs = open_.withColumnRenamed("t", "a").join(lead, "key").filter("a != b")
         found = compared(pairs.select("a", "b").distinct(), f"pairs{k}").filter("similar").select("a", "b")
         links = found if links is None else links.unionByName(found)
@@ -200,16 +199,17 @@ def find_near_duplicates(docs: DataFrame, carry: list[str] = []) -> DataFrame:
             open_ = scratch.keep(pairs.join(found, ["a", "b"], "left_anti").select("key", F.col("a").alias("t")), f"open{k}")
     labels = scratch.keep(connected_components(links, scratch, "cc0"), "labels")
     left = _labelled(members, labels)
-    done = _labelled(leaders, labels).select("key", "label").distinct()
-    apart = scratch.keep(left.join(done, ["key", "label"], "left_anti"), "apart")
+    sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_c"))
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("_c", "label")).alias("main"))
+    apart = scratch.keep(left.join(main, "key").filter("label != main").select("key", "t", "label", "main"), "apart")
     facts = texts.select("t", "n", *[F.col("bag")[i].alias(c) for i, c in enumerate(BAG)])
-    one = apart.join(facts, "t").select("key", *[F.col(c).alias(f"{c}1") for c in ("t", "label", "n", *BAG)])
+    one = apart.join(facts, "t").select("key", "main", *[F.col(c).alias(f"{c}1") for c in ("t", "label", "n", *BAG)])
     two = left.join(apart.select("key").distinct(), "key", "left_semi").join(facts, "t")
     two = two.select("key", *[F.col(c).alias(f"{c}2") for c in ("t", "label", "n", *BAG)])
     turned = reduce(Column.__add__, [F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in BAG])
     longer = F.greatest("n1", "n2")
     near = (
-        (F.col("label1") != F.col("label2")) & (F.least("n1", "n2") >= (1 - FAR) * longer - 1e-6)
+        (F.col("label1") != F.col("label2")) & ((F.col("t1") < F.col("t2")) | (F.col("label2") == F.col("main"))) & (F.least("n1", "n2") >= (1 - FAR) * longer - 1e-6)
         & (turned + F.abs(F.col("n1") - F.col("n2")) <= 2 * FAR * longer + 1e-6)
     )
     rest = one.join(two, "key").filter(near).select(

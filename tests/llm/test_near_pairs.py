@@ -62,6 +62,15 @@ def test_pair_with_few_shared_samples_behind_other_leaders(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_link_between_two_led_classes(spark):
+    rng = np.random.default_rng(2)
+    x, y, keep = _pair(rng)
+    one = _edited(rng, x, 25, keep, min(_digest(x), _digest(y)))
+    two = _edited(rng, y, 25, keep, min(_digest(x), _digest(y)))
+    assert _near(x, one) and _near(y, two) and not (_near(x, two) or _near(y, one) or _near(one, two))
+    assert set(_classes(spark, [x, y, one, two]).values()) == {0}
+
+
 def test_parities_bound_the_words_that_differ():
     rng = np.random.default_rng(3)
     for _ in range(300):
