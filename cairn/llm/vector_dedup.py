@@ -17,8 +17,8 @@ from cairn.llm.components import connected_components
 THRESHOLD = 0.98
 #: Neighbours in a list, random orders that the first lists come from, rows of an order looked at together.
 LIST, ORDERS, SPAN = 10, 6, 96
-#: Rounds at most, and the share of new list entries below which they end.
-ROUNDS, SETTLED = 6, 0.002
+#: The share of new list entries below which rounds end.
+SETTLED = 0.002
 #: Vectors of a component that are multiplied with as many others at once.
 BLOCK = 256
 #: Query vectors that one pass of the audit compares with all rows.
@@ -67,13 +67,32 @@ def _projected(double: bool):
     return run
 
 
+def _linked(t: list[bytes], cos: np.ndarray) -> Iterator[tuple[bytes, bytes, None]]:
+    """Each vector with the first one that links of these vectors connect it to."""
+    hit, first = cos >= THRESHOLD, np.arange(len(t))
+    np.fill_diagonal(hit, True)
+    while True:
+        low = np.where(hit, first[None, :], len(t)).min(axis=1)
+        if (low == first).all():
+            break
+        first = low
+    for i in np.flatnonzero(first < np.arange(len(t))).tolist():
+        yield t[i], t[first[i]], None
+
+
+def _strange(home: list) -> np.ndarray:
+    """Which pairs lie in different components; those of no component are all different."""
+    h = np.array([x or b"" for x in home], object)
+    return (h[:, None] != h[None, :]) | (h == b"")[:, None]
+
+
 def _best_of(t: list[bytes], cos: np.ndarray, k: int) -> Iterator[tuple[bytes, bytes, float]]:
     np.fill_diagonal(cos, -2)
     n = len(t)
     top = np.argpartition(-cos, min(k, n - 1) - 1, axis=1)[:, :k] if n > 1 else np.zeros((n, 0), int)
     for i in range(n):
         for j in top[i].tolist():
-            if j != i:
+            if cos[i, j] > -2:
                 yield t[i], t[j], float(cos[i, j])
 
 
@@ -94,10 +113,13 @@ def _first_lists(double: bool):
 
         def look(part: list[tuple]) -> pa.RecordBatch:
             u = _unit([x[2] for x in part], double)
-            return _edge_batch(list(_best_of([x[0] for x in part], u @ u.T, LIST)))
+            t, cos = [x[0] for x in part], u @ u.T
+            links = list(_linked(t, cos))
+            cos[~_strange([x[3] for x in part])] = -2
+            return _edge_batch(list(_best_of(t, cos, LIST)) + links)
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("t", "grp", "v")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("t", "grp", "v", "home")), strict=True):
                 if held and held[-1][1] != row[1]:
                     if len(held) > 1:
                         yield look(held)
@@ -115,7 +137,7 @@ def _first_lists(double: bool):
 def _local_join(double: bool):
     """Pairs among the neighbours of one vector that would improve the list of one of them.
 
-    Rows (c, t, v, kth, fresh) come sorted by c. Two neighbours are compared if one of them is
+    Rows (c, t, v, kth, fresh, home) come sorted by c; pairs of one home improve no list. Two neighbours are compared if one of them is
     new to the list.
     """
 
@@ -128,13 +150,13 @@ def _local_join(double: bool):
                 return []
             u, kth = _unit([x[2] for x in part], double), np.array([x[3] for x in part])
             cos = u @ u.T
-            want = (cos > kth[:, None] + 1e-12) & (fresh[:, None] | fresh[None, :])
+            want = (cos > kth[:, None] + 1e-12) & (fresh[:, None] | fresh[None, :]) & _strange([x[5] for x in part])
             np.fill_diagonal(want, False)
-            return [(part[i][1], part[j][1], float(cos[i, j])) for i, j in np.argwhere(want).tolist()]
+            return list(_linked([x[1] for x in part], cos)) + [(part[i][1], part[j][1], float(cos[i, j])) for i, j in np.argwhere(want).tolist()]
 
         for b in batches:
             out: list[tuple] = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("c", "t", "v", "kth", "fresh")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("c", "t", "v", "kth", "fresh", "home")), strict=True):
                 if held and held[-1][0] != row[0]:
                     out += look(held)
                     held = []
@@ -169,8 +191,11 @@ def _prepared(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return rows, scratch.keep(nodes, "nodes"), double
 
 
-def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch) -> DataFrame:
-    """The LIST best neighbours found of each node: a, b, cos.
+def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch, name: str = "") -> tuple[DataFrame, DataFrame]:
+    """The LIST best neighbours found of each node outside its home, as a, b, cos; links that were met, as a, b.
+
+    The links connect what pairs of THRESHOLD or more among the vectors met together connect,
+    lists or not.
 
     First lists come from neighbours in a few random orders, cut into ranges of any number of
     tasks. Then each round lets the neighbours of a node, either way, meet each other.
@@ -178,10 +203,10 @@ def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch) -> DataFra
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(parts, nodes.count() // (4 * SPAN)))  # a range holds several spans, or few rows would have no neighbours
-    placed = nodes.select("t", "grp", "v").mapInArrow(_projected(double), "t binary, grp string, v binary, places array<double>")
+    placed = nodes.select("t", "grp", "v", "home").mapInArrow(_projected(double), "t binary, grp string, v binary, home binary, places array<double>")
     found = None
     for o in range(ORDERS):
-        ordered = placed.select("t", "grp", "v", F.col("places")[o].alias("place"))
+        ordered = placed.select("t", "grp", "v", "home", F.col("places")[o].alias("place"))
         ordered = ordered.repartitionByRange(ranges, "grp", "place", "t").sortWithinPartitions("grp", "place", "t")
         edges = ordered.mapInArrow(_first_lists(double), EDGES)
         found = edges if found is None else found.unionByName(edges)
@@ -191,23 +216,31 @@ def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch) -> DataFra
         known = edges.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh"))
         return scratch.keep(known.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LIST), name)
 
-    lists = cut(found.withColumn("fresh", F.lit(True)), "lists0")
-    for k in range(1, ROUNDS + 1):
+    found = scratch.keep(found, f"{name}met0")
+    met_links = found.filter("cos IS NULL").select("a", "b")
+    lists = cut(found.filter("cos IS NOT NULL").withColumn("fresh", F.lit(True)), f"{name}lists0")
+    k = 0
+    while True:
+        k += 1
         kth = lists.groupBy("a").agg(F.when(F.count(F.lit(1)) >= LIST, F.min("cos")).otherwise(-2.0).alias("kth"))
         back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos", "fresh")
         back = back.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LIST)
         near = lists.unionByName(back).groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
         active = near.groupBy("a").agg(F.max("fresh").alias("any")).filter("any").select("a")
         near = near.join(active, "a", "left_semi").select(F.col("a").alias("c"), F.col("b").alias("t"), "fresh")
-        met = near.join(nodes.select("t", "v").join(kth.withColumnRenamed("a", "t"), "t"), "t").select("c", "t", "v", "kth", "fresh")
+        met = near.join(nodes.select("t", "v", "home").join(kth.withColumnRenamed("a", "t"), "t"), "t").select("c", "t", "v", "kth", "fresh", "home")
         new = met.repartition(parts, "c").sortWithinPartitions("c").mapInArrow(_local_join(double), EDGES)
+        new = scratch.keep(new, f"{name}met{k}")
+        met_links = met_links.unionByName(new.filter("cos IS NULL").select("a", "b"))
+        new = new.filter("cos IS NOT NULL")
         both = lists.withColumn("fresh", F.lit(False)).select("a", "b", "cos", "fresh").unionByName(new.withColumn("fresh", F.lit(True)))
-        lists = cut(both, f"lists{k}")
-        scratch.drop(f"lists{k - 1}")
+        lists = cut(both, f"{name}lists{k}")
+        scratch.drop(f"{name}lists{k - 1}")
         n, fresh = lists.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
         if fresh <= SETTLED * n:
             break
-    return lists.select("a", "b", "cos")
+    links = lists.filter(F.col("cos") >= THRESHOLD).select("a", "b").unionByName(met_links).distinct()
+    return lists.select("a", "b", "cos"), scratch.keep(links, f"{name}links")
 
 
 def link_vectors(vectors: DataFrame) -> DataFrame:
@@ -220,17 +253,33 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     empty table gives an empty result.
 
     NN-descent finds links; lists hold LIST neighbours. A list whose last neighbour still links
-    is saturated. Lists inside a component are therefore enlarged to the whole component: its
+    is saturated: saturated vectors search again for neighbours outside their component, until
+    that joins no more components. Lists inside a component are enlarged to the whole component: its
     vectors are multiplied block by block, and each block pair returns one count a vector, so
     links are exact among all vectors that any found link connects, and no pair is written.
     audit_recall() measures what the search misses.
     """
     scratch = Scratch(vectors.sparkSession, "vectors")
     rows, nodes, double = _prepared(vectors, scratch)
-    lists = neighbour_lists(nodes, double, scratch)
-    links = scratch.keep(lists.filter(F.col("cos") >= THRESHOLD).select("a", "b"), "links")
-    labels = scratch.keep(connected_components(links, scratch, "cc"), "labels")
-    scratch.drop_all_but("rows", "nodes", "labels")
+    lists, links = neighbour_lists(nodes.withColumn("home", F.lit(None).cast("binary")), double, scratch)
+    full = lists.groupBy(F.col("a").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("last"))
+    full = scratch.keep(full.filter((F.col("n") >= LIST) & (F.col("last") >= THRESHOLD)).select("t"), "full")
+    labels, k = scratch.keep(connected_components(links, scratch, "cc"), "labels0"), 0
+    while True:
+        homes = labels.select(F.col("node").alias("t"), F.col("label").alias("home"))
+        crowded = scratch.keep(nodes.join(full, "t", "left_semi").join(homes, "t"), f"crowded{k}")
+        several = crowded.groupBy("grp").agg(F.countDistinct("home").alias("n")).filter("n > 1").select("grp")
+        crowded = crowded.join(several, "grp", "left_semi")
+        if crowded.isEmpty():
+            break
+        more = neighbour_lists(crowded, double, scratch, f"again{k}-")[1]
+        one, two = (homes.toDF(c, f"h{c}") for c in "ab")
+        if more.join(one, "a").join(two, "b").filter("ha != hb").isEmpty():
+            break
+        k += 1
+        links = links.unionByName(more)
+        labels = scratch.keep(connected_components(links, scratch, f"cc{k}-"), f"labels{k}")
+    scratch.drop_all_but("rows", "nodes", f"labels{k}")
     sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = labels.withColumnRenamed("node", "t").join(sizes, "label").join(nodes, "t")
     placed = placed.withColumn("k", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
