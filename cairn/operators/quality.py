@@ -99,17 +99,35 @@ def scan_redundant_brands(g: Graph) -> DataFrame:
 
 
 def scan_transcription(g: Graph) -> DataFrame:
-    """Names heard wrong: the first rule whose wrong form stands in the brand, unless the right form is there already."""
-    rows = messy_brands(g).filter("brand IS NOT NULL").select("node_id", "brand")
+    """Names and brands heard wrong: the first rule whose wrong form stands in one as a word or begins it,
+    unless the right form is there already."""
+    both = F.explode(F.array("name", "brand")).alias("value")
+    rows = messy_brands(g).select("node_id", both).filter("value IS NOT NULL")
     tests = []
     for wrong, right in rules.TRANSCRIPTION_ERRORS.items():
-        low = F.lower("brand")
+        low = F.lower("value")
         whole, word = low == wrong.lower(), low.rlike(rf"\b{wrong.lower()}\b")
         there = F.contains(low, F.lit(right.lower()))
         made = lambda c: F.struct(F.lit(right).alias("to"), F.lit(c).alias("c"))  # noqa: B023, E731
-        tests.append(F.when(F.lit(wrong != right) & ~there, F.when(whole, made(0.95)).when(word, made(0.90))))
+        tests.append(F.when(F.lit(wrong != right) & ~there, F.when(whole, made(0.95)).when(word, made(0.90)).when(F.startswith(low, F.lit(wrong.lower())), made(0.75))))
     found = rows.withColumn("fix", F.coalesce(*tests)).filter("fix IS NOT NULL")
-    return issue(found, "typo", F.col("node_id"), F.col("brand"), F.col("fix.c"), F.col("fix.to"))
+    return issue(found, "typo", F.col("node_id"), F.col("value"), F.col("fix.c"), F.col("fix.to"))
+
+
+def scan_duplicates(g: Graph) -> DataFrame:
+    """Pairs of items of one brand with similar or equal names: the less complete one is to merge into the other."""
+    from cairn.functions import fuzzy
+    from cairn.operators.duplicates import pairs_within_brand
+
+    filled = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in ("name", "brand", "weight_grams", "price_usd")])
+    items = g.item().filter("name IS NOT NULL").select(F.lower(F.coalesce("brand", F.lit("unknown"))).alias("brand"), F.lower("name").alias("low"), F.struct((-filled).alias("lack"), F.col("brand").alias("own"), "name", "node_id").alias("it"))
+    same = items.groupBy("brand", F.col("low").alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    equal = same.select("brand", "name", F.col("name").alias("other"), fuzzy.scored(fuzzy.in_brand, F.col("name"), F.col("name")).alias("similarity")).filter("similarity >= 85")
+    pairs = pairs_within_brand(g).select("brand", "name", "other", "similarity").unionByName(equal)
+    one, two = items.toDF("brand", "name", "x"), items.toDF("brand", "other", "y")
+    both = pairs.join(one, ["brand", "name"]).join(two, ["brand", "other"]).filter("name <> other OR x.node_id < y.node_id")
+    both = both.select("similarity", F.least("x", "y").alias("canonical"), F.greatest("x", "y").alias("duplicate"))
+    return issue(both, "duplicate_merge", F.col("duplicate.node_id"), F.col("duplicate.name"), F.col("similarity") / 100, F.col("canonical.node_id").cast("string"))
 
 
 def messy_brands(g: Graph) -> DataFrame:
@@ -124,7 +142,7 @@ _MESSY = """SELECT node_id, name, CASE WHEN node_id % 3 = 0 THEN ['zpacks', 'Dow
 _FORMS = "map {" + ", ".join(f"'{k.replace(chr(39), chr(39) * 2)}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in rules.CANONICAL_BRANDS.items()) + "}"
 _HOLDS = " OR ".join(f"(contains(low, '{k}') AND length(low) > {len(k)})" for k in rules.BRAND_KEYWORDS) + " OR " + " OR ".join(f"starts_with(low, '{k}')" for k in rules.BRAND_STARTS)
 
-SCANNERS = [scan_incomplete, scan_orphan_brands, scan_orphan_insights, scan_orphan_families, scan_brand_forms, scan_invalid_brands, scan_redundant_brands, scan_transcription]
+SCANNERS = [scan_incomplete, scan_orphan_brands, scan_orphan_insights, scan_orphan_families, scan_brand_forms, scan_invalid_brands, scan_redundant_brands, scan_transcription, scan_duplicates]
 
 
 def full_scan(g: Graph) -> DataFrame:
