@@ -1,7 +1,7 @@
 """Duplicate detection: probes, pairs within a brand, leader clusters and vocabulary matches.
 
-Pairs are pairs of different names: items with one name are one node, so copies never
-multiply. Candidates come from equi-joins on tokens or brands.
+Pairs are pairs of different names; for clusters, of different names and brands: equal items
+are one node, so copies never multiply. Candidates come from equi-joins on tokens or brands.
 """
 
 from __future__ import annotations
@@ -67,11 +67,15 @@ def dup_probe(g: Graph) -> DataFrame:
     return probe(g, "red widget", "Brand#17").select("node_id", "name", "brand", F.round("similarity", 6).alias("similarity"), band.alias("band"))
 
 
-def token_neighbours(names: DataFrame, least: int = 2) -> DataFrame:
-    """a, b: different names with least or more common tokens, from an inverted index of the tokens."""
-    tokens = names.select("name", F.explode(name_tokens("name")).alias("token"))
-    pairs = tokens.toDF("a", "token").join(tokens.toDF("b", "token"), "token").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("a", "b")
+def token_neighbours(nodes: DataFrame, least: int = 2) -> DataFrame:
+    """a, b: keys of nodes (key, name, brand) with least or more common tokens, or with one and the
+    same non-empty brand, from inverted indexes of the tokens."""
+    tokens = nodes.select("key", "brand", F.explode(name_tokens("name")).alias("token"))
+    one, two = tokens.toDF("a", "brand", "token"), tokens.toDF("b", "brand", "token")
+    pairs = one.drop("brand").join(two.drop("brand"), "token").filter("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("a", "b")
+    branded = one.filter("brand <> ''").join(two, ["brand", "token"]).filter("a < b").select("a", "b")
+    return pairs.unionByName(branded).distinct()
 
 
 def leader_clusters(names: DataFrame, pairs: DataFrame, keep) -> DataFrame:
@@ -102,11 +106,21 @@ def leader_clusters(names: DataFrame, pairs: DataFrame, keep) -> DataFrame:
 
 @query("dup_leader_clusters")
 def dup_leader_clusters(g: Graph) -> DataFrame:
-    """Clusters of names by common tokens, with what to do with them."""
-    names = g.item().filter("name IS NOT NULL").select("name").distinct()
+    """Clusters of items by common tokens and brands, with what to do with them.
+
+    Items of one name and brand are one node, counted as often as it occurs. Copies of a leader
+    are members only if its tokens are enough to match it with itself.
+    """
+    brand = F.lower(F.coalesce("brand", F.lit("")))
+    nodes = g.item().filter("name IS NOT NULL").groupBy("name", brand.alias("brand")).agg(F.count(F.lit(1)).alias("copies"))
     keep = keeper(g.spark)
-    clusters = leader_clusters(names, keep(token_neighbours(names), "pairs"), keep)
-    n = clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    nodes = keep(nodes.withColumn("key", F.concat("name", F.lit("\0"), "brand")), "nodes")
+    clusters = leader_clusters(nodes.select(F.col("key").alias("name")), keep(token_neighbours(nodes), "pairs"), keep)
+    found = clusters.toDF("key", "leads").join(nodes, "key")
+    itself = F.size(name_tokens("name")) >= F.when(F.col("brand") != "", 1).otherwise(2)
+    members = F.when((F.col("key") == F.col("leads")) & ~itself, 1).otherwise(F.col("copies"))
+    n = found.groupBy("leads").agg(F.sum(members).alias("members"), F.max(F.when(F.col("key") == F.col("leads"), F.col("name"))).alias("leader"))
+    n = n.filter("members > 1")
     return n.select("leader", "members", F.when(F.col("members") <= 3, "merge").otherwise("review").alias("advice"))
 
 
