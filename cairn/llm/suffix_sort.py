@@ -1,4 +1,5 @@
-"""Deep-shallow sorting of many short strings: multikey quicksort first, blind tries for the rest."""
+"""Deep-shallow sorting of many short strings: one lexsort of the first SHALLOW bytes in place of
+multikey quicksort, blind tries for the rest."""
 
 from __future__ import annotations
 
