@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ GRAM = 32  # bytes of an anchor
 REACH = WIDTH - GRAM  # anchors are minima over the REACH + 1 grams of a string
 #: Windows looked at together within one text, and low bits of a gram's hash that hold its place.
 CHUNK, PLACE_BITS = 1 << 20, 21
-#: Spans of one anchor that one task sorts; windows of an anchor with more meet by their hashes.
+#: Different spans of a group that are sorted together; a larger group is split by more of the bytes around its anchor.
 GROUP_SPANS = 2000
 #: Spans that one call sorts.
 SORT_SPANS = 20_000
@@ -59,17 +60,14 @@ def _sums(raw: np.ndarray) -> np.ndarray:
     return s
 
 
-def _hashes(s: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return _mix((s[stop] - s[start]) * _POW[start])
-
-
 def window_runs(raw: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring windows that share an anchor, for a text of at least WIDTH bytes.
 
     The anchor of a window is its GRAM with the least hash, the leftmost of equals, so equal
     windows have equal anchors at equal places in them. Returns for each run the anchor's hash,
-    the hash of all bytes that its windows cover (with their number and the anchor's place),
-    the first window's start, the number of windows, and the anchor's distance from that start.
+    an independent hash of all bytes that its windows cover (with their number and the anchor's
+    place), the first window's start, the number of windows, and the anchor's distance from that
+    start.
     """
     s = _sums(raw)
     n = len(raw)
@@ -86,8 +84,10 @@ def window_runs(raw: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
     count = np.diff(np.concatenate((first, [len(anchor)])))
     at = anchor[first] - first
-    span = _hashes(s, first, first + count - 1 + WIDTH) ^ _mix((count * (1 << 10) + at).astype(np.uint64) * _U(BASE))
-    return grams[anchor[first]].view(np.int64), span.view(np.int64), first, count, at
+    whole = raw.tobytes()
+    stop, seed = (first + count - 1 + WIDTH).tolist(), (count * (1 << 10) + at).tolist()
+    span = [xxhash.xxh3_64_intdigest(whole[a:z], k) for a, z, k in zip(first.tolist(), stop, seed, strict=True)]
+    return grams[anchor[first]].view(np.int64), np.array(span, np.uint64).view(np.int64), first, count, at
 
 
 def _chunks(text: bytes) -> Iterator[tuple[int, bytes]]:
@@ -111,32 +111,70 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "anchor", "span", "start", "n", "at"])
 
 
-SPANS = "anchor long, span long, held long, n int, at int, raw binary"
+#: A part of a span: its group and content, the span it comes from (and how many windows before it
+#: the part begins), in how many places that is held, windows, the anchor's place, bytes; the range
+#: lo to hi of the anchor's places in a window that its group stands for.
+PARTS = "grp long, content long, anchor long, span long, skip int, held long, n int, at int, lo int, hi int, raw binary"
+PART_FIELDS = ["grp", "content", "anchor", "span", "skip", "held", "n", "at", "lo", "hi", "raw"]
+PART_KINDS = [*[pa.int64()] * 4, pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
+
+
+def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(PART_FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, PART_KINDS, strict=True)], PART_FIELDS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the spans that a text was picked to give."""
+    """The whole spans that a text was picked to give; their anchor is their group."""
     for b in batches:
         rows = []
         for text, picks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            rows += [
-                (p["anchor"], p["span"], p["held"], p["n"], p["at"], text[p["start"] : p["start"] + p["n"] - 1 + WIDTH]) for p in picks
-            ]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-        yield pa.RecordBatch.from_arrays(cols, ["anchor", "span", "held", "n", "at", "raw"])
+            for p in picks:
+                raw = text[p["start"] : p["start"] + p["n"] - 1 + WIDTH]
+                rows.append((p["anchor"], p["span"], p["anchor"], p["span"], 0, p["held"], p["n"], p["at"], 0, REACH, raw))
+        yield _part_batch(rows)
+
+
+def quarters(n: int, at: int, lo: int, hi: int, raw: bytes) -> Iterator[tuple]:
+    """The windows of a part with their anchor at lo to hi, by quarters of that range.
+
+    All windows of a quarter have more bytes around the anchor in common, at any rate low before
+    it and REACH - high after it; these name the quarter's group, so equal windows stay in one
+    group. A range of one place is a single window and all of it its group's name. Yields grp,
+    content, windows left out before the quarter, n, at, low, high, raw.
+    """
+    size = -(-(hi - lo + 1) // 4)
+    for low in range(lo, hi + 1, size):
+        high = min(low + size - 1, hi)
+        first, last = min(high, at), max(low, at - n + 1)  # the anchor's place in the quarter's first and last window
+        if first < last:
+            continue
+        part = raw[at - first : at + GRAM + REACH - last]
+        core = part[first - low : first + GRAM + REACH - high]
+        grp, content = xxhash.xxh3_64_intdigest(core, low << 8 | high), xxhash.xxh3_64_intdigest(part, 1 << 16 | last << 8 | first)
+        yield grp, content, at - first, first - last + 1, first, low, high, part
 
 
-def repeated_windows(anchor: np.ndarray, held: np.ndarray, n: np.ndarray, at: np.ndarray, raw: list[bytes]) -> np.ndarray:
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for anchor, span, skip, held, n, at, lo, hi, raw in zip(*(b.column(c).to_pylist() for c in PART_FIELDS[2:]), strict=True):
+            for grp, content, more, *rest in quarters(n, at, lo, hi, raw):
+                signed = np.array([grp, content], np.uint64).view(np.int64).tolist()
+                rows.append((*signed, anchor, span, skip + more, held, *rest))
+        yield _part_batch(rows)
+
+
+def repeated_windows(group: np.ndarray, held: np.ndarray, n: np.ndarray, at: np.ndarray, raw: list[bytes]) -> np.ndarray:
     """bool[span, window]: whether the span's window is found again, in it or in another span.
 
-    What follows each anchor and what precedes it (read backwards) are two suffix arrays. Windows
-    whose anchor lies o bytes in are equal when the parts of o bytes before and of REACH - o bytes
+    Spans of one group have the same anchor. What follows each anchor and what precedes it (read
+    backwards) are two suffix arrays. Windows whose anchor lies o bytes in are equal when the parts of o bytes before and of REACH - o bytes
     after the anchor are: when no shorter common prefix parts them in either array. A span held
     in two or more places repeats all its windows.
     """
-    right, rlcp = deep_shallow_sort(anchor, [r[a + GRAM :] for r, a in zip(raw, at.tolist(), strict=True)])
-    left, llcp = deep_shallow_sort(anchor, [r[:a][::-1] for r, a in zip(raw, at.tolist(), strict=True)])
+    right, rlcp = deep_shallow_sort(group, [r[a + GRAM :] for r, a in zip(raw, at.tolist(), strict=True)])
+    left, llcp = deep_shallow_sort(group, [r[:a][::-1] for r, a in zip(raw, at.tolist(), strict=True)])
     m = len(raw)
     out = np.zeros((m, REACH + 1), bool)
     lclass, rclass = np.empty(m, np.int64), np.empty(m, np.int64)
@@ -152,7 +190,7 @@ def repeated_windows(anchor: np.ndarray, held: np.ndarray, n: np.ndarray, at: np
     return out
 
 
-REPEATS = "anchor long, span long, lo array<int>, hi array<int>"
+REPEATS = "grp long, content long, lo array<int>, hi array<int>"
 
 
 def _stretches(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -161,22 +199,22 @@ def _stretches(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of the anchors in a partition, whose rows come sorted by anchor."""
+    """Repeated windows of the groups in a partition, whose rows come sorted by group."""
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        anchor, span, held, n, at = (rows.column(c).to_numpy() for c in ("anchor", "span", "held", "n", "at"))
-        found = repeated_windows(anchor, held, n, at, rows.column("raw").to_pylist())
+        group, held, n, at = (rows.column(c).to_numpy() for c in ("grp", "held", "n", "at"))
+        found = repeated_windows(group, held, n, at, rows.column("raw").to_pylist())
         cuts = [_stretches(f) for f in found]
         return pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(span), pa.array([c[0] for c in cuts], pa.list_(pa.int32())), pa.array([c[1] for c in cuts], pa.list_(pa.int32()))],
-            ["anchor", "span", "lo", "hi"])
+            [pa.array(group), pa.array(rows.column("content").to_numpy()), pa.array([c[0] for c in cuts], pa.list_(pa.int32())), pa.array([c[1] for c in cuts], pa.list_(pa.int32()))],
+            ["grp", "content", "lo", "hi"])
 
     rest: pa.Table | None = None
     for b in batches:
         t = pa.Table.from_batches([b])
         rest = t if rest is None else pa.concat_tables([rest, t])
-        while len(rest) >= SORT_SPANS:  # whole anchors only: the last one may go on
-            a = rest.column("anchor").to_numpy()
+        while len(rest) >= SORT_SPANS:  # whole groups only: the last one may go on
+            a = rest.column("grp").to_numpy()
             cut = int(np.searchsorted(a, a[-1]))
             if not cut:
                 break
@@ -186,15 +224,32 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield done(rest)
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, raw in enumerate(b.column("raw").to_pylist()):
-            n = b.column("n")[i].as_py()
-            s = _sums(np.frombuffer(raw, np.uint8))
-            w = np.arange(n)
-            same = [pa.array(np.full(n, b.column(c)[i].as_py(), np.int64)) for c in ("anchor", "span", "held")]
-            hashed = pa.array(_hashes(s, w, w + WIDTH).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*same, pa.array(w.astype(np.int32)), hashed], ["anchor", "span", "held", "w", "hash"])
+def _repeats_of(spans: DataFrame, group_spans: int, scratch: Scratch) -> DataFrame:
+    """anchor, span, lo, hi: the stretches of repeated windows of each span.
+
+    Groups of at most group_spans different contents are sorted; larger ones are quartered by
+    the place of the anchor in the windows until they fit, which takes four rounds at most. A
+    part costs one row a round, and most drop out early: a group held once repeats nothing, and one of
+    a single content repeats all its windows.
+    """
+    found, parts, k = None, spans, 0
+    while not parts.isEmpty():
+        sizes = parts.groupBy("grp", "content").agg(F.sum("held").alias("held")).groupBy("grp")
+        sizes = scratch.keep(sizes.agg(F.count(F.lit(1)).alias("_c"), F.sum("held").alias("_held")).filter("_held > 1"), f"sizes{k}")
+        parts = scratch.keep(parts.join(sizes.hint("shuffle_hash"), "grp").drop("_held"), f"parts{k}")
+        alike = parts.filter("_c = 1").select("anchor", "span", F.array("skip").alias("lo"), F.array(F.col("skip") + F.col("n")).alias("hi"))
+        some = parts.filter((F.col("_c") > 1) & (F.col("_c") <= group_spans))
+        once = some.groupBy("grp", "content").agg(F.sum("held").alias("held"), *[F.first(c).alias(c) for c in ("n", "at", "raw")])
+        sorted_ = once.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted_repeats, REPEATS).filter(F.size("lo") > 0)
+        sorted_ = scratch.keep(sorted_, f"sorted{k}")
+        moved = [F.transform(c, lambda x: x + F.col("skip")).alias(c) for c in ("lo", "hi")]
+        got = alike.unionByName(some.select("grp", "content", "anchor", "span", "skip").join(sorted_, ["grp", "content"]).select("anchor", "span", *moved))
+        got = scratch.keep(got, f"got{k}")
+        found = got if found is None else found.unionByName(got)
+        large = parts.filter(F.col("_c") > group_spans).drop("_c")
+        parts, k = scratch.keep(large.mapInArrow(_split, PARTS), f"split{k}"), k + 1
+        scratch.drop(*[f"{n}{k - 1}" for n in ("sizes", "parts", "sorted")])
+    return scratch.spark.createDataFrame([], "anchor long, span long, lo array<int>, hi array<int>") if found is None else found
 
 
 def _remover(n_carry: int, width: int):
@@ -235,9 +290,9 @@ def dedup_substrings(docs: DataFrame, carry: list[str] = ["doc_id"], group_spans
     text to runs of windows that share an anchor, some 85 windows a row. A run whose anchor
     occurs once is unique; where all runs of an anchor cover the same bytes, all windows repeat;
     of the others each different span goes, once, to the task that sorts its anchor's
-    neighbourhood. Anchors with more than group_spans different spans are not sorted in one
-    task: their windows meet by hash, which partial sums and many tasks share. Equality of spans
-    and of such windows rests on two 64-bit hashes.
+    neighbourhood. An anchor with more than group_spans different spans is first split by the
+    bytes around it (quarters), so no task sorts more and no window is a row. Equality of spans
+    and groups rests on two independent 64-bit hashes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
@@ -261,17 +316,9 @@ def dedup_substrings(docs: DataFrame, carry: list[str] = ["doc_id"], group_spans
     )
     texts = docs.select(*key, text_bytes().alias("_text"))
     spans = scratch.keep(
-        texts.join(picks, ["k1", "k2"]).select("_text", "_picks").mapInArrow(_cut, SPANS).dropDuplicates(["anchor", "span"]), "spans"
-    )
-    large = spans.groupBy("anchor").count().filter(F.col("count") > group_spans).select("anchor")
-    sortable = spans.join(large, "anchor", "left_anti")
-    by_sort = sortable.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_repeats, REPEATS)
-    windows = spans.join(large, "anchor", "left_semi").mapInArrow(_window_hashes, "anchor long, span long, held long, w int, hash long")
-    twice = windows.groupBy("anchor", "hash").agg(F.sum("held").alias("held")).filter("held > 1").select("anchor", "hash")
-    by_hash = windows.join(twice, ["anchor", "hash"]).select(
-        "anchor", "span", F.array("w").alias("lo"), F.array(F.col("w") + 1).alias("hi")
+        texts.join(picks, ["k1", "k2"]).select("_text", "_picks").mapInArrow(_cut, PARTS).dropDuplicates(["anchor", "span"]), "spans"
     )
-    repeats = by_sort.unionByName(by_hash).filter(F.size("lo") > 0)
+    repeats = _repeats_of(spans, group_spans, scratch)
 
     in_texts = repeated.filter(~F.col("alike")).join(repeats, ["anchor", "span"])
     cuts = in_texts.select("k1", "k2", "start", F.explode(F.arrays_zip("lo", "hi")).alias("_c")).select(
