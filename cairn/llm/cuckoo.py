@@ -52,27 +52,51 @@ class CuckooFilter:
         fp, one, two = self._places(h1, h2)
         return ((self.table[one] == fp[:, None]) | (self.table[two] == fp[:, None])).any(axis=1)
 
+    def _place(self, fp: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Put fingerprints into free slots of their buckets; tells which found one."""
+        order = np.argsort(at, kind="stable")
+        bucket = at[order]
+        first = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+        rank = np.arange(len(bucket)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        taken = self.table[bucket] != 0
+        fits = np.flatnonzero(rank < SLOTS - taken.sum(axis=1))
+        slot = np.argsort(taken[fits], axis=1, kind="stable")[np.arange(len(fits)), rank[fits]]
+        self.table[bucket[fits], slot] = fp[order[fits]]
+        out = np.zeros(len(at), bool)
+        out[order[fits]] = True
+        return out
+
     def insert(self, h1: np.ndarray, h2: np.ndarray) -> bool:
         """False if a key found no place; the filter must then be built larger from the counts."""
-        mask, t = len(self.table) - 1, self.table
-        for fp, one, two in zip(*(x.tolist() for x in self._places(h1, h2)), strict=True):
-            at = one if (t[one] == 0).any() else two
-            for kick in range(MOST_KICKS):
-                free = np.flatnonzero(t[at] == 0)
-                if len(free):
-                    t[at, free[0]] = fp
-                    break
-                slot = kick % SLOTS
-                fp, t[at, slot] = int(t[at, slot]), fp
-                at ^= int(_spread(np.array([fp], np.uint64))[0]) & mask
-            else:
-                return False
-        return True
+        if not len(h1):
+            return True
+        fp, one, two = self._places(h1, h2)
+        left = ~self._place(fp, one)
+        fp, at = fp[left], two[left]
+        for kick in range(MOST_KICKS):
+            if not len(fp):
+                return True
+            left = ~self._place(fp, at)
+            fp, at = fp[left], at[left]
+            bucket, who = np.unique(at, return_index=True)  # of each full bucket one key goes in for another
+            out = self.table[bucket, kick % SLOTS]
+            self.table[bucket, kick % SLOTS], fp[who] = fp[who], out
+            at[who] = bucket ^ (_spread(out.astype(np.uint64)) & np.uint64(len(self.table) - 1)).astype(np.int64)
+        return not len(fp)
 
     def delete(self, h1: np.ndarray, h2: np.ndarray) -> None:
-        for fp, one, two in zip(*(x.tolist() for x in self._places(h1, h2)), strict=True):
-            for at in (one, two):
-                held = np.flatnonzero(self.table[at] == fp)
-                if len(held):
-                    self.table[at, held[0]] = 0
+        if not len(h1):
+            return
+        fp, *buckets = self._places(h1, h2)
+        for k in range(2):
+            while len(fp):
+                same = self.table[buckets[k]] == fp[:, None]
+                held = np.flatnonzero(same.any(axis=1))
+                if not len(held):
                     break
+                slot = buckets[k][held] * SLOTS + same[held].argmax(axis=1)
+                _, who = np.unique(slot, return_index=True)  # a slot is emptied for one key
+                self.table.reshape(-1)[slot[who]] = 0
+                left = np.ones(len(fp), bool)
+                left[held[who]] = False
+                fp, buckets = fp[left], [b[left] for b in buckets]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -18,8 +19,9 @@ from cairn.llm.cuckoo import CuckooFilter
 
 #: What is stripped from both ends of a line: \x20 and \x09 to \x0D.
 BLANK = b" \t\n\x0b\x0c\r"
-#: Frequent keys that one filter shard is planned for, and the bytes up to which filters are broadcast.
-SHARD_KEYS, BROADCAST_BYTES = 100_000, 64 << 20
+#: Frequent keys that one filter shard is planned for, the bytes up to which filters are broadcast, and
+#: lines that one copy of a larger set's shard is planned for.
+SHARD_KEYS, BROADCAST_BYTES, SHARD_LINES = 100_000, 64 << 20, 4_000_000
 REFS = "h1 long, h2 long, n long"
 FILTERS = "shard int, filter binary"
 
@@ -129,8 +131,9 @@ class LineIndex:
 
         Up to broadcast_bytes of filters go to every task. A filter may say yes to a key that is
         not frequent, so the keys for which it does are looked up in the exact counts first and
-        travel along; decisions are exact. Larger filters stay sharded: lines meet the exact
-        counts in a join. counted says that docs are those the index counts.
+        travel along; decisions are exact. Larger filters stay sharded: lines go to their shard's
+        filter, and those that pass it meet the exact counts. counted says that docs are those
+        the index counts.
         """
         rows = docs.select(*carry, text_bytes().alias("_text"))
         fields = [f for f in rows.schema.fields if f.name != "_text"]
@@ -184,15 +187,49 @@ class LineIndex:
         return test
 
     def _joined(self, docs: DataFrame, carry: list[str], schema: str) -> DataFrame:
-        """The way for filters of any size: lines join the exact counts, texts join their line numbers."""
+        """The way for filters of any size: lines pass their shard's filter and join the exact counts,
+        texts join the numbers of their lines.
+
+        A shard with many lines has copies of its filter, among which the lines are dealt, and a
+        task streams the lines past the filter, so a line that very many documents hold is no load.
+        """
         key = row_key(*[F.col(c) for c in dict.fromkeys([*carry, "text"])])
         frequent = self.refs.filter(F.col("n") >= self.min_docs).select("h1", "h2")
-        lines = docs.select(*key, text_bytes().alias("_text")).mapInArrow(_numbered, "k1 long, k2 long, at int, h1 long, h2 long")
-        drops = lines.join(frequent, ["h1", "h2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("_at"))
+        lines = docs.select(*key, text_bytes().alias("_text")).mapInArrow(_numbered, NUMBERED)
+        shard = F.pmod("h1", F.lit(self.n_shards)).cast("int").alias("shard")
+        copies = self.refs.groupBy(shard).agg(F.ceil(F.sum("n") / SHARD_LINES).cast("int").alias("_copies"))
+        copies = self.scratch.keep(copies, f"copies{self.step}-{uuid.uuid4().hex}")
+        lines = lines.withColumn("shard", shard).join(copies, "shard", "left")
+        lines = lines.select("shard", F.pmod(F.xxhash64("k1", "k2", "at"), F.coalesce("_copies", F.lit(1))).cast("int").alias("copy"), *LINE)
+        filters = self.filters.join(copies, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)).alias("copy"), "filter")
+        both = filters.unionByName(lines, allowMissingColumns=True).select("shard", "copy", "filter", *LINE)
+        both = both.repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("filter").isNull())
+        drops = both.mapInArrow(_passing, NUMBERED).join(frequent, ["h1", "h2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("_at"))
         rows = docs.select(*[F.col(c) for c in carry], text_bytes().alias("_text"), *key).join(drops, ["k1", "k2"], "left")
         return rows.select(*carry, "_text", "_at").mapInArrow(_dropper(len(carry), None), schema)
 
 
+LINE = ["k1", "k2", "at", "h1", "h2"]
+NUMBERED = "k1 long, k2 long, at int, h1 long, h2 long"
+
+
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lines that follow their shard's filter those that it may hold; a shard without one holds none."""
+    now, f = None, None
+    for b in batches:
+        shard, copy = b.column("shard").to_numpy(), b.column("copy").to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (copy[1:] != copy[:-1]), [True])))
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if (at := (int(shard[a]), int(copy[a]))) != now:
+                now, f = at, None
+            raw = b.column("filter")[a].as_py()
+            if raw is not None:
+                f, a = CuckooFilter.loads(raw), a + 1
+            lines = b.slice(a, z - a).select(LINE)
+            if f and len(lines):
+                yield lines.filter(pa.array(f.contains(lines.column("h1").to_numpy(), lines.column("h2").to_numpy())))
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         k1, k2 = b.column(0).to_pylist(), b.column(1).to_pylist()
