@@ -169,13 +169,16 @@ def _local_join(double: bool):
 
 def _blocks(double: bool):
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links of each vector of one block with the vectors of the other, copies included."""
+        """Links of each vector of one block with the vectors of the other, copies included; both ways."""
         x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(x) or not len(y):
             return pd.DataFrame({"t": [], "n": []}).astype({"n": "int64"})
         hit = _unit(x["v"].tolist(), double) @ _unit(y["v"].tolist(), double).T >= THRESHOLD
         hit &= x["t"].to_numpy()[:, None] != y["t"].to_numpy()[None, :]
-        return pd.DataFrame({"t": x["t"].to_numpy(), "n": hit @ y["copies"].to_numpy(np.int64)})
+        out = [pd.DataFrame({"t": x["t"].to_numpy(), "n": hit @ y["copies"].to_numpy(np.int64)})]
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+            out.append(pd.DataFrame({"t": y["t"].to_numpy(), "n": x["copies"].to_numpy(np.int64) @ hit}))
+        return pd.concat(out)
 
     return count
 
@@ -283,9 +286,9 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = labels.withColumnRenamed("node", "t").join(sizes, "label").join(nodes, "t")
     placed = placed.withColumn("k", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.select("label", F.col("k").alias("i"), every.alias("j"), F.lit(0).alias("side"), "t", "v", "copies")
-    right = placed.select("label", every.alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"), "t", "v", "copies")
+    later, earlier = F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)), F.explode(F.sequence(F.lit(0), F.col("k")))  # pairs of blocks i <= j
+    left = placed.select("label", F.col("k").alias("i"), later.alias("j"), F.lit(0).alias("side"), "t", "v", "copies")
+    right = placed.select("label", earlier.alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"), "t", "v", "copies")
     counted = left.unionByName(right).groupBy("label", "i", "j").applyInPandas(_blocks(double), "t binary, n long")
     counted = counted.groupBy("t").agg(F.sum("n").alias("n"))
     named = labels.withColumnRenamed("node", "t")
