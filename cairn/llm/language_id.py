@@ -45,7 +45,7 @@ class Grams:
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """For each n-gram the number of its word and its hash."""
-        at = np.flatnonzero(self.left >= n)
+        at = np.flatnonzero((self.left >= n) & ((n > 1) | (self.cps != 32)))  # a space alone says nothing
         h = np.full(len(at), n, np.uint64)
         for i in range(n):
             h = (h + self.cps[at + i] + np.uint64(1)) * _ODD
@@ -120,7 +120,7 @@ class Items:
         owner = np.repeat(row, count)
         entry = np.repeat(self.first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
         out = np.bincount(owner * len(self.none) + self.lang[entry], weights=self.more[entry], minlength=n * len(self.none))
-        return self.none + out.reshape(n, -1) / np.maximum(np.bincount(row, minlength=n), 1)[:, None]
+        return self.none + out.reshape(n, len(self.none)) / np.maximum(np.bincount(row, minlength=n), 1)[:, None]
 
 
 class Model:
