@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,13 @@ class Scratch:
             self.drop(*gone)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Pieces of the batches: a task holds Python values of few texts at a time, however long batches are."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.slice(a, rows)
+
+
 def clear_scratch() -> None:
     """Delete all tables of this process's operators, once their results have been written."""
     while _MADE:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, table
+from cairn.llm.common import Scratch, in_slices, table
 
 #: Characters of a q-gram: of items of at least LONG characters, and of shorter ones. Items under
 #: LEAST characters are searched for as whole words.
@@ -316,7 +316,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, carry: list[str] = ["d
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             id_type = pa.array(items.ids).type if items.ids else pa.int64()
-            for b in batches:
+            for b in in_slices(batches):
                 row, hits = [], []
                 for k, text in enumerate(b.column(n).to_pylist()):
                     for hit in find_items(text or "", items):
@@ -348,7 +348,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in in_slices(batches):
                 yield b.filter(pa.array([not find_items(t or "", shared.value) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -12,14 +12,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm.common import in_slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5  # characters of the longest n-gram
 #: Labelled rows of a language that the model learns from, about.
 ROWS = 4_000
-#: Rows that are worked on together; bounds the memory of a task.
-SLICE = 256
 #: Words whose scores one task remembers, and distinct words of a text that are looked up together.
 REMEMBERED, TOGETHER = 200_000, 50_000
 UNKNOWN = "und"
@@ -60,10 +58,6 @@ def word_hashes(words: Iterable[str], n: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n).view(np.int64)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(a, SLICE) for a in range(0, len(batch), SLICE))
-
-
 COUNTS = "lang string, n int, h long, c long"
 
 
@@ -84,7 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), n, np.int32)), pa.array(h), pa.array(sums)], ["lang", "n", "h", "c"])
         words.clear()
 
-    for b in (part for whole in batches for part in _slices(whole)):
+    for b in in_slices(batches):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, words.values())) > TOGETHER:
@@ -243,7 +237,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] = ["doc_id"]) -> Da
     at = carry.index("text") if "text" in carry else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in _slices(whole)):
+        for b in in_slices(batches):
             got = [shared.value.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, row_key, table, text_bytes
+from cairn.llm.common import Scratch, in_slices, row_key, table, text_bytes
 from cairn.llm.cuckoo import CuckooFilter
 
 #: What is stripped from both ends of a line: \x20 and \x09 to \x0D.
@@ -40,8 +40,9 @@ def _pairs(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            seen.update({k for k in keys_of(text) if k})
+        for part in in_slices(iter([batch])):
+            for text in part.column(0).to_pylist():
+                seen.update({k for k in keys_of(text) if k})
         h1, h2 = _pairs(list(seen))
         yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(list(seen.values()), pa.int64())], ["h1", "h2", "n"])
 
@@ -231,7 +232,7 @@ def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in in_slices(batches):
         k1, k2 = b.column(0).to_pylist(), b.column(1).to_pylist()
         out: list[tuple] = []
         for x, y, text in zip(k1, k2, b.column(2).to_pylist(), strict=True):
@@ -246,7 +247,7 @@ def _dropper(n_carry: int, test: Callable[[list[bytes]], np.ndarray] | None):
     """Drops the lines whose keys pass test, or else those whose numbers stand in the last column."""
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             texts = b.column(n_carry).to_pylist()
             if test:
                 keys = [keys_of(t) for t in texts]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.alignment import banded_distance
-from cairn.llm.common import Scratch, row_key, table
+from cairn.llm.common import Scratch, in_slices, row_key, table
 from cairn.llm.components import connected_components
 
 WORD = re.compile(r"\w+")
@@ -36,7 +36,7 @@ _SEEDS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)[:, None]
 _ODD = _U(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 17)
 def _word(w: str) -> int:
     return xxhash.xxh3_64_intdigest(w)
 
@@ -102,7 +102,7 @@ def bag_bits(words: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in in_slices(batches):
         t, n, keys, raw, bag = [], [], [], [], []
         for text in b.column(1).to_pylist():
             w = word_hashes(text)
@@ -144,7 +144,7 @@ def are_near(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in in_slices(batches):
         pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
         ok = [are_near(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in pairs]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "similar"])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, gapless_rank, table
+from cairn.llm.common import Scratch, gapless_rank, in_slices, table
 
 MAX_LENGTH, END_ID = 1024, 2
 
@@ -53,7 +53,7 @@ def _pieces(path: str, most: int, end_id: int, with_ids: bool):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        for b in batches:
+        for b in in_slices(batches):
             row: list[int] = []
             cols: list[list] = [[], [], [], [], []]
             for i, text in enumerate(b.column(1).to_pylist()):

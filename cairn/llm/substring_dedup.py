@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, row_key, table, text_bytes
+from cairn.llm.common import Scratch, in_slices, row_key, table, text_bytes
 from cairn.llm.suffix_sort import deep_shallow_sort
 
 WIDTH = 200  # bytes of a repeated string
@@ -99,7 +99,7 @@ RUNS = "k1 long, k2 long, anchor long, span long, start long, n int, at int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in in_slices(batches):
         k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
         for i, text in enumerate(b.column(2).to_pylist()):
@@ -126,7 +126,7 @@ def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The whole spans that a text was picked to give; their anchor is their group."""
-    for b in batches:
+    for b in in_slices(batches):
         rows = []
         for text, picks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for p in picks:
@@ -254,7 +254,7 @@ def _repeats_of(spans: DataFrame, group_spans: int, scratch: Scratch) -> DataFra
 
 def _remover(n_carry: int, width: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             kept, gone, parts = [], [], []
             for text, cuts in zip(b.column(n_carry).to_pylist(), b.column(n_carry + 1).to_pylist(), strict=True):
                 runs: list[list[int]] = []

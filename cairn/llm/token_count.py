@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm.common import in_slices, table
 
 SPACE = "▁"  # stands for a space in the vocabulary
 #: Fixed value: an unknown character scores this much less than the least piece.
@@ -111,7 +111,7 @@ def count_tokens(docs: DataFrame, model_path: str, carry: list[str] = ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _unigram(model_path)
-        for b in batches:
+        for b in in_slices(batches):
             got = [model.count(t) for t in b.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:n], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())],
