@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.operators import rules
+
 #: Words that do not count as tokens of a name.
 STOP_WORDS = ["the", "a", "an", "and", "or", "for", "with", "ultra", "light", "lightweight", "ultralight", "pro", "plus", "new"]
 #: Variant patterns in order; the first that matches decides.
@@ -104,7 +107,7 @@ def brand_removal(name: Column | str, brand: Column | str) -> Column:
     prefix = F.length(F.array_join(F.slice(words, F.lit(1), longest), " "))
     first, bfirst = F.element_at(F.split(low, " "), 1), F.element_at(words, 1)
     by_word = F.when(F.length(bfirst) >= 6, 0.92).when(F.length(bfirst) >= 4, 0.88).otherwise(0.80)
-    others = F.array_join(F.slice(F.split(n, r"\s+"), 2, 1000), " ")
+    others = F.array_join(F.slice(F.split(n, r"\s+"), F.lit(2), F.size(F.split(n, r"\s+"))), " ")
     ok = n.isNotNull() & b.isNotNull() & (F.trim(b) != "")
     return (
         F.when(ok & whole, made(rest_after(F.length(b) + F.lit(1)), F.lit(0.98)))
@@ -139,8 +142,28 @@ def title_case(c: Column | str) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.expr("''"), F.substr(p, F.lit(2)))), "")
 
 
-def stutters(before: Column, after: Column) -> Column:
-    """Whether a correction only repeats a part: two to seven letters or digits twice in a row that were not before."""
-    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    twice = r"(.{2,7})\1"
-    return bare(after).rlike(twice) & ~bare(before).rlike(twice)
+def stutters(c: Column) -> Column:
+    """Whether two to seven letters or digits stand twice in a row."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "").rlike(r"(.{2,7})\1")
+
+
+def correction(value: Column) -> Column:
+    """struct(corrected, confidence) of a text with a name that is known to be heard wrong.
+
+    The first rule counts whose wrong form stands in the text as a word, or begins it, while the
+    right form does not, and whose correction makes sense: it changes the text, holds the right
+    form once, stutters nowhere and is not much longer.
+    """
+    low, tests = F.lower(value), []
+    for wrong, right in rules.TRANSCRIPTION_ERRORS.items():
+        w, r = wrong.lower(), right.lower()
+        at = F.locate(w, low)
+        fixed = F.concat(F.substr(value, F.lit(1), at - F.lit(1)), F.lit(right), F.substr(value, at + F.lit(len(w))))
+        word = low.rlike(rf"\b{re.escape(w)}\b")
+        rest = F.substr(value, F.lit(len(w) + 1))
+        begins = F.startswith(low, F.lit(w)) & ~(rest.rlike(r"^\p{L}") & F.contains(F.lower(rest), F.lit(r)))
+        flow = F.lower(fixed)
+        sane = (fixed != value) & (F.length(flow) - F.length(F.replace(flow, F.lit(r), F.lit(""))) <= len(r)) & ~stutters(fixed) & (F.abs(F.length(fixed) - F.length(value)) <= len(right) + 5)
+        confidence = F.when(low == w, 0.95).when(word, 0.90).otherwise(0.75)
+        tests.append(F.when(~F.contains(low, F.lit(r)) & F.contains(low, F.lit(w)) & (word | begins) & sane, F.struct(fixed.alias("corrected"), confidence.alias("confidence"))))
+    return F.coalesce(*tests)

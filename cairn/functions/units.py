@@ -31,11 +31,15 @@ def weight_grams(c: Column) -> Column:
 
 
 def weights_in(c: Column) -> Column:
-    """All weights in a text in grams, between 10 and 20000: grams first, then ounces, then pounds."""
+    """All weights in a text in grams, between 10 and 20000: those in grams first, then in ounces, in
+    pounds, and in pounds and ounces together (whose parts are listed before, too)."""
     low = F.lower(c)
     found = lambda unit: F.regexp_extract_all(low, F.lit(rf"(\d+(?:\.\d+)?)\s*(?:{unit})\b"), F.lit(1))
     grams = lambda values, f: F.transform(values, lambda v: F.bround(v.cast("double") * f))
-    every = F.concat(grams(found("g|grams?"), 1.0), grams(found("oz|ounces?"), GRAMS["oz"]), grams(found("lbs?|pounds?"), GRAMS["lb"]))
+    both = r"(\d+)\s*lbs?\s*(\d+(?:\.\d+)?)\s*oz"
+    part = lambda x, i: F.regexp_extract(x, both, i).cast("double")
+    pairs = F.transform(F.regexp_extract_all(low, F.lit(both), F.lit(0)), lambda x: F.bround(part(x, 1) * GRAMS["lb"] + part(x, 2) * GRAMS["oz"]))
+    every = F.concat(grams(found("g|grams?"), 1.0), grams(found("oz|ounces?"), GRAMS["oz"]), grams(found("lbs?|pounds?"), GRAMS["lb"]), pairs)
     return F.filter(every, lambda w: (w > 10) & (w < 20000))
 
 
@@ -48,7 +52,3 @@ def iso_seconds(c: Column) -> Column:
     """Seconds of PT1H2M3S; none of 0."""
     part = lambda u: F.coalesce(F.regexp_extract(c, rf"(\d+){u}", 1).try_cast("int"), F.lit(0))
     return F.nullif(part("H") * 3600 + part("M") * 60 + part("S"), F.lit(0))
-
-
-def half_even(c: Column, scale: int = 0) -> Column:
-    return F.bround(c, scale)

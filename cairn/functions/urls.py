@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Parts of product and of collection addresses, and of those that are neither.
 PRODUCT_PATHS = [r"/products?/", r"/produkte?/", r"/productos?/", r"/produits?/", "/p/", "/item/", "/gear/", "/shop/", "/store/", "/buy/", "/catalog/", "/artikel/"]
 COLLECTION_PATHS = [
-    r"/collections?/[^/]+", r"/categories?/[^/]+", r"/category/[^/]+", r"/kategorien?/[^/]+", r"/categorias?/[^/]+", r"/categories?/[^/]+", r"/categorie[s]?/[^/]+",
+    r"/collections?/[^/]+", r"/categories?/[^/]+", r"/category/[^/]+", r"/kategorien?/[^/]+", r"/categorias?/[^/]+", r"/categorie[s]?/[^/]+",
     r"/c/[^/]+", r"/shop/[^/]+", r"/product-category/[^/]+",
 ]
 SKIPPED = [
@@ -59,13 +59,16 @@ def video_id(url: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(url, f, 1), F.lit("")) for f in forms])
 
 
+def thumbnail(url: Column) -> Column:
+    return F.concat(F.lit("https://img.youtube.com/vi/"), video_id(url), F.lit("/maxresdefault.jpg"))
+
+
 def playlist_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"[?&]list=([a-zA-Z0-9_-]+)", 1), F.lit(""))
 
 
 def category_name(p: Column) -> Column:
     """The last part of a path as words."""
-    last = F.get(F.filter(F.split(p, "/"), lambda x: x != ""), F.lit(-1))
     parts = F.filter(F.split(p, "/"), lambda x: x != "")
     last = F.when(F.size(parts) > 0, F.element_at(parts, -1))
     return F.initcap(F.regexp_replace(last, "[-_]", " "))

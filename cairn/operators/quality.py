@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.text import brand_removal, category_of
+from cairn.functions.text import brand_removal, category_of, correction
 from cairn.operators import rules
 from cairn.operators.graph import branch_counts, missing, present, without
 from cairn.registry import query
@@ -99,19 +99,12 @@ def scan_redundant_brands(g: Graph) -> DataFrame:
 
 
 def scan_transcription(g: Graph) -> DataFrame:
-    """Names and brands heard wrong: the first rule whose wrong form stands in one as a word or begins it,
-    unless the right form is there already."""
-    both = F.explode(F.array("name", "brand")).alias("value")
-    rows = messy_brands(g).select("node_id", both).filter("value IS NOT NULL")
-    tests = []
-    for wrong, right in rules.TRANSCRIPTION_ERRORS.items():
-        low = F.lower("value")
-        whole, word = low == wrong.lower(), low.rlike(rf"\b{wrong.lower()}\b")
-        there = F.contains(low, F.lit(right.lower()))
-        made = lambda c: F.struct(F.lit(right).alias("to"), F.lit(c).alias("c"))  # noqa: B023, E731
-        tests.append(F.when(F.lit(wrong != right) & ~there, F.when(whole, made(0.95)).when(word, made(0.90)).when(F.startswith(low, F.lit(wrong.lower())), made(0.75))))
-    found = rows.withColumn("fix", F.coalesce(*tests)).filter("fix IS NOT NULL")
-    return issue(found, "typo", F.col("node_id"), F.col("value"), F.col("fix.c"), F.col("fix.to"))
+    """Names and brands heard wrong with their corrected text (see correction); no validator changes the
+    confidence afterwards."""
+    fields = [F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("name", "brand")]
+    rows = messy_brands(g).select("node_id", F.explode(F.array(*fields)).alias("x"))
+    heard = rows.select("node_id", "x.value", correction(F.col("x.value")).alias("fix")).filter("fix IS NOT NULL")
+    return issue(heard, "typo", F.col("node_id"), F.col("value"), F.col("fix.confidence"), F.col("fix.corrected"))
 
 
 def scan_duplicates(g: Graph) -> DataFrame:
@@ -189,8 +182,10 @@ def quality_transcription(g: Graph) -> DataFrame:
 
 @query("quality_full_scan")
 def quality_full_scan(g: Graph) -> DataFrame:
-    """Every issue with its risk and whether it is fixed without asking."""
-    return full_scan(g)
+    """Every issue with its risk and whether it is fixed without asking, as it is worked on: high risk
+    first, then the least confidence."""
+    rank = F.when(F.col("risk") == "high", 0).when(F.col("risk") == "medium", 1).otherwise(2)
+    return full_scan(g).withColumn("risk_rank", rank).orderBy("risk_rank", "confidence", "issue_type", "entity_id", "new_value")
 
 
 @query("quality_scan_summary")

@@ -120,10 +120,6 @@ def export_state(g: Graph) -> DataFrame:
     return g.source().filter("source_type = 'F'").agg(F.countDistinct("url").alias("total_processed"), F.min("url").alias("first_id"), F.max("url").alias("last_id"))
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
-
-
 def write_version(df: DataFrame, root: str, version: int) -> str:
     """A new version of a table beside the old ones; readers of those are not disturbed."""
     path = f"{root}/v={version}"

@@ -26,8 +26,8 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from cairn.functions import catalog, markdown  # noqa: F401
-    from cairn.operators import aggregates, crawl, duplicates, families, graph, mutations, quality, research  # noqa: F401
+    from cairn.functions import catalog, markdown, products  # noqa: F401
+    from cairn.operators import aggregates, crawl, duplicates, families, graph, landed, mutations, quality, queue, research, upserts  # noqa: F401
     from cairn.plans import adhoc, exports, presets  # noqa: F401
     from cairn.sources import files  # noqa: F401
     from cairn.streaming import polling  # noqa: F401

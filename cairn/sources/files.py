@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,28 @@ def state_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("video_ids").alias("video_id"), "last_check", "total_processed")
 
 
+def write_state(ids: DataFrame, root: str, last_check: str) -> None:
+    """The processed ids, sorted, one JSON object a line, and beside them when they were checked and how many."""
+    once = ids.distinct()
+    once.orderBy("video_id").write.mode("overwrite").json(f"{root}/ids")
+    total = ids.sparkSession.read.schema("video_id string").json(f"{root}/ids").agg(F.count(F.lit(1)).alias("total_processed"))
+    total.withColumn("last_check", F.lit(last_check)).write.mode("overwrite").json(f"{root}/summary")
+
+
+def read_state(spark: SparkSession, root: str) -> DataFrame:
+    """video_id of a state that write_state wrote."""
+    return spark.read.schema("video_id string").json(f"{root}/ids")
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Log rows behind those that are there, one JSON object a line."""
+    df.write.mode("append").json(path)
+
+
+def fresh_name() -> str:
+    return uuid.uuid4().hex
+
+
 def log_file(spark: SparkSession, path: str) -> DataFrame:
     """A log of one JSON object a line; lines that are none come with nulls."""
     return spark.read.schema(LOG).json(path)
@@ -35,19 +59,25 @@ def glossary(rows: DataFrame, column: str = "json") -> DataFrame:
     return t.select(F.col("t")["name"].alias("term"), definition.alias("definition"))
 
 
-def change_rows(feed: DataFrame, column: str = "payload") -> DataFrame:
-    """entity, op, name of a change feed's payloads: one row a change."""
+def change_rows(feed: DataFrame, column: str = "payload", with_token: bool = False) -> DataFrame:
+    """entity, op, name (and token) of a change feed's payloads: one row a change."""
     p = feed.select(F.from_json(column, CHANGES).alias("p"))
     out = None
     for entity in ("brands", "products"):
         for op in ("added", "updated", "deleted"):
             x = F.explode(F.col(f"p.{entity}.{op}")).alias("x")
             name = F.col("x") if op == "deleted" else F.col("x.name")
-            part = p.select(x).select(F.lit(entity).alias("entity"), F.lit(op).alias("op"), name.alias("name"))
+            token = [F.col("p.next_sync_token").alias("token")] if with_token else []
+            part = p.select(x, *token).select(F.lit(entity).alias("entity"), F.lit(op).alias("op"), name.alias("name"), *(["token"] if token else []))
             out = part if out is None else out.unionByName(part)
     return out
 
 
+def changes_since(feed: DataFrame, token: str, column: str = "payload") -> DataFrame:
+    """entity, op, name, token of the changes behind a saved token; tokens sort as text."""
+    return change_rows(feed, column, with_token=True).filter(F.col("token") > token)
+
+
 def fresh(cache: DataFrame, now: Column, hours: int, created: str = "created_at") -> DataFrame:
     """Cache rows that have not expired."""
     return cache.filter(F.col(created) > now - F.make_dt_interval(hours=F.lit(hours)))
