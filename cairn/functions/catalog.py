@@ -26,9 +26,9 @@ def text_slug(g: Graph) -> DataFrame:
     return g.item().select("node_id", text.slugify("name").alias("slug"))
 
 
-@query("text_normalized_name", r"""SELECT node_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(summary)), '[''’´`]', '', 'g'), '[-_]', ' ', 'g'), '\s+', ' ', 'g')) AS normalized FROM insight""")
+@query("text_normalized_name", r"""SELECT node_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(content)), '[''’´`]', '', 'g'), '[-_]', ' ', 'g'), '\s+', ' ', 'g')) AS normalized FROM insight""")
 def text_normalized_name(g: Graph) -> DataFrame:
-    return g.insight().select("node_id", text.normalized_name("summary").alias("normalized"))
+    return g.insight().select("node_id", text.normalized_name("content").alias("normalized"))
 
 
 @query("text_name_tokens", f"SELECT node_id, array_to_string(list_sort({_TOKENS}), ' ') AS tokens FROM item")

@@ -16,7 +16,7 @@ SECTION = r"(?m)(?:^#{1,3}\s+|\n\d+\.\s+|\n\*\*)"
 def sections(c: Column) -> Column:
     """Parts of a guide after its first heading."""
     parts = F.split(c, SECTION)
-    return F.filter(F.slice(parts, 2, 10_000_000), lambda x: F.trim(x) != "")
+    return F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.trim(x) != "")
 
 
 def product_fields(c: Column) -> Column:
@@ -31,10 +31,10 @@ def product_fields(c: Column) -> Column:
 
 
 def key_values(c: Column) -> Column:
-    """map of the lines "key: value"; keys in lower case, of repeated keys the last."""
+    """Pairs (k, v) of the lines "key: value"; keys in lower case, of repeated keys the last."""
     lines = F.filter(F.split(c, "\n"), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.element_at(F.split(x, ":", 2), 1))).alias("k"), F.trim(F.element_at(F.split(x, ":", 2), 2)).alias("v")))
-    return pairs
+    return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
 
 
 def names_in(c: Column) -> Column:

@@ -240,8 +240,9 @@ def compatibility_lists(g: Graph) -> DataFrame:
   SELECT src_id AS this_id, rel_type FROM edges WHERE src_label = 'Item' UNION ALL SELECT dst_id, rel_type FROM edges WHERE dst_label = 'Item') GROUP BY 1""")
 def degree_and_types(g: Graph) -> DataFrame:
     """Undirected degree and relationship types of every item."""
-    u = undirected(g.edges()).filter("this_label = 'Item'")
-    return u.groupBy(F.col("this_id").alias("node_id")).agg(
+    end = lambda c: F.struct(F.col(f"{c}_id").alias("id"), F.col(f"{c}_label").alias("label"))
+    ends = g.edges().select("rel_type", F.explode(F.array(end("src"), end("dst"))).alias("end")).filter("end.label = 'Item'")
+    return ends.groupBy(F.col("end.id").alias("node_id")).agg(
         F.count(F.lit(1)).alias("degree"), F.array_join(F.sort_array(F.collect_set("rel_type")), ",").alias("types")
     )
 

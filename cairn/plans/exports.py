@@ -85,11 +85,21 @@ def export_catalogue(g: Graph) -> DataFrame:
     )
 
 
+#: Products of a brand in one document, about.
+CHUNK = 1000
+
+
 def catalogue_json(g: Graph) -> DataFrame:
-    """slug, json: one nested document a brand, products keyed by slug (of equal slugs the first id)."""
+    """slug, part, parts, json: nested documents of a brand, products keyed by slug (of equal slugs the first id).
+
+    A brand of more than CHUNK products comes in several documents of about that many, so no brand
+    has to fit a row or a task.
+    """
     p = product_rows(g).groupBy("brand_slug", "slug").agg(F.min(F.struct("node_id", "is_family", "variants")).alias("product"))
-    by_brand = p.groupBy("brand_slug").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("slug", "product")))).alias("products"))
-    return by_brand.select(F.col("brand_slug").alias("slug"), F.to_json(F.struct(F.col("brand_slug").alias("id"), "products")).alias("json"))
+    parts = p.groupBy("brand_slug").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
+    dealt = p.join(parts, "brand_slug").withColumn("part", F.pmod(F.xxhash64("slug"), F.col("parts")))
+    by_brand = dealt.groupBy("brand_slug", "part", "parts").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("slug", "product")))).alias("products"))
+    return by_brand.select(F.col("brand_slug").alias("slug"), "part", "parts", F.to_json(F.struct(F.col("brand_slug").alias("id"), "products")).alias("json"))
 
 
 @query("export_catalogue_json")

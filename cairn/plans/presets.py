@@ -78,25 +78,28 @@ def orphan_families(g: Graph) -> DataFrame:
   FROM family f LEFT JOIN (SELECT src_id AS fid, dst_id AS id FROM e_has_variant UNION ALL SELECT dst_id, src_id FROM e_variant_of) m ON m.fid = f.node_id
   LEFT JOIN item i ON i.node_id = m.id GROUP BY 1, 2, 3 ORDER BY item_count DESC, family, f.node_id LIMIT 50""")
 def families_with_items(g: Graph) -> DataFrame:
-    """Both directions' lists together; an item found by both counts twice, as lists are added."""
+    """Both directions' lists together; an item found by both counts twice, as lists are added.
+
+    Families are counted and cut to the fifty shown first; names are looked up for those alone.
+    """
     one = g.edge("HAS_VARIANT").select(F.col("src_id").alias("fid"), F.col("dst_id").alias("id"))
     both = one.unionByName(g.edge("VARIANT_OF").select(F.col("dst_id").alias("fid"), F.col("src_id").alias("id")))
-    named = both.join(g.item().select(F.col("node_id").alias("id"), "name"), "id")
-    lists = named.groupBy("fid").agg(
-        F.count(F.lit(1)).alias("item_count"),
-        F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("name", "id"))), 1, 5), lambda x: x["name"]), "; ").alias("sample_items"),
-    )
-    out = g.family().join(lists, F.col("node_id") == F.col("fid"), "left")
-    return out.select(
-        "node_id", F.col("name").alias("family"), "brand", F.coalesce("item_count", F.lit(0)).alias("item_count"),
-        F.coalesce("sample_items", F.lit("")).alias("sample_items"),
-    ).orderBy(F.desc("item_count"), "family", "node_id").limit(50)
+    counts = both.groupBy("fid").agg(F.count(F.lit(1)).alias("item_count"))
+    out = g.family().join(counts, F.col("node_id") == F.col("fid"), "left")
+    shown = out.select("node_id", F.col("name").alias("family"), "brand", F.coalesce("item_count", F.lit(0)).alias("item_count"))
+    order = [F.desc("item_count"), "family", "node_id"]
+    shown = shown.orderBy(*order).limit(50)
+    members = both.join(shown.select(F.col("node_id").alias("fid")), "fid", "left_semi").join(g.item().select(F.col("node_id").alias("id"), "name"), "id")
+    first = members.withColumn("r", F.row_number().over(Window.partitionBy("fid").orderBy("name", "id"))).filter("r <= 5")
+    samples = first.groupBy("fid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), "; ").alias("sample_items"))
+    full = shown.join(samples, F.col("node_id") == F.col("fid"), "left").select(*shown.columns, F.coalesce("sample_items", F.lit("")).alias("sample_items"))
+    return full.orderBy(*order)
 
 
 @query("preset_families_by_brand", """SELECT f.node_id, f.name AS family, coalesce(b.name, f.brand) AS brand, f.category FROM family f
-  LEFT JOIN e_produced_by e ON e.src_id = f.node_id LEFT JOIN brand b ON b.node_id = e.dst_id ORDER BY brand NULLS LAST, family, f.node_id LIMIT 100""")
+  LEFT JOIN e_family_produced_by e ON e.src_id = f.node_id LEFT JOIN brand b ON b.node_id = e.dst_id ORDER BY brand NULLS LAST, family, f.node_id LIMIT 100""")
 def families_by_brand(g: Graph) -> DataFrame:
-    named = g.edge("PRODUCED_BY").join(g.brand().select(F.col("node_id").alias("dst_id"), F.col("name").alias("b")), "dst_id")
+    named = g.edge("PRODUCED_BY/Family").join(g.brand().select(F.col("node_id").alias("dst_id"), F.col("name").alias("b")), "dst_id")
     out = g.family().join(named.select(F.col("src_id").alias("node_id"), "b"), "node_id", "left")
     return out.select("node_id", F.col("name").alias("family"), F.coalesce("b", "brand").alias("brand"), "category").orderBy(
         *_up("brand", "family", "node_id")

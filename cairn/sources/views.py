@@ -61,7 +61,7 @@ class Graph:
 
     def insight(self) -> DataFrame:
         return self.table("documents").select(
-            F.col("doc_id").alias("node_id"), F.substring("text", 1, 50).alias("summary"), F.col("text").alias("content"),
+            F.col("doc_id").alias("node_id"), F.element_at(F.split("text", "\n", 2), 1).alias("summary"), F.col("text").alias("content"),
             F.col("lang").alias("category"),
         )
 
@@ -93,10 +93,11 @@ class Graph:
         return self.table("events").select("event_id", F.col("user_id").alias("entity"), F.col("event_type").alias("status"), "ts", "value")
 
     def edge(self, rel: str) -> DataFrame:
-        """src_id, src_label, rel_type, dst_id, dst_label of one relationship type."""
+        """src_id, src_label, rel_type, dst_id, dst_label of one relationship type; TYPE/Label is the part of
+        a type that has several source labels."""
         src, dst, make = EDGES[rel]
         pairs = make(self).select("src_id", "dst_id").distinct()
-        return pairs.select("src_id", F.lit(src).alias("src_label"), F.lit(rel).alias("rel_type"), "dst_id", F.lit(dst).alias("dst_label"))
+        return pairs.select("src_id", F.lit(src).alias("src_label"), F.lit(rel.split("/")[0]).alias("rel_type"), "dst_id", F.lit(dst).alias("dst_label"))
 
     def edges(self) -> DataFrame:
         """All relationships in one relation."""
@@ -148,6 +149,7 @@ EDGES: dict[str, tuple[str, str, Callable[[Graph], DataFrame]]] = {
     "HAS_VARIANT": ("Family", "Item", _members("p_partkey % 6 = 0", reverse=True)),
     "MANUFACTURES": ("Brand", "Family", lambda g: g.table("lineitem").filter("l_partkey % 4 = 0 AND l_suppkey % 5 <> 0").select(F.col("l_suppkey").alias("src_id"), F.col("l_partkey").alias("p_partkey")).join(_family_of()(g), "p_partkey").select("src_id", F.col("family_id").alias("dst_id"))),
     "PRODUCED_BY": ("Item", "Brand", lambda g: g.table("part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("src_id"), (F.col("p_partkey") % 10).alias("dst_id"))),
+    "PRODUCED_BY/Family": ("Family", "Brand", lambda g: g.family().filter("node_id % 4 = 1").select(F.col("node_id").alias("src_id"), (F.col("node_id") % 10).alias("dst_id"))),
     "COMPARED_TO": ("Item", "Item", lambda g: g.table("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("src_id"), (F.col("p_partkey") + 1).alias("dst_id"))),
     "PAIRS_WITH": ("Item", "Item", lambda g: g.table("part").filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("src_id"), (F.col("p_partkey") + 2).alias("dst_id"))),
     "USES_TERM": ("Item", "Term", lambda g: g.table("part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("src_id"), (F.col("p_partkey") % 20).alias("dst_id"))),
@@ -171,7 +173,7 @@ family AS (SELECT node_id, name, brand, category, CASE WHEN node_id % 2 = 0 THEN
 source AS (SELECT o_orderkey AS node_id, 'o' || o_orderkey AS url, o_orderpriority AS title, o_orderstatus AS source_type,
   o_orderdate AS processed_at, coalesce(n, 0) AS items_found
   FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey),
-insight AS (SELECT doc_id AS node_id, substr(text, 1, 50) AS summary, text AS content, lang AS category FROM documents),
+insight AS (SELECT doc_id AS node_id, split_part(text, chr(10), 1) AS summary, text AS content, lang AS category FROM documents),
 term AS (SELECT CAST(n_nationkey AS BIGINT) AS node_id, n_name AS term, r_name AS definition,
   CASE WHEN n_regionkey <> 0 THEN r_name END AS category,
   CASE WHEN n_nationkey % 3 <> 0 THEN [lower(n_name), 'alias ' || lower(n_name)] END AS aliases
@@ -193,6 +195,7 @@ e_has_variant AS (SELECT DISTINCT family_id AS src_id, p_partkey AS dst_id FROM
 e_manufactures AS (SELECT DISTINCT l_suppkey AS src_id, family_id AS dst_id FROM lineitem JOIN member ON l_partkey = p_partkey
   WHERE l_partkey % 4 = 0 AND l_suppkey % 5 <> 0),
 e_produced_by AS (SELECT p_partkey AS src_id, p_partkey % 10 AS dst_id FROM part WHERE p_partkey % 50 = 0),
+e_family_produced_by AS (SELECT node_id AS src_id, node_id % 10 AS dst_id FROM family WHERE node_id % 4 = 1),
 e_compared_to AS (SELECT p_partkey AS src_id, p_partkey + 1 AS dst_id FROM part WHERE p_partkey % 3 = 0),
 e_pairs_with AS (SELECT p_partkey AS src_id, p_partkey + 2 AS dst_id FROM part WHERE p_partkey % 7 = 0),
 e_uses_term AS (SELECT p_partkey AS src_id, p_partkey % 20 AS dst_id FROM part WHERE p_partkey % 20 = 0),
@@ -204,6 +207,7 @@ edges AS (SELECT *, 'Brand' AS src_label, 'MANUFACTURES_ITEM' AS rel_type, 'Item
   UNION ALL SELECT *, 'Family', 'HAS_VARIANT', 'Item' FROM e_has_variant
   UNION ALL SELECT *, 'Brand', 'MANUFACTURES', 'Family' FROM e_manufactures
   UNION ALL SELECT *, 'Item', 'PRODUCED_BY', 'Brand' FROM e_produced_by
+  UNION ALL SELECT *, 'Family', 'PRODUCED_BY', 'Brand' FROM e_family_produced_by
   UNION ALL SELECT *, 'Item', 'COMPARED_TO', 'Item' FROM e_compared_to
   UNION ALL SELECT *, 'Item', 'PAIRS_WITH', 'Item' FROM e_pairs_with
   UNION ALL SELECT *, 'Item', 'USES_TERM', 'Term' FROM e_uses_term)
