@@ -23,6 +23,9 @@ SETTLED = 0.002
 BLOCK = 256
 #: Query vectors that one pass of the audit compares with all rows.
 QUERIES = 2048
+#: Vectors that a run compares with all others to see what its search missed, and the share of them
+#: that may have missed links; beyond it lists are doubled and the search is run again.
+AUDITED, MISSED = 256, 0.005
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +108,9 @@ def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "cos"])
 
 
-def _first_lists(double: bool):
-    """Neighbours among SPAN rows that follow each other in an order; spans overlap by half."""
+def _first_lists(double: bool, size: int):
+    """Neighbours among rows that follow each other in an order, SPAN at a time; spans overlap by half."""
+    span = max(SPAN, 4 * size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -116,7 +120,7 @@ def _first_lists(double: bool):
             t, cos = [x[0] for x in part], u @ u.T
             links = list(_linked(t, cos))
             cos[~_strange([x[3] for x in part])] = -2
-            return _edge_batch(list(_best_of(t, cos, LIST)) + links)
+            return _edge_batch(list(_best_of(t, cos, size)) + links)
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("t", "grp", "v", "home")), strict=True):
@@ -125,9 +129,9 @@ def _first_lists(double: bool):
                         yield look(held)
                     held = []
                 held.append(row)
-                if len(held) == SPAN:
+                if len(held) == span:
                     yield look(held)
-                    held = held[SPAN // 2 :]
+                    held = held[span // 2 :]
         if len(held) > 1:
             yield look(held)
 
@@ -194,8 +198,8 @@ def _prepared(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return rows, scratch.keep(nodes, "nodes"), double
 
 
-def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch, name: str = "") -> tuple[DataFrame, DataFrame]:
-    """The LIST best neighbours found of each node outside its home, as a, b, cos; links that were met, as a, b.
+def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch, name: str = "", size: int = LIST) -> tuple[DataFrame, DataFrame]:
+    """The size best neighbours found of each node outside its home, as a, b, cos; links that were met, as a, b.
 
     The links connect what pairs of THRESHOLD or more among the vectors met together connect,
     lists or not.
@@ -211,13 +215,13 @@ def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch, name: str
     for o in range(ORDERS):
         ordered = placed.select("t", "grp", "v", "home", F.col("places")[o].alias("place"))
         ordered = ordered.repartitionByRange(ranges, "grp", "place", "t").sortWithinPartitions("grp", "place", "t")
-        edges = ordered.mapInArrow(_first_lists(double), EDGES)
+        edges = ordered.mapInArrow(_first_lists(double, size), EDGES)
         found = edges if found is None else found.unionByName(edges)
     best = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
 
     def cut(edges: DataFrame, name: str) -> DataFrame:
         known = edges.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh"))
-        return scratch.keep(known.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LIST), name)
+        return scratch.keep(known.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= size), name)
 
     found = scratch.keep(found, f"{name}met0")
     met_links = found.filter("cos IS NULL").select("a", "b")
@@ -225,9 +229,9 @@ def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch, name: str
     k = 0
     while True:
         k += 1
-        kth = lists.groupBy("a").agg(F.when(F.count(F.lit(1)) >= LIST, F.min("cos")).otherwise(-2.0).alias("kth"))
+        kth = lists.groupBy("a").agg(F.when(F.count(F.lit(1)) >= size, F.min("cos")).otherwise(-2.0).alias("kth"))
         back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos", "fresh")
-        back = back.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LIST)
+        back = back.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= size)
         near = lists.unionByName(back).groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
         active = near.groupBy("a").agg(F.max("fresh").alias("any")).filter("any").select("a")
         near = near.join(active, "a", "left_semi").select(F.col("a").alias("c"), F.col("b").alias("t"), "fresh")
@@ -246,6 +250,58 @@ def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch, name: str
     return lists.select("a", "b", "cos"), scratch.keep(links, f"{name}links")
 
 
+def _joined(nodes: DataFrame, lists: DataFrame, links: DataFrame, double: bool, scratch: Scratch, name: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Links and components once saturated vectors have found no more neighbours outside their component."""
+    full = lists.groupBy(F.col("a").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("last"))
+    full = scratch.keep(full.filter((F.col("n") >= size) & (F.col("last") >= THRESHOLD)).select("t"), f"{name}full")
+    labels, k = scratch.keep(connected_components(links, scratch, f"{name}cc"), f"{name}labels0"), 0
+    while True:
+        homes = labels.select(F.col("node").alias("t"), F.col("label").alias("home"))
+        crowded = scratch.keep(nodes.join(full, "t", "left_semi").join(homes, "t"), f"{name}crowded{k}")
+        several = crowded.groupBy("grp").agg(F.countDistinct("home").alias("n")).filter("n > 1").select("grp")
+        crowded = crowded.join(several, "grp", "left_semi")
+        if crowded.isEmpty():
+            return links, labels
+        more = neighbour_lists(crowded, double, scratch, f"{name}again{k}-", size)[1]
+        one, two = (homes.toDF(c, f"h{c}") for c in "ab")
+        if more.join(one, "a").join(two, "b").filter("ha != hb").isEmpty():
+            return links, labels
+        k += 1
+        links = links.unionByName(more)
+        labels = scratch.keep(connected_components(links, scratch, f"{name}cc{k}-"), f"{name}labels{k}")
+
+
+def _missed(nodes: DataFrame, labels: DataFrame, double: bool, scratch: Scratch, name: str) -> tuple[DataFrame | None, float]:
+    """Links (a, b) of AUDITED vectors with other components, one for each component, and the share of
+    these vectors that have any; None if no vector has."""
+    homes = labels.select(F.col("node").alias("t"), F.col("label").alias("home"))
+    placed = nodes.select("t", "grp", "v").join(homes, "t", "left").withColumn("home", F.coalesce("home", "t"))
+    picked = placed.orderBy(F.xxhash64("t", F.lit("audit"))).limit(AUDITED).collect()
+    asked: dict[str, list] = {}
+    for r in picked:
+        asked.setdefault(r["grp"], []).append((bytes(r["t"]), bytes(r["home"]), bytes(r["v"])))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, grp, raw, home = (b.column(c).to_pylist() for c in ("t", "grp", "v", "home"))
+            out, at = {}, {}
+            for i, g in enumerate(grp):
+                at.setdefault(g, []).append(i)
+            for g in at.keys() & asked.keys():
+                q = asked[g]
+                hit = _unit([x[2] for x in q], double) @ _unit([raw[i] for i in at[g]], double).T >= THRESHOLD
+                for j, i in np.argwhere(hit).tolist():
+                    if home[at[g][i]] != q[j][1]:
+                        out.setdefault((q[j][0], home[at[g][i]]), t[at[g][i]])
+            cols = [[a for a, _ in out], [h for _, h in out], list(out.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["a", "home", "b"])
+
+    met = placed.mapInArrow(meet, "a binary, home binary, b binary").groupBy("a", "home").agg(F.min("b").alias("b"))
+    met = scratch.keep(met.select("a", "b"), name)
+    n = met.select("a").distinct().count()
+    return (met, n / len(picked)) if n else (None, 0.0)
+
+
 def link_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row, linked at a cosine of THRESHOLD or more.
 
@@ -255,34 +311,33 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     rows link with each other. Cosines are in double precision. Other columns are ignored; an
     empty table gives an empty result.
 
-    NN-descent finds links; lists hold LIST neighbours. A list whose last neighbour still links
-    is saturated: saturated vectors search again for neighbours outside their component, until
-    that joins no more components. Lists inside a component are enlarged to the whole component: its
-    vectors are multiplied block by block, and each block pair returns one count a vector, so
+    NN-descent finds links; lists hold LIST neighbours at first. A list whose last neighbour
+    still links is saturated: saturated vectors search again for neighbours outside their
+    component, until that joins no more components. Then AUDITED vectors meet all others: links
+    that the search missed are added, and if more than MISSED of them had any, lists are doubled
+    and the search is run again. Lists inside a component are enlarged to the whole component:
+    its vectors are multiplied block by block, and each block pair returns one count a vector, so
     links are exact among all vectors that any found link connects, and no pair is written.
-    audit_recall() measures what the search misses.
+    audit_recall() measures what is still missing.
     """
     scratch = Scratch(vectors.sparkSession, "vectors")
     rows, nodes, double = _prepared(vectors, scratch)
-    lists, links = neighbour_lists(nodes.withColumn("home", F.lit(None).cast("binary")), double, scratch)
-    full = lists.groupBy(F.col("a").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("last"))
-    full = scratch.keep(full.filter((F.col("n") >= LIST) & (F.col("last") >= THRESHOLD)).select("t"), "full")
-    labels, k = scratch.keep(connected_components(links, scratch, "cc"), "labels0"), 0
+    links, size, k = None, LIST, 0
     while True:
-        homes = labels.select(F.col("node").alias("t"), F.col("label").alias("home"))
-        crowded = scratch.keep(nodes.join(full, "t", "left_semi").join(homes, "t"), f"crowded{k}")
-        several = crowded.groupBy("grp").agg(F.countDistinct("home").alias("n")).filter("n > 1").select("grp")
-        crowded = crowded.join(several, "grp", "left_semi")
-        if crowded.isEmpty():
-            break
-        more = neighbour_lists(crowded, double, scratch, f"again{k}-")[1]
-        one, two = (homes.toDF(c, f"h{c}") for c in "ab")
-        if more.join(one, "a").join(two, "b").filter("ha != hb").isEmpty():
+        lists, found = neighbour_lists(nodes.withColumn("home", F.lit(None).cast("binary")), double, scratch, f"search{k}-", size)
+        links = found if links is None else links.unionByName(found)
+        links, labels = _joined(nodes, lists, links, double, scratch, f"joined{k}-", size)
+        missed, bad = _missed(nodes, labels, double, scratch, f"missed{k}")
+        if missed is None:
             break
+        links = links.unionByName(missed)
         k += 1
-        links = links.unionByName(more)
-        labels = scratch.keep(connected_components(links, scratch, f"cc{k}-"), f"labels{k}")
-    scratch.drop_all_but("rows", "nodes", f"labels{k}")
+        if bad <= MISSED:
+            labels = scratch.keep(connected_components(links, scratch, f"last{k}-"), f"labels{k}")
+            break
+        size *= 2
+    labels = scratch.keep(labels, "labels")
+    scratch.drop_all_but("rows", "nodes", "labels")
     sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = labels.withColumnRenamed("node", "t").join(sizes, "label").join(nodes, "t")
     placed = placed.withColumn("k", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
