@@ -71,9 +71,13 @@ class LineIndex:
         scratch = Scratch(docs.sparkSession, "lines")
         refs = scratch.keep(count_lines(docs), "refs0")
         n_shards = -(-refs.filter(F.col("n") >= min_docs).count() // SHARD_KEYS) or 1
-        empty = docs.sparkSession.createDataFrame([], FILTERS)
-        index = cls(scratch, refs, empty, n_shards, min_docs)
-        index.filters = scratch.keep(index._changed(empty, refs.select("h1", "h2", "n", F.lit(0).alias("was")), refs), "filters0")
+        return cls._built(scratch, refs, n_shards, min_docs)
+
+    @classmethod
+    def _built(cls, scratch: Scratch, refs: DataFrame, n_shards: int, min_docs: int, step: int = 0) -> LineIndex:
+        empty = scratch.spark.createDataFrame([], FILTERS)
+        index = cls(scratch, refs, empty, n_shards, min_docs, step)
+        index.filters = scratch.keep(index._changed(empty, refs.select("h1", "h2", "n", F.lit(0).alias("was")), refs), f"filters{step}")
         return index
 
     def _changed(self, filters: DataFrame, moves: DataFrame, refs: DataFrame) -> DataFrame:
@@ -116,6 +120,9 @@ class LineIndex:
             both.groupBy("h1", "h2").agg(F.sum("n").alias("was"), F.sum(F.col("n") + F.col("d")).alias("n")), f"moved{step}"
         )
         refs = moved.filter(F.col("n") > 0).select("h1", "h2", "n")
+        shards = -(-refs.filter(F.col("n") >= self.min_docs).count() // SHARD_KEYS)
+        if shards > 2 * self.n_shards:  # filters have outgrown their tasks: more of them, built from the counts
+            return LineIndex._built(self.scratch, refs, shards, self.min_docs, step)
         out = LineIndex(self.scratch, refs, self.filters, self.n_shards, self.min_docs, step)
         out.filters = self.scratch.keep(out._changed(self.filters, moved, refs), f"filters{step}")
         return out

@@ -180,8 +180,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = MAX_LEN
     Only documents of more than capacity tokens are cut; all their pieces but the first are
     full. Returns one row per piece: doc_id, piece, start, length, ids_crc32 (of little-endian
     unsigned 32-bit ids), sequence_id (from 0), offset, and ids if asked for. Null text counts
-    as empty (one token, end_id). Repeated rows are packed each; other columns are ignored; an
-    empty table gives an empty result.
+    as empty (one token, end_id). Repeated rows are packed each; pieces of one length are alike to
+    the plan and take its places in any order. A very long text is tokenized whole, by the task
+    that holds its row. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -51,7 +51,10 @@ def jump_shards(key: Column, n: int) -> Column:
         F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("grown"),
     )
     steps = F.sequence(F.lit(1), F.lit(min(n + 1, MOST_JUMPS)))
-    return F.aggregate(steps, start, step, lambda s: F.struct(s["b"].alias("shard"), s["grown"].alias("grown_shard")))
+    if n < MOST_JUMPS:
+        return F.aggregate(steps, start, step, lambda s: F.struct(s["b"].alias("shard"), s["grown"].alias("grown_shard")))
+    whole = lambda s: F.when(s["at"] > n, s["b"]).otherwise(F.raise_error(F.lit("a walk of too many jumps")).cast("long"))
+    return F.aggregate(steps, start, step, lambda s: F.struct(whole(s).alias("shard"), s["grown"].alias("grown_shard")))
 
 
 def assign_shards(df: DataFrame, key: str, n_shards: int) -> DataFrame:

@@ -308,7 +308,8 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     Rows of one label and length are compared; null labels, and vectors that are null, empty,
     zero or hold null or non-finite components link with nothing (n_links 0, component_id their
     own vec_id). Equal vectors are one node, so copies are counted and never paired; repeated
-    rows link with each other. Cosines are in double precision. Other columns are ignored; an
+    rows link with each other. Cosines are in double precision; one of exactly THRESHOLD links, and
+    of components that tie for a head there is none, as the head is the least vec_id (null ones last). Other columns are ignored; an
     empty table gives an empty result.
 
     NN-descent finds links; lists hold LIST neighbours at first. A list whose last neighbour
