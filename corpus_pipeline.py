@@ -21,31 +21,43 @@ LINE_DOCS = 10
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose words speak for no language, go."""
+    """Documents without a letter, or whose words speak for no language, go.
+
+    Null and empty texts have no letter. Of languages that tie the first in code-point order
+    counts; repeated rows all stay or all go; texts of any length are read whole.
+    """
     docs = docs.select(*COLUMNS)
     found = language_id.identify(docs, language_id.learn(docs), COLUMNS)
     return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that LINE_DOCS or more documents share go; text and n_chars are those of the lines that stay."""
+    """Lines that LINE_DOCS or more documents share go; text and n_chars are those of the lines that stay.
+
+    Every document stays, if with an empty text; a null text becomes empty. Repeated rows count as
+    documents each.
+    """
     docs = docs.select(*COLUMNS)
     kept = line_dedup.dedup_lines(docs, LINE_DOCS, ["doc_id", "lang", "source"])
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least doc_id stays."""
+    """Of each class of near-duplicates the document with the least doc_id stays, and of repeated rows of it one.
+
+    Null and empty texts, and texts without a word, are classes of their own and stay; a null
+    doc_id is the largest of its class.
+    """
     return near_dedup.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts, and repeated rows of clean ones, stay."""
     return decontaminate.drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece with its sequence and offset."""
+    """One row per piece with its sequence and offset; a null or empty text is one piece of one token."""
     return packing.pack_documents(docs, packing.tokenizer_file())
 
 
