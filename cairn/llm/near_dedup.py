@@ -170,7 +170,7 @@ def find_near_duplicates(docs: DataFrame, carry: list[str] = []) -> DataFrame:
     word parities (bag_bits) show that they cannot link: each edit changes two words at most, and
     where shingles are similar by s, texts of n and m words have at most (1 - s) / (1 + s)
     (n + m - 8) + 8 words that are not in both, as each shared shingle begins with a shared word.
-    No bucket has a cap, none is gathered in a task, and pairs already connected are not
+    A pair is met in the first bucket that its texts share. No bucket has a cap, none is gathered in a task, and pairs already connected are not
     compared again. Two texts that differ in a twentieth of their words share a sample with a
     probability of 0.999, in a tenth with 0.93; classes are joined by any of their links.
     """
@@ -209,21 +209,22 @@ def find_near_duplicates(docs: DataFrame, carry: list[str] = []) -> DataFrame:
     sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_c"))
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("_c", "label")).alias("main"))
     apart = scratch.keep(left.join(main, "key").filter("label != main").select("key", "t", "label", "main"), "apart")
-    facts = texts.select("t", "n", *[F.col("bag")[i].alias(c) for i, c in enumerate(BAG)])
-    one = apart.join(facts, "t").select("key", "main", *[F.col(c).alias(f"{c}1") for c in ("t", "label", "n", *BAG)])
+    facts = texts.select("t", "n", "keys", *[F.col("bag")[i].alias(c) for i, c in enumerate(BAG)])
+    one = apart.join(facts, "t").select("key", "main", *[F.col(c).alias(f"{c}1") for c in ("t", "label", "n", "keys", *BAG)])
     two = left.join(apart.select("key").distinct(), "key", "left_semi").join(facts, "t")
-    two = two.select("key", *[F.col(c).alias(f"{c}2") for c in ("t", "label", "n", *BAG)])
+    two = two.select("key", *[F.col(c).alias(f"{c}2") for c in ("t", "label", "n", "keys", *BAG)])
     turned = reduce(Column.__add__, [F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in BAG])
     longer, every = F.greatest("n1", "n2"), F.col("n1") + F.col("n2")
     most = F.greatest(2 * NEAR * longer, (1 - SIMILARITY) / (1 + SIMILARITY) * (every - 2 * (SHINGLE - 1)) + 2 * (SHINGLE - 1))
     near = (
         (F.col("label1") != F.col("label2")) & ((F.col("t1") < F.col("t2")) | (F.col("label2") == F.col("main"))) & (F.least("n1", "n2") >= (1 - FAR) * longer - 1e-6)
         & (turned + F.abs(F.col("n1") - F.col("n2")) <= F.least(2 * FAR * longer, most) + 1e-6)
+        & (F.get(F.filter("keys1", lambda x, i: x == F.get("keys2", i)), F.lit(0)) == F.col("key"))
     )
     rest = one.join(two, "key").filter(near).select(
         F.least("t1", "t2").alias("a"), F.greatest("t1", "t2").alias("b"), F.least("label1", "label2").alias("la"), F.greatest("label1", "label2").alias("lb")
     )
-    more = compared(rest.distinct(), "rest", ("la", "lb")).filter("similar").select("a", "b").distinct()
+    more = compared(rest, "rest", ("la", "lb")).filter("similar").select("a", "b").distinct()
     joined = scratch.keep(connected_components(more, scratch, "cc1"), "joined")  # classes that direct comparison joins
     named = joined.toDF("_node", "_label")
     alone = joined.join(labels, "node", "left_anti")
