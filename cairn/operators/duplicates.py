@@ -6,7 +6,9 @@ are one node, so copies never multiply. Candidates come from equi-joins on token
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import fuzzy
@@ -20,16 +22,40 @@ from cairn.sources.scratch import keeper
 from cairn.sources.views import Graph
 
 
+#: Names of a brand that are compared with as many others by one group of the join.
+BLOCK = 1000
+#: Characters that are counted one by one; all others are counted as one.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letter_counts(c: Column) -> Column:
+    """How often each of LETTERS stands in a text, and how many other characters there are."""
+    each = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in LETTERS]
+    return F.array(*each, F.length(c) - reduce(Column.__add__, each))
+
+
 def pairs_within_brand(g: Graph, least: float = 85.0) -> DataFrame:
     """Different names of one brand whose composite similarity is least or more.
 
-    The composite holds three parts of at most 70 beside the ratio's 30, so lengths must be
-    within a factor that lets the ratio reach its share; that test sits in the join.
+    Of the composite, partial ratio and token set ratio hold 45 of 100 at most. The ratio and the
+    token sort ratio are at most twice the letters that both names have over their lengths, so
+    counts of letters rule most pairs out before any is aligned. A brand's names are dealt to
+    blocks, and each pair of blocks is a group of its own: a brand of very many names is no load
+    for one task, though all its pairs of blocks are met.
     """
     names = g.item().filter("name IS NOT NULL").select(F.lower(F.coalesce("brand", F.lit("unknown"))).alias("brand"), F.lower("name").alias("name")).distinct()
-    b = names.toDF("brand", "other")
-    near = F.least(F.length("name"), F.length("other")) * 3 >= F.greatest(F.length("name"), F.length("other"))
-    pairs = names.join(b, "brand").filter((F.col("name") < F.col("other")) & near)
+    blocks = names.groupBy("brand").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    single = F.trim(F.regexp_replace("name", r"\s+", " "))
+    dealt = names.join(blocks, "brand").select("brand", "name", F.length("name").alias("n"), letter_counts(F.col("name")).alias("l"), letter_counts(single).alias("w"), F.length(single).alias("m"),
+                                               F.pmod(F.xxhash64("name"), F.col("blocks")).alias("k"), "blocks")
+    one = dealt.select("brand", F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}1") for c in ("name", "n", "l", "m", "w")])
+    two = dealt.select("brand", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))).alias("i"), F.col("k").alias("j"), *[F.col(c).alias(f"{c}2") for c in ("name", "n", "l", "m", "w")])
+    both = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x) * 200.0
+    shorter = F.least("n1", "n2") * 2 * 0.3 / (F.col("n1") + F.col("n2")) + F.least("m1", "m2") * 2 * 0.25 / (F.col("m1") + F.col("m2"))
+    most = both("l1", "l2") * 0.3 / (F.col("n1") + F.col("n2")) + both("w1", "w2") * 0.25 / (F.col("m1") + F.col("m2")) + 45
+    once = (F.col("i") != F.col("j")) | (F.col("name1") < F.col("name2"))
+    pairs = one.join(two, ["brand", "i", "j"]).filter(once & (shorter * 100 + 45 >= least - 1e-6) & (most >= least - 1e-6))
+    pairs = pairs.select("brand", F.least("name1", "name2").alias("name"), F.greatest("name1", "name2").alias("other"))
     return pairs.withColumn("similarity", fuzzy.scored(lambda a, b: fuzzy.in_brand(a, b, least), F.col("name"), F.col("other"))).filter(F.col("similarity") >= least)
 
 
