@@ -95,12 +95,21 @@ def dup_probe(g: Graph) -> DataFrame:
 
 def token_neighbours(nodes: DataFrame, least: int = 2) -> DataFrame:
     """a, b: keys of nodes (key, name, brand) with least or more common tokens, or with one and the
-    same non-empty brand, from inverted indexes of the tokens."""
-    tokens = nodes.select("key", "brand", F.explode(name_tokens("name")).alias("token"))
-    one, two = tokens.toDF("a", "brand", "token"), tokens.toDF("b", "brand", "token")
-    pairs = one.drop("brand").join(two.drop("brand"), "token").filter("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("a", "b")
-    branded = one.filter("brand <> ''").join(two, ["brand", "token"]).filter("a < b").select("a", "b")
+    same non-empty brand.
+
+    A name's tokens are ordered by how many names hold them, the rarest first. Names with least
+    common tokens share one that is not among the last least - 1 of either, so the commonest
+    tokens of a name are not joined on; what is shared is counted on whole lists.
+    """
+    words = nodes.select("key", "brand", F.explode(name_tokens("name")).alias("token"))
+    held = words.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    lists = words.join(held, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("s"))
+    lists = lists.select("key", F.transform("s", lambda x: x["token"]).alias("tokens")).filter(F.size("tokens") >= least)
+    index = lists.select("key", "tokens", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)).alias("token"))
+    one, two = index.toDF("a", "x", "token"), index.toDF("b", "y", "token")
+    pairs = one.join(two, "token").filter((F.col("a") < F.col("b")) & (F.size(F.array_intersect("x", "y")) >= least)).select("a", "b")
+    own = words.filter("brand <> ''")
+    branded = own.toDF("a", "brand", "token").join(own.toDF("b", "brand", "token"), ["brand", "token"]).filter("a < b").select("a", "b")
     return pairs.unionByName(branded).distinct()
 
 
