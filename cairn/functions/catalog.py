@@ -90,7 +90,7 @@ def text_all_caps(g: Graph) -> DataFrame:
     return g.item().filter(c.isNotNull()).select("node_id", ((F.upper(c) == c) & (F.lower(c) != c) & (F.length(c) > 4)).alias("all_caps"))
 
 
-@query("text_title_case")
+@query("text_title_case", r"SELECT node_id, array_to_string(list_transform(regexp_extract_all(lower(name), '\p{L}+|[^\p{L}]+'), lambda x: upper(x[1]) || x[2:]), '') AS title FROM item")
 def text_title_case(g: Graph) -> DataFrame:
     return g.item().select("node_id", text.title_case("name").alias("title"))
 
@@ -148,7 +148,8 @@ def units_weight_grams(g: Graph) -> DataFrame:
     return g.item().select("node_id", units.weight_grams(F.concat((k % 40).cast("string"), F.lit(".5"), unit)).alias("grams"))
 
 
-@query("units_weights_in_text")
+@query("units_weights_in_text", """SELECT node_id, array_to_string(list_transform(list_filter([node_id::DOUBLE, round_even(node_id * 28.3495::DOUBLE, 0), 454.0::DOUBLE, round_even(453.592::DOUBLE + node_id * 28.3495::DOUBLE, 0)],
+  lambda x: x > 10 AND x < 20000), lambda x: CAST(x AS VARCHAR)), ',') AS grams FROM item""")
 def units_weights_in_text(g: Graph) -> DataFrame:
     """Weights read from a text about each item, in the order of the unit patterns."""
     k = F.col("node_id").cast("string")
