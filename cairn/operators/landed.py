@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions import fuzzy, units
+from cairn.functions import fuzzy, units, urls
 from cairn.functions.products import landed_items
 from cairn.functions.text import materials_in
 from cairn.operators.aggregates import first_by
@@ -229,3 +229,48 @@ def dup_product_vocabulary(g: Graph) -> DataFrame:
     scored = pairs.withColumn("score", F.round(fuzzy.scored(fuzzy.weighted_ratio, F.col("line"), F.col("known")), 6))
     good = scored.filter((F.col("own") & (F.col("score") >= 85)) | (F.col("score") >= 90))
     return first_by(good, ["line"], [F.desc("own"), F.desc("score"), "known"]).select("line", "known", "score", "own")
+
+
+_PRODUCT, _COLLECTION = "|".join(urls.PRODUCT_PATHS), "|".join(urls.COLLECTION_PATHS)
+_SKIP = " OR ".join(f"contains(lower(dst), '{x}')" for x in urls.SKIPPED)
+
+
+@query("url_product_pipeline", f""", {_LINKED} SELECT host, norm, min(dst) AS url, CASE WHEN bool_or(regexp_matches(norm, '{_PRODUCT}')) THEN 'product' WHEN bool_or(regexp_matches(norm, '{_COLLECTION}')) THEN 'collection' ELSE 'other' END AS kind FROM (
+  SELECT host, dst, regexp_replace(lower(substr(dst, length(host) + 1)), '{urls.LOCALE}', '/') AS norm FROM lk WHERE starts_with(dst, host) AND NOT ({_SKIP})) GROUP BY host, norm""")
+def url_product_pipeline(g: Graph) -> DataFrame:
+    """A site's links but those to skip, without their locale, one address each, and what they lead to."""
+    links = links_of(g.page()).withColumn("host", F.regexp_extract("src", "^([^/]+)", 1)).select("host", "dst").distinct()
+    own = links.filter(F.startswith("dst", F.col("host")) & ~urls.is_skipped(F.col("dst")))
+    path = urls.without_locale(F.substr("dst", F.length("host") + F.lit(1)))
+    one = own.select("host", path.alias("norm"), "dst").groupBy("host", "norm").agg(F.min("dst").alias("url"))
+    kind = F.when(urls.is_product(F.col("norm")), "product").when(urls.is_collection(F.col("norm")), "collection").otherwise("other")
+    return one.select("host", "norm", "url", kind.alias("kind"))
+
+
+@query("top_archive_by_title", "SELECT url, title, processed_at FROM source ORDER BY processed_at DESC NULLS FIRST, node_id LIMIT 100")
+def top_archive_by_title(g: Graph) -> DataFrame:
+    """The hundred latest sources, sorted by title after the cut."""
+    last = g.source().orderBy(F.col("processed_at").desc_nulls_first(), "node_id").limit(100)
+    return last.orderBy("title", "url").select("url", "title", "processed_at")
+
+
+@query("comparison_maps", """SELECT i.node_id, count(DISTINCT o.name || '|' || e.kind) AS others, count(DISTINCT o.name || '|' || e.kind) = 0 AS none FROM item i LEFT JOIN (SELECT src_id, dst_id, CASE WHEN src_id % 2 = 0 THEN 'weight' ELSE 'price' END AS kind FROM e_compared_to) e ON e.src_id = i.node_id
+  LEFT JOIN item o ON o.node_id = e.dst_id GROUP BY i.node_id""")
+def comparison_maps(g: Graph) -> DataFrame:
+    """Comparisons of each item as a list of maps, once each; the map of nulls that an item without any
+    has is left out after the list is made."""
+    kind = F.when(F.col("src_id") % 2 == 0, "weight").otherwise("price")
+    edges = g.edge("COMPARED_TO").select(F.col("src_id").alias("node_id"), "dst_id", kind.alias("kind"))
+    names = g.item().select(F.col("node_id").alias("dst_id"), F.col("name").alias("other"))
+    both = g.item().select("node_id").join(edges.join(names, "dst_id", "left"), "node_id", "left")
+    maps = both.groupBy("node_id").agg(F.collect_set(F.struct("other", "kind")).alias("maps"))
+    held = F.filter("maps", lambda m: m["other"].isNotNull())
+    return maps.select("node_id", F.size(held).cast("long").alias("others"), (F.size(held) == 0).alias("none"))
+
+
+@query("text_brand_redundancy", """SELECT node_id, CASE WHEN starts_with(lower(name), lower(brand) || ' ') THEN 'remove' WHEN contains(lower(name), lower(brand)) THEN 'review' ELSE 'keep' END AS advice FROM item WHERE name IS NOT NULL AND brand <> ''""")
+def text_brand_redundancy(g: Graph) -> DataFrame:
+    """What to do about a brand that its item's name holds."""
+    n, b = F.lower("name"), F.lower("brand")
+    advice = F.when(F.startswith(n, F.concat(b, F.lit(" "))), "remove").when(F.contains(n, b), "review").otherwise("keep")
+    return g.item().filter("name IS NOT NULL AND brand <> ''").select("node_id", advice.alias("advice"))

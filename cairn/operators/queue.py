@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.products import checklist
 from cairn.operators import rules
 from cairn.operators.aggregates import first_by
 from cairn.operators.graph import missing, present
-from cairn.operators.quality import _HOLDS, _MESSY, _in, invalid_brand_confidence, messy_brands, scan_redundant_brands
+from cairn.operators.quality import _FORMS, _HOLDS, _MESSY, _in, invalid_brand_confidence, lookup, messy_brands, scan_redundant_brands
+from cairn.operators.research import _RESULTS, search_results
 from cairn.registry import query
 from cairn.sources.views import Graph
 
@@ -79,6 +80,14 @@ def queue_next_batch(g: Graph) -> DataFrame:
     return queue_states(_events(g)).filter("status = 'pending'").orderBy("sort_key", "added", "entity").limit(BATCH).select("entity", "sort_key", "added")
 
 
+@query("queue_rounds", f", {_STATES} SELECT entity, CAST((row_number() OVER (ORDER BY sort_key, added, entity) - 1) // {BATCH} AS BIGINT) AS round FROM (SELECT * FROM states WHERE status = 'pending' ORDER BY sort_key, added, entity LIMIT {5 * BATCH})")
+def queue_rounds(g: Graph) -> DataFrame:
+    """Which round of a run of at most five takes which entries; the run ends earlier if none are left."""
+    first = queue_states(_events(g)).filter("status = 'pending'").orderBy("sort_key", "added", "entity").limit(5 * BATCH)
+    place = F.row_number().over(Window.orderBy("sort_key", "added", "entity")) - 1  # of five batches at most
+    return first.select("entity", F.floor(place / BATCH).alias("round"))
+
+
 def item_checks(g: Graph) -> DataFrame:
     """node_id, check_id, priority, issue: every check of every item but those on heard names.
 
@@ -214,8 +223,6 @@ def similar_brands(brands: DataFrame, most: int = 5) -> DataFrame:
 
 
 def first_k(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
-    from pyspark.sql import Window
-
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
@@ -225,3 +232,23 @@ def first_k(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
 def quality_similar_brands(g: Graph) -> DataFrame:
     names = messy_brands(g).select("brand").filter("brand IS NOT NULL").union(g.brand().select("name")).distinct()
     return similar_brands(names)
+
+
+_BRANDS_OF = f"m AS ({_MESSY}), n AS (SELECT brand, count(*) AS c FROM m WHERE brand IS NOT NULL GROUP BY brand)"
+
+
+@query("quality_brand_verdicts", f""", {_BRANDS_OF}, w AS (SELECT brand, least(0.95::DOUBLE, sum(CASE WHEN contains(lower(title || ' ' || snippet), lower(brand)) THEN 15 ELSE 0 END + CASE WHEN contains(lower(snippet), 'outdoor') THEN 10 ELSE 0 END) / 100.0::DOUBLE) AS p
+  FROM ({_RESULTS}) WHERE brand IS NOT NULL GROUP BY brand)
+  SELECT n.brand, CASE WHEN {_FORMS}[lower(n.brand)] <> n.brand THEN 'corrected' WHEN n.c >= 3 THEN 'valid' WHEN p >= 0.7 THEN 'valid' WHEN p >= 0.4 THEN 'uncertain' WHEN p IS NOT NULL THEN 'invalid' ELSE 'uncertain' END AS verdict,
+  CASE WHEN {_FORMS}[lower(n.brand)] <> n.brand THEN 'form' WHEN n.c >= 3 THEN 'graph' WHEN p IS NOT NULL THEN 'web' ELSE 'none' END AS tier FROM n LEFT JOIN w ON w.brand = n.brand""")
+def quality_brand_verdicts(g: Graph) -> DataFrame:
+    """Each brand by the first tier that knows it: its canonical form, the graph, what a search says of it."""
+    n = messy_brands(g).filter("brand IS NOT NULL").groupBy("brand").agg(F.count(F.lit(1)).alias("c"))
+    named = F.coalesce(F.contains(F.lower(F.concat_ws(" ", "title", "snippet")), F.lower("brand")), F.lit(False))
+    points = F.when(named, 15).otherwise(0) + F.when(F.contains(F.lower("snippet"), F.lit("outdoor")), 10).otherwise(0)
+    web = search_results(g).filter("brand IS NOT NULL").groupBy("brand").agg(F.least(F.lit(0.95), F.sum(points) / F.lit(100.0)).alias("p"))
+    form = F.try_element_at(lookup(rules.CANONICAL_BRANDS), F.lower("brand"))
+    corrected, known, p = F.coalesce(form != F.col("brand"), F.lit(False)), F.col("c") >= 3, F.col("p")
+    verdict = F.when(corrected, "corrected").when(known | (p >= 0.7), "valid").when(p >= 0.4, "uncertain").when(p.isNotNull(), "invalid").otherwise("uncertain")
+    tier = F.when(corrected, "form").when(known, "graph").when(p.isNotNull(), "web").otherwise("none")
+    return n.join(web, "brand", "left").select("brand", verdict.alias("verdict"), tier.alias("tier"))
