@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontaminate, language_id, line_dedup, near_dedup, packing, ranked_search, secrets, sharding, substring_dedup, token_count, toxicity, vector_dedup
+from cairn.llm import decontaminate, hard_negatives, language_id, line_dedup, near_dedup, packing, ranked_search, secrets, sharding, substring_dedup, token_count, toxicity, vector_dedup
 
 QUERIES = {
     "op1_token_count": token_count.op1_token_count,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_vector_dedup": vector_dedup.op8_vector_dedup,
     "op9_shards": sharding.op9_shards,
     "op10_suffix_dedup": substring_dedup.op10_suffix_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_toxicity": toxicity.op12_toxicity,
     "op13_ranked_search": ranked_search.op13_ranked_search,
 }
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op2_secrets": secrets.OP2_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op9_shards": sharding.OP9_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
     "op13_ranked_search": ranked_search.OP13_SQL,
 }
