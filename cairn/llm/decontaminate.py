@@ -226,7 +226,9 @@ def _words_in(text: str, word: str) -> Iterator[tuple[int, int, int]]:
         end = at + len(word)
         if not (text[at - 1 : at].isalnum() and word[0].isalnum()) and not (text[end : end + 1].isalnum() and word[-1].isalnum()):
             yield 0, at, end
-        at = text.find(word, end)
+            at = text.find(word, end)
+        else:
+            at = text.find(word, at + 1)
 
 
 def _apart(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

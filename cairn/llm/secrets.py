@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,45 @@ KINDS = [("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32
 BARE = r"[A-Za-z0-9+/_=-]{24,}"
 
 
+#: Numbers of an array that are summed up one after another; longer arrays are summed up by pieces.
+PIECE = 128
+SPANS = "array<struct<start:int,kind_no:int,end:int,value:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: what a lambda names from outside is worked out at each call."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, start: Column, op: Callable[[Column, Column], Column]) -> Column:
+    zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        at = op(s["at"], x)
+        return F.struct(at.alias("at"), F.concat(s["out"], F.array(at)).alias("out"))
+
+    return F.aggregate(values, zero, add, lambda s: s["out"])
+
+
+def running(values: Column, start: int, op: Callable[[Column, Column], Column]) -> Column:
+    """op over each prefix of an array of integers, from start on.
+
+    An array grows by copying, so prefixes are made within pieces of PIECE numbers, and once more over
+    the results of whole pieces: the time goes with the length.
+    """
+
+    def of(values: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(PIECE))
+        return let(F.transform(first, lambda i: F.slice(values, i, F.lit(PIECE))), summed)
+
+    def summed(pieces: Column) -> Column:
+        whole = F.transform(pieces, lambda p: F.aggregate(p, F.lit(start), op))
+        before = F.concat(F.array(F.lit(start)), _running(whole, F.lit(start), op))
+        return let(before, lambda at: F.flatten(F.transform(pieces, lambda p, i: _running(p, F.get(at, i), op))))
+
+    return let(values, of)
+
+
 def spans_of(text: Column, kind_no: int, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, kind_no, end, value>> of a pattern's leftmost non-overlapping matches.
 
@@ -26,25 +67,33 @@ def spans_of(text: Column, kind_no: int, pattern: str, group: int, least: int) -
     follow the same left-to-right search, so their lengths add up to positions in code points.
     access and hex match maximal runs, so their least length can stand in the pattern itself.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(
-        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value")
-    )
+    span = lambda x: F.struct((x["end"] - F.length(x["whole"])).alias("start"), F.lit(kind_no).alias("kind_no"), x["end"].alias("end"), x["value"].alias("value"))
+
+    def placed(whole: Column) -> Column:
+        gap = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+        ends = running(F.zip_with(gap, whole, lambda g, w: F.length(g) + F.length(w)), 0, lambda a, b: a + b)
+        every = F.transform(F.arrays_zip(ends.alias("end"), whole.alias("whole"), value.alias("value")), span)
+        return F.filter(every, lambda x: F.length(x["value"]) >= least)
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.from_json(F.lit("[]"), SPANS))
 
-    def add(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        span = F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(
-            end.alias("at"),
-            F.when(F.length(x["value"]) >= least, F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
-        )
 
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,kind_no:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    found = F.aggregate(parts, zero, add, lambda s: s["spans"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
+def apart(bare: Column, base: Column) -> Column:
+    """Those of bare that touch none of base: none that begins before reaches into them, and none begins in them."""
+    far = 2**31 - 1
+    is_base = lambda x: x["kind_no"] < len(KINDS)
+
+    def alone(both: Column) -> Column:
+        reach = running(F.transform(both, lambda x: F.when(is_base(x), x["end"]).otherwise(0)), 0, lambda a, b: F.greatest(a, b))
+        next_ = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(is_base(x), x["start"]).otherwise(far))), far, lambda a, b: F.least(a, b)))
+        marked = F.arrays_zip(both.alias("x"), reach.alias("reach"), next_.alias("next"))
+        kept = F.filter(marked, lambda m: ~is_base(m["x"]) & (m["reach"] <= m["x"]["start"]) & (m["next"] >= m["x"]["end"]))
+        return F.transform(kept, lambda m: m["x"])
+
+    both = F.array_sort(F.transform(F.concat(base, bare), lambda x: F.struct(x["start"], x["kind_no"], x["end"], x["value"])))
+    return F.when((F.size(base) == 0) | (F.size(bare) == 0), bare).otherwise(let(both, alone))
 
 
 def _listed(spans: Column, names: list[str]) -> Column:
@@ -88,13 +137,10 @@ def scan_secrets(
         spans_of(text, len(KINDS), BARE, 0, 24).alias("_bare"),
     )
     base = F.concat(*[F.col(f"_{k[0]}") for k in KINDS])
-    mixed = lambda x: (
-        x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[0-9]")
-        & ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    )
+    mixed = lambda x: x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[0-9]")
     hashed = lambda x: F.struct(x["start"], x["kind_no"], x["end"], F.sha2(x["value"], 256).alias("hash"))
     found = scratch.keep(
-        rows.withColumn("_base", base).withColumn("_bare", F.filter("_bare", mixed)).select(
+        rows.withColumn("_base", base).withColumn("_bare", apart(F.filter("_bare", mixed), F.col("_base"))).select(
             "doc_id", "_repo", "_owner", "_row",
             *[F.size(f"_{k[0]}").cast("long").alias(f"n_{k[0]}") for k in KINDS],
             F.transform(F.concat("_base", "_bare"), hashed).alias("_found"),
