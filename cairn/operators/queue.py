@@ -18,6 +18,8 @@ from cairn.sources.views import Graph
 
 #: The level that an entry is added with, and entries that one batch takes.
 ADDED_AT, BATCH = 3, 10
+#: What an entry is after its last event; after any other event it is pending.
+STATUS = {"take": "in_progress", "complete": "completed", "fail": "failed"}
 #: What to do about the rows of a preset.
 FIXABLE = {
     "no_brand": "assign_brand", "no_images": "add_image", "orphan_families": "link_to_gear", "orphan_insights": "link_to_gear", "orphan_glossary": "delete_orphan",
@@ -29,38 +31,42 @@ FIXABLE = {
 def queue_states(events: DataFrame) -> DataFrame:
     """entity, status, level, sort_key, checks, added: the state of each entry after its events.
 
-    events: entity, seq, kind (add, defer, escalate, complete, fail), level, score. An entry is
-    there from its first add on; what comes before is ignored. A deferred or escalated entry is
-    pending again. An entry runs the checks up to the level it was added with and those of the
-    levels it was escalated to.
+    events: entity, seq, kind (add, take, defer, escalate, complete, fail), level, score. An entry
+    is there from its first add on; what comes before is ignored, and so is an add of what is
+    there. A deferred or escalated entry is pending again. An entry runs the checks up to the
+    level it was added with and those of the levels it was escalated to.
     """
     first = events.filter("kind = 'add'").groupBy("entity").agg(F.min("seq").alias("added"))
-    seen = events.join(first, "entity").filter("seq >= added")
-    status = F.when(F.col("kind") == "complete", "completed").when(F.col("kind") == "fail", "failed").otherwise("pending")
+    seen = events.join(first, "entity").filter("seq = added OR (seq > added AND kind <> 'add')")
+    status = reduce(lambda a, k: a.when(F.col("kind") == k, STATUS[k]), STATUS, F).otherwise("pending")
     escalated = F.collect_set(F.when(F.col("kind") == "escalate", F.col("level")))
     states = seen.groupBy("entity", "added").agg(
         F.max_by(status, "seq").alias("status"), F.max_by("level", F.when(F.col("level").isNotNull(), F.col("seq"))).alias("level"),
-        F.min_by("score", "seq").alias("score"), escalated.alias("up"),
+        F.min_by("score", "seq").alias("score"), F.min_by("level", "seq").alias("first"), escalated.alias("up"),
     )
-    n = reduce(lambda a, b: a + b, [F.when((F.lit(c[2]) <= ADDED_AT) | F.array_contains("up", c[2]), 1).otherwise(0) for c in rules.CHECKS])
+    n = reduce(lambda a, b: a + b, [F.when((F.lit(c[2]) <= F.col("first")) | F.array_contains("up", c[2]), 1).otherwise(0) for c in rules.CHECKS])
     key = F.col("level") * 1000 + F.floor(F.col("score") * 100).cast("int")
     return states.select("entity", "status", "level", key.cast("int").alias("sort_key"), n.alias("checks"), "added")
 
 
-def _events(g: Graph) -> DataFrame:
-    """Queue events made of the events table; three in a hundred entities of it share one entry a day."""
+def queue_events(work: DataFrame) -> DataFrame:
+    """Queue events made of work events; three in a hundred entities of them share one entry a day."""
     s, e = F.col("status"), F.col("event_id")
     kind = F.when(s == "signup", "add").when(s == "view", "defer").when(s == "click", "escalate").when(s == "purchase", "complete").otherwise("fail")
     level = F.when(s == "signup", ADDED_AT).when(s == "view", F.lit(4) + (e % 2)).when(s == "click", F.lit(1) + (e % 2)).cast("int")
     entity = F.concat_ws("-", F.col("entity").cast("string"), (e % 40).cast("string"))
-    return g.work_event().select(entity.alias("entity"), e.alias("seq"), kind.alias("kind"), level.alias("level"), (F.pmod(e * 7, F.lit(100)) / 100).alias("score"))
+    return work.select(entity.alias("entity"), e.alias("seq"), kind.alias("kind"), level.alias("level"), (F.pmod(e * 7, F.lit(100)) / 100).alias("score"), "ts")
+
+
+def _events(g: Graph) -> DataFrame:
+    return queue_events(g.work_event()).drop("ts")
 
 
 _COUNT = " + ".join(f"CASE WHEN {c[2]} <= {ADDED_AT} OR list_contains(up, {c[2]}) THEN 1 ELSE 0 END" for c in rules.CHECKS)
 _STATES = f"""ev AS (SELECT entity || '-' || (event_id % 40) AS entity, event_id AS seq, CASE status WHEN 'signup' THEN 'add' WHEN 'view' THEN 'defer' WHEN 'click' THEN 'escalate' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS kind,
   CASE status WHEN 'signup' THEN {ADDED_AT} WHEN 'view' THEN 4 + event_id % 2 WHEN 'click' THEN 1 + event_id % 2 END AS level, (event_id * 7 % 100) / 100.0::DOUBLE AS score FROM work_event),
 st AS (SELECT entity, added, CASE arg_max(kind, seq) WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' ELSE 'pending' END AS status, arg_max(level, seq) FILTER (level IS NOT NULL) AS level, arg_min(score, seq) AS score,
-  list(level) FILTER (kind = 'escalate') AS up FROM ev JOIN (SELECT entity, min(seq) AS added FROM ev WHERE kind = 'add' GROUP BY 1) USING (entity) WHERE seq >= added GROUP BY 1, 2),
+  list(level) FILTER (kind = 'escalate') AS up FROM ev JOIN (SELECT entity, min(seq) AS added FROM ev WHERE kind = 'add' GROUP BY 1) USING (entity) WHERE seq = added OR (seq > added AND kind <> 'add') GROUP BY 1, 2),
 states AS (SELECT entity, status, level, CAST(level * 1000 + floor(score * 100) AS INTEGER) AS sort_key, {_COUNT.replace("list_contains(up", "list_contains(coalesce(up, [])")} AS checks, added FROM st)"""
 
 

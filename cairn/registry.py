@@ -30,4 +30,4 @@ def load() -> None:
     from cairn.operators import aggregates, crawl, duplicates, families, graph, landed, mutations, quality, queue, research, upserts  # noqa: F401
     from cairn.plans import adhoc, exports, presets  # noqa: F401
     from cairn.sources import files  # noqa: F401
-    from cairn.streaming import feed, polling  # noqa: F401
+    from cairn.streaming import feed, polling, queue_stream  # noqa: F401
