@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions import fuzzy, units, urls
-from cairn.functions.products import landed_items
+from cairn.functions import units, urls
 from cairn.functions.text import materials_in
 from cairn.operators.aggregates import first_by
 from cairn.operators.crawl import links_of
@@ -16,7 +15,7 @@ from cairn.operators.duplicates import probe
 from cairn.operators.research import _RESULTS, search_results
 from cairn.registry import query
 from cairn.sources import files
-from cairn.sources.scratch import keeper, shared_folder
+from cairn.sources.scratch import shared_folder
 from cairn.sources.views import Graph
 
 #: Categories of a site that a crawl follows, and products that it takes of a site.
@@ -212,25 +211,6 @@ def dup_self_filtered(g: Graph) -> DataFrame:
     return other.orderBy(F.desc("similarity"), "name", "node_id").limit(5).select("node_id", "name", "brand", F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= 90).alias("merge"))
 
 
-@query("dup_product_vocabulary")
-def dup_product_vocabulary(g: Graph) -> DataFrame:
-    """The product that a listed line means: the most similar name of its brand at 85 or more, else of all at 90.
-
-    Candidates share the line's rarest word, so that no word that is in most names is joined on.
-    """
-    keep = keeper(g.spark)
-    names = g.item().filter("name IS NOT NULL").groupBy(F.lower("name").alias("known")).agg(F.collect_set(F.lower("brand")).alias("brands"))
-    names = keep(names, "names")
-    words = keep(names.select("known", F.explode(F.array_distinct(F.split("known", " "))).alias("word")), "words")
-    count = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    lines = landed_items(g).select(F.lower("name").alias("line"), F.lower(F.regexp_extract("name", r"^(\S+)", 1)).alias("brand")).distinct()
-    rare = first_by(lines.select("line", "brand", F.explode(F.array_distinct(F.split("line", " "))).alias("word")).join(count, "word"), ["line", "brand"], ["n", "word"])
-    pairs = rare.join(words, "word").join(names, "known").select("line", "known", F.array_contains("brands", F.col("brand")).alias("own"))
-    scored = pairs.withColumn("score", F.round(fuzzy.scored(fuzzy.weighted_ratio, F.col("line"), F.col("known")), 6))
-    good = scored.filter((F.col("own") & (F.col("score") >= 85)) | (F.col("score") >= 90))
-    return first_by(good, ["line"], [F.desc("own"), F.desc("score"), "known"]).select("line", "known", "score", "own")
-
-
 _PRODUCT, _COLLECTION = "|".join(urls.PRODUCT_PATHS), "|".join(urls.COLLECTION_PATHS)
 _SKIP = " OR ".join(f"contains(lower(dst), '{x}')" for x in urls.SKIPPED)
 
