@@ -29,5 +29,5 @@ def load() -> None:
     from cairn.functions import catalog, markdown, products  # noqa: F401
     from cairn.operators import aggregates, crawl, duplicates, families, fixes, graph, landed, mutations, quality, queue, research, upserts, validation  # noqa: F401
     from cairn.plans import adhoc, exports, presets  # noqa: F401
-    from cairn.sources import files  # noqa: F401
+    from cairn.sources import files, turtle  # noqa: F401
     from cairn.streaming import feed, polling, queue_stream  # noqa: F401

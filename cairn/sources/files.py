@@ -1,4 +1,4 @@
-"""File sources: state files, logs, glossary and change-feed JSON, TTL caches and Turtle ontologies."""
+"""File sources: state files, logs, glossary and change-feed JSON, TTL caches."""
 
 from __future__ import annotations
 
@@ -89,26 +89,6 @@ def cache_misses(requests: DataFrame, cache: DataFrame, now: Column, hours: int)
     return requests.join(hit, F.md5("url") == F.col("_k"), "left_anti")
 
 
-def triples(spark: SparkSession, path: str) -> DataFrame:
-    """s, p, o of a Turtle file whose statements end with a line's full stop; ; and , continue one.
-
-    Literals and prefixed names are told apart by a pattern; blank nodes and collections are not read.
-    """
-    raw = spark.read.text(path, lineSep=".\n").select(F.regexp_replace("value", r"(?m)^\s*#.*$", "").alias("v"))
-    rows = raw.filter(~F.col("v").rlike(r"^\s*@prefix")).filter(F.trim("v") != "")
-    parts = rows.select(F.regexp_extract("v", r"^\s*(\S+)", 1).alias("s"), F.explode(F.split(F.regexp_replace("v", r"^\s*\S+\s+", ""), r";\s*\n")).alias("po"))
-    pred = parts.select("s", F.regexp_extract("po", r"^\s*(\S+)", 1).alias("p"), F.regexp_replace("po", r"^\s*\S+\s+", "").alias("os"))
-    objects = F.explode(F.regexp_extract_all("os", F.lit(r'"[^"]*"(?:@[a-z]+|\^\^\S+)?|[^\s,;]+'), F.lit(0)))
-    return pred.filter("p <> ''").select("s", "p", objects.alias("o"))
-
-
-def class_by_label(t: DataFrame, label: str) -> DataFrame:
-    """Classes whose label is the given one, letters in either case."""
-    classes = t.filter((F.col("p") == "a") & F.col("o").isin("owl:Class", "rdfs:Class")).select("s")
-    labels = t.filter(F.col("p") == "rdfs:label").select("s", F.regexp_extract("o", '"([^"]*)"', 1).alias("label"))
-    return labels.join(classes, "s", "left_semi").filter(F.lower("label") == label.lower())
-
-
 @query("files_change_feed", """SELECT entity, op, name FROM (SELECT 'brands' AS entity, CASE node_id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'updated' ELSE 'deleted' END AS op, name FROM brand
   UNION ALL SELECT 'products', CASE node_id % 2 WHEN 0 THEN 'added' ELSE 'updated' END, name FROM item WHERE name IS NOT NULL)""")
 def files_change_feed(g: Graph) -> DataFrame:

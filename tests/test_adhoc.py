@@ -6,7 +6,7 @@ from cairn.plans.adhoc import is_read_only, register_views, run_sql
 from cairn.sources.views import EDGES, Graph
 
 READS = [
-    "SELECT 1", "select 'drop table x; insert into y' AS s -- delete from z", "WITH a AS (SELECT 1 AS x) SELECT * FROM a", "VALUES (1), (2)",
+    "SELECT 1", "SELECT createdAt, 'drop table x' FROM t OFFSET 2", "with a as (select 1) select * from a;", "select 'drop table x; insert into y' AS s -- delete from z", "WITH a AS (SELECT 1 AS x) SELECT * FROM a", "VALUES (1), (2)",
     "FROM item SELECT name", "(SELECT 1) UNION ALL (SELECT 2);", "SELECT * FROM item WHERE node_id IN (SELECT dst_id FROM e_has_variant)",
 ]
 WRITES = [

@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 
 from cairn.functions import fuzzy, text, units, urls
 from cairn.operators import duplicates, graph, mutations, quality
-from cairn.plans.adhoc import is_read_only
-from cairn.sources import files
 from cairn.sources.scratch import keeper
 
 
@@ -102,16 +100,3 @@ def test_merge_moves_edges_and_drops_loops(spark):
     assert sorted(r.node_id for r in left.collect()) == [1, 3]
     assert sorted(tuple(r) for r in moved.collect()) == [(1, "R", 3), (3, "S", 1)]
     assert sorted(tuple(r) for r in mutations.merge_nodes(nodes, edges, mapping, ["R"])[1].collect()) == [(1, "R", 3)]
-
-
-def test_ontology(spark, tmp_path):
-    (tmp_path / "o.ttl").write_text(
-        '@prefix ex: <http://example.com/> .\n\n# classes\nex:Tent a owl:Class ;\n    rdfs:label "Tent"@en ;\n    rdfs:comment "A shelter." .\n\nex:pole a owl:ObjectProperty ;\n    rdfs:label "Pole" .\n'
-    )
-    t = files.triples(spark, str(tmp_path / "o.ttl"))
-    assert [r.s for r in files.class_by_label(t, "tent").collect()] == ["ex:Tent"] and files.class_by_label(t, "pole").isEmpty()
-
-
-def test_read_only_guard():
-    assert is_read_only("SELECT createdAt, 'drop table x' FROM t OFFSET 2") and is_read_only("with a as (select 1) select * from a;")
-    assert not is_read_only("DROP TABLE x") and not is_read_only("select 1; drop table x") and not is_read_only("insert into t select 1")
