@@ -120,19 +120,6 @@ def research_batch_extract(g: Graph) -> DataFrame:
     return g.page().select("page_id", title.alias("title"), error.alias("error"))
 
 
-@query("research_reseller", """SELECT node_id, CASE WHEN contains(t, ' - ') THEN trim(split_part(t, ' - ', 1)) END AS maker, CASE WHEN contains(t, ' - ') THEN trim(substr(t, position(' - ' IN t) + 3)) ELSE t END AS product FROM (
-  SELECT node_id, CASE WHEN node_id % 3 = 0 THEN name ELSE coalesce(brand, 'x') || ' - ' || name || CASE WHEN node_id % 2 = 0 THEN ' - XL' ELSE '' END END AS t FROM item WHERE name IS NOT NULL)""")
-def research_reseller(g: Graph) -> DataFrame:
-    """Brand and name of a reseller's title "Brand - Name"; without the dash all of it is the name."""
-    k = F.col("node_id")
-    title = F.when(k % 3 == 0, F.col("name")).otherwise(F.concat(F.coalesce("brand", F.lit("x")), F.lit(" - "), "name", F.when(k % 2 == 0, " - XL").otherwise("")))
-    parts = F.split("t", " - ", 2)
-    two = F.size(parts) == 2
-    return g.item().filter("name IS NOT NULL").select("node_id", title.alias("t")).select(
-        "node_id", F.when(two, F.trim(F.get(parts, F.lit(0)))).alias("maker"), F.when(two, F.trim(F.get(parts, F.lit(1)))).otherwise(F.col("t")).alias("product")
-    )
-
-
 #: Keywords by kind of a context of use.
 CONTEXTS = {"activity": ["economy", "promo"], "weather": ["large", "medium"], "terrain": ["small"]}
 

@@ -125,11 +125,3 @@ def files_fallback_tiers(g: Graph) -> DataFrame:
     k = F.col("page_id")
     tier = lambda c, n: F.when(c, F.lit(n))
     return g.page().select("page_id", F.coalesce(tier(k % 2 == 0, "cache"), tier(k % 3 == 0, "own"), tier(k % 5 == 0, "cloud"), F.lit("browser")).alias("origin"))
-
-
-@query("files_pack_items", "SELECT node_id, 'x' || node_id AS item, CAST(weight_grams AS BIGINT) AS grams FROM item WHERE weight_grams IS NOT NULL")
-def files_pack_items(g: Graph) -> DataFrame:
-    """Landed pack lists (JSON with nested items) as rows."""
-    pack = F.to_json(F.struct("node_id", F.array(F.struct(F.concat(F.lit("x"), F.col("node_id").cast("string")).alias("item"), F.col("weight_grams").alias("grams"))).alias("items")))
-    rows = g.item().filter("weight_grams IS NOT NULL").select(F.from_json(pack, "node_id bigint, items array<struct<item:string,grams:bigint>>").alias("p"))
-    return rows.select("p.node_id", F.explode("p.items").alias("i")).select("node_id", "i.item", "i.grams")
