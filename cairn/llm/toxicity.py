@@ -27,7 +27,7 @@ LEAST_DOCS = 5
 RIDGE, FAIRNESS = 1.0, 1.0
 THRESHOLD = 0.3
 #: Words whose features one task remembers, and distinct counts that it gathers before it passes them on.
-REMEMBERED, GATHERED = 200_000, 400_000
+REMEMBERED, GATHERED = 20_000, 200_000
 
 # Words for groups of people, in sets whose members may stand for each other.
 IDENTITY = [
