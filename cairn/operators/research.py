@@ -90,15 +90,6 @@ def research_enrich_gate(g: Graph) -> DataFrame:
     return c.select("node_id", F.col("c").between(0.4, 0.8).alias("enrich"), (F.col("c") > 0.3).alias("keep"))
 
 
-@query("research_pack_import", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN i.n IS NULL THEN 'failed' WHEN i.n > 1 THEN 'exists' ELSE 'created' END AS status
-  FROM item x LEFT JOIN (SELECT name, count(*) AS n FROM item GROUP BY name) i ON i.name = x.name) GROUP BY status""")
-def research_pack_import(g: Graph) -> DataFrame:
-    """Outcome of importing a pack list: names already there, new ones, and ones without a name."""
-    n = g.item().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    status = F.when(F.col("n").isNull(), "failed").when(F.col("n") > 1, "exists").otherwise("created")
-    return g.item().select("name").join(n, "name", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("research_brand_model", r"""SELECT node_id, string_split(n, ' ')[1] AS maker, trim(substr(n, length(string_split(n, ' ')[1]) + 2)) AS model FROM (SELECT node_id, regexp_replace(name, '^\d+x\s+', '') AS n FROM item)""")
 def research_brand_model(g: Graph) -> DataFrame:
     """A quantity prefix removed, the first word as maker and the rest as model."""

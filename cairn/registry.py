@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from cairn.functions import catalog, markdown, products, properties  # noqa: F401
-    from cairn.operators import aggregates, crawl, duplicates, families, fixes, graph, landed, mutations, quality, queue, research, shop_pages, site_patterns, upserts, validation  # noqa: F401
+    from cairn.operators import aggregates, crawl, duplicates, families, fixes, graph, landed, mutations, quality, queue, research, rich_save, shop_pages, site_patterns, upserts, validation  # noqa: F401
     from cairn.plans import adhoc, exports, presets  # noqa: F401
     from cairn.sources import files, turtle  # noqa: F401
     from cairn.streaming import feed, polling, queue_stream  # noqa: F401
