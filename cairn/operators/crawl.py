@@ -104,12 +104,6 @@ def crawl_patterns(g: Graph) -> DataFrame:
     return matched_patterns(g, g.page().select("path").distinct()).select("path", "kind", "pattern", "confidence")
 
 
-@query("crawl_gates", "SELECT kind, max(confidence) >= 0.7 AS sure, count(*) AS patterns FROM (VALUES " + ", ".join(f"('{k}', {c})" for k, _, c, _ in PATTERNS) + ") v(kind, confidence) GROUP BY kind")
-def crawl_gates(g: Graph) -> DataFrame:
-    rows = g.spark.createDataFrame(PATTERNS, "kind string, pattern string, confidence double, position int")
-    return rows.groupBy("kind").agg((F.max("confidence") >= 0.7).alias("sure"), F.count(F.lit(1)).alias("patterns"))
-
-
 @query("crawl_page_cards", r"""SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM page""")
 def crawl_page_cards(g: Graph) -> DataFrame:
     return g.page().select(

@@ -137,22 +137,6 @@ def research_rich_rows(g: Graph) -> DataFrame:
     return g.item().filter("name IS NOT NULL").select("node_id", F.explode(rows).alias("x")).select("node_id", "x.kind", "x.detail")
 
 
-@query("files_scrape_tiers", """SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 'cache' WHEN page_id % 2 = 0 THEN 'own' WHEN page_id % 7 <> 0 THEN 'cloud' END AS origin,
-  CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 0 WHEN page_id % 2 = 0 THEN 1 WHEN page_id % 7 <> 0 THEN 3 ELSE 5 END AS waited FROM page""")
-def files_scrape_tiers(g: Graph) -> DataFrame:
-    """Each page from the first tier whose landed table has it: a fresh cache, the own scraper (one try),
-    the cloud (two tries); waits grow by one with each try that failed."""
-    k, url = F.col("page_id"), F.md5("url")
-    at = F.when(k % 5 == 0, "2025-12-01 00:00:00").otherwise("2026-01-30 00:00:00").cast("timestamp")
-    cache = files.fresh(g.page().filter(k % 3 != 0).select(url.alias("_k"), at.alias("created_at")), F.lit(NOW).cast("timestamp"), 24 * 30).select("_k", F.lit(True).alias("cache"))
-    own = g.page().filter(k % 2 == 0).select(url.alias("_k"), F.lit(True).alias("own"))
-    cloud = g.page().filter(k % 7 != 0).select(url.alias("_k"), F.lit(True).alias("cloud"))
-    all_ = reduce(lambda d, t: d.join(t.dropDuplicates(["_k"]), "_k", "left"), [cache, own, cloud], g.page().select("page_id", url.alias("_k")))
-    origin = F.coalesce(*[F.when(F.col(t), t) for t in ("cache", "own", "cloud")])
-    waited = F.when(F.col("cache"), 0).when(F.col("own"), 1).when(F.col("cloud"), 1 + 2).otherwise(1 + 2 + 2)
-    return all_.select("page_id", origin.alias("origin"), waited.alias("waited"))
-
-
 @query("files_site_patterns", """SELECT host, min_page % 2 = 1 AS cached FROM (SELECT host, min(page_id) AS min_page FROM page GROUP BY host)""")
 def files_site_patterns(g: Graph) -> DataFrame:
     """Sites whose learned patterns are younger than a day; the others are to be analysed again."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.text import brand_removal, category_of, correction
+from cairn.functions.text import CATEGORY_KEYWORDS, brand_removal, category_of, correction
 from cairn.operators import rules
 from cairn.operators.graph import branch_counts, missing, present, without
 from cairn.registry import query
@@ -135,6 +135,8 @@ _MESSY = """SELECT node_id, name, CASE WHEN node_id % 3 = 0 THEN ['zpacks', 'Dow
 _FORMS = "map {" + ", ".join(f"'{k.replace(chr(39), chr(39) * 2)}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in rules.CANONICAL_BRANDS.items()) + "}"
 _HOLDS = " OR ".join(f"(contains(low, '{k}') AND length(low) > {len(k)})" for k in rules.BRAND_KEYWORDS) + " OR " + " OR ".join(f"starts_with(low, '{k}')" for k in rules.BRAND_STARTS)
 
+_CATEGORY_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(low, {chr(39)}{k}{chr(39)})' for k in ks)} THEN '{cat}'" for cat, ks in CATEGORY_KEYWORDS.items()) + " END"
+
 SCANNERS = [scan_incomplete, scan_orphan_brands, scan_orphan_insights, scan_orphan_families, scan_brand_forms, scan_invalid_brands, scan_redundant_brands, scan_transcription, scan_duplicates]
 
 
@@ -156,6 +158,18 @@ def quality_orphan_brands(g: Graph) -> DataFrame:
     return scan_orphan_brands(g)
 
 
+@query("quality_orphan_families", """SELECT 'orphaned_node' AS issue_type, 'f' || node_id AS entity_id, name AS description, CAST(NULL AS VARCHAR) AS new_value, 0.85::DOUBLE AS confidence
+  FROM family WHERE node_id NOT IN (SELECT dst_id FROM e_variant_of)""")
+def quality_orphan_families(g: Graph) -> DataFrame:
+    return scan_orphan_families(g)
+
+
+@query("quality_orphan_insights", f"""SELECT 'orphaned_node' AS issue_type, 'i' || node_id AS entity_id, summary AS description, c AS new_value, CASE WHEN c IS NOT NULL THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS confidence
+  FROM (SELECT node_id, summary, {_CATEGORY_SQL} AS c FROM (SELECT *, lower(content) AS low FROM insight) WHERE node_id NOT IN (SELECT dst_id FROM e_has_tip))""")
+def quality_orphan_insights(g: Graph) -> DataFrame:
+    return scan_orphan_insights(g)
+
+
 @query("quality_brand_forms", f"""SELECT 'brand_standardization' AS issue_type, brand AS entity_id, CAST(count(*) AS VARCHAR) AS description, {_FORMS}[lower(brand)] AS new_value, 0.95::DOUBLE AS confidence
   FROM ({_MESSY}) WHERE {_FORMS}[lower(brand)] <> brand GROUP BY brand""")
 def quality_brand_forms(g: Graph) -> DataFrame:
@@ -232,23 +246,6 @@ def quality_completeness(g: Graph) -> DataFrame:
     return g.item().select("node_id", F.round(_truthy_score(), 6).alias("score"), filled.alias("filled"))
 
 
-@query("quality_gates", "SELECT issue_type, risk, auto FROM (VALUES " + ", ".join(f"('{k}', '{r}', {str(r == 'low' and t <= 0.96).lower()})" for k, (r, t) in rules.ISSUE_TYPES.items() if k not in ("data_deletion", "duplicate_merge")) + ", ('data_deletion', 'high', false), ('duplicate_merge', 'high', false)) v(issue_type, risk, auto)")
-def quality_gates(g: Graph) -> DataFrame:
-    """The gate of each issue type at a confidence of 0.96."""
-    rows = g.spark.createDataFrame([(k,) for k in rules.ISSUE_TYPES], "issue_type string")
-    risk = risk_of(F.col("issue_type"), F.lit(0.96), F.col("issue_type").isin("data_deletion", "duplicate_merge"))
-    return rows.withColumn("risk", risk).select("issue_type", "risk", auto_fixable(F.col("issue_type"), F.lit(0.96), F.col("risk")).alias("auto"))
-
-
-def checks(g: Graph) -> DataFrame:
-    return g.spark.createDataFrame(rules.CHECKS, "check_id string, area string, priority int, fixable boolean, model boolean")
-
-
-@query("quality_checks", "SELECT priority, count(*) AS n, count(*) FILTER (fixable) AS fixable FROM (VALUES " + ", ".join(f"({c[2]}, {str(c[3]).lower()})" for c in rules.CHECKS) + ") v(priority, fixable) GROUP BY priority")
-def quality_checks(g: Graph) -> DataFrame:
-    return checks(g).groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.count_if("fixable").alias("fixable"))
-
-
 @query("quality_check_results", """SELECT check_id, passed, count(*) AS n FROM (SELECT unnest([{'check_id': 'whitespace_check', 'passed': name = trim(name) AND NOT contains(name, '  ')},
   {'check_id': 'missing_weight', 'passed': weight_grams IS NOT NULL}, {'check_id': 'missing_price', 'passed': price_usd IS NOT NULL},
   {'check_id': 'brand_exists', 'passed': brand IS NOT NULL AND brand <> ''}], recursive := true) FROM item) GROUP BY 1, 2""")

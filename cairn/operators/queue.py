@@ -86,14 +86,6 @@ def queue_next_batch(g: Graph) -> DataFrame:
     return queue_states(_events(g)).filter("status = 'pending'").orderBy("sort_key", "added", "entity").limit(BATCH).select("entity", "sort_key", "added")
 
 
-@query("queue_rounds", f", {_STATES} SELECT entity, CAST((row_number() OVER (ORDER BY sort_key, added, entity) - 1) // {BATCH} AS BIGINT) AS round FROM (SELECT * FROM states WHERE status = 'pending' ORDER BY sort_key, added, entity LIMIT {5 * BATCH})")
-def queue_rounds(g: Graph) -> DataFrame:
-    """Which round of a run of at most five takes which entries; the run ends earlier if none are left."""
-    first = queue_states(_events(g)).filter("status = 'pending'").orderBy("sort_key", "added", "entity").limit(5 * BATCH)
-    place = F.row_number().over(Window.orderBy("sort_key", "added", "entity")) - 1  # of five batches at most
-    return first.select("entity", F.floor(place / BATCH).alias("round"))
-
-
 def item_checks(g: Graph) -> DataFrame:
     """node_id, check_id, priority, issue: every check of every item but those on heard names.
 
@@ -145,6 +137,15 @@ def queue_item_checks(g: Graph) -> DataFrame:
     return item_checks(g).select("node_id", "check_id", "priority", "issue")
 
 
+@query("queue_check_load", f""", {_CHECKED} SELECT priority, count(DISTINCT check_id) AS checks, count(*) AS runs, count(*) FILTER (issue) AS issues, count(*) FILTER (issue AND check_id IN {_in([c[0] for c in rules.CHECKS if c[3]])}) AS fixable FROM checked GROUP BY priority""")
+def queue_check_load(g: Graph) -> DataFrame:
+    """What the checks of each level find, and how much of it can be fixed without asking."""
+    fixable = F.col("check_id").isin(*[c[0] for c in rules.CHECKS if c[3]])
+    return item_checks(g).groupBy("priority").agg(
+        F.countDistinct("check_id").alias("checks"), F.count(F.lit(1)).alias("runs"), F.count_if("issue").alias("issues"), F.count_if(F.col("issue") & fixable).alias("fixable")
+    )
+
+
 def decided(checks: DataFrame) -> DataFrame:
     """decision and action of each check's result: what the first level can fix is fixed, a brand that
     is surely none is cleared, other issues wait for a review, or for research where data are missing."""
@@ -211,15 +212,6 @@ def fix_corrections(g: Graph) -> DataFrame:
     return apply_issues(g.item().select("node_id", "name"), scan_redundant_brands(g).filter("confidence >= 0.95"))[1]
 
 
-@query("fix_bindings", "SELECT query_key, fix_type FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in FIXABLE.items()) + ") v(query_key, fix_type)")
-def fix_bindings(g: Graph) -> DataFrame:
-    """Presets whose rows can be fixed, and how."""
-    from cairn import registry
-
-    rows = [(k, v) for k, v in FIXABLE.items() if f"preset_{k}" in registry.QUERIES]
-    return g.spark.createDataFrame(rows, "query_key string, fix_type string")
-
-
 def similar_brands(brands: DataFrame, most: int = 5) -> DataFrame:
     """brand, alike: up to most other brands that share a word and hold it or are held by it."""
     words = brands.select("brand", F.explode(F.array_distinct(F.split(F.lower("brand"), " "))).alias("word"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.mutations import upsert
+from cairn.operators.upserts import NOW
 from cairn.registry import query
 from cairn.sources.dom import first_of, joined_url, nodes, rank_first, select, with_text
 from cairn.sources.scratch import keeper
@@ -209,3 +211,19 @@ def research_reseller(g: Graph) -> DataFrame:
 def files_pack_items(g: Graph) -> DataFrame:
     """The items of all pack lists."""
     return pack_items(pack_pages(g), "l_orderkey", keeper(g.spark)).drop("pos")
+
+
+def enriched(items: DataFrame, found: DataFrame, now: str) -> DataFrame:
+    """items (node_id, weight_grams) with the weights that were found for those that lack one, and when; others stay."""
+    missing = found.filter("weight_grams > 0").join(items.filter("weight_grams IS NULL").select("node_id"), "node_id", "left_semi")
+    done = upsert(items, missing.select("node_id", "weight_grams"), ["node_id"])
+    return done.select("node_id", "weight_grams", F.when(F.col("action") == "updated", now).alias("enriched_at"))
+
+
+@query("mut_enrich_write_back", f"""SELECT node_id, coalesce(weight_grams, w) AS weight_grams, CASE WHEN weight_grams IS NULL AND w > 0 THEN '{NOW}' END AS enriched_at FROM item JOIN (SELECT p_partkey,
+  CAST(CASE p_partkey % 4 WHEN 0 THEN p_size * 1000 + 500 WHEN 1 THEN p_size WHEN 2 THEN floor(p_size * 28.35::DOUBLE) END AS INTEGER) AS w FROM part) ON p_partkey = node_id""")
+def mut_enrich_write_back(g: Graph) -> DataFrame:
+    """Weights read from the product pages of items that lack one are written back, with the time."""
+    items = g.item().select("node_id", F.col("weight_grams").cast("int").alias("weight_grams"))
+    found = reseller_products(product_pages(g), "p_partkey", keeper(g.spark)).withColumnRenamed("p_partkey", "node_id")
+    return enriched(items, found, NOW)

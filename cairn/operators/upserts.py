@@ -200,22 +200,3 @@ def mut_manual_fixes(g: Graph) -> DataFrame:
     last = g.item().filter(k % 3 == 0).groupBy("name").agg(F.max("node_id").alias("node_id"))
     fixes = last.select("name", each.alias("x"), k.alias("seq")).select("name", "x.kind", "x.value", "seq")
     return apply_fixes(g.item(), fixes).select("node_id", "name", "brand", "category", "weight_grams")
-
-
-@query("mut_enrich_write_back", f"""SELECT node_id, coalesce(weight_grams, CASE WHEN node_id % 2 = 0 THEN 77 END) AS weight_grams, CASE WHEN weight_grams IS NULL AND node_id % 2 = 0 THEN '{NOW}' END AS enriched_at FROM item""")
-def mut_enrich_write_back(g: Graph) -> DataFrame:
-    """Weights found for items that lack one are written back, with the time; others stay."""
-    found = g.item().filter("weight_grams IS NULL AND node_id % 2 = 0").select("node_id", F.lit(77).cast("int").alias("weight_grams"))
-    old = g.item().select("node_id", F.col("weight_grams").cast("int").alias("weight_grams"))
-    done = upsert(old, found, ["node_id"])
-    return done.select("node_id", "weight_grams", F.when(F.col("action") == "updated", NOW).alias("enriched_at"))
-
-
-@query("mut_batched_save", f""", {_UP}, b AS (SELECT (row_number() OVER (ORDER BY name, brand) - 1) // 10 AS batch, name, brand, name LIKE '%II' AS bad FROM new)
-  SELECT count(DISTINCT batch) AS batches, count(*) FILTER (NOT bad) AS saved, count(*) FILTER (bad) AS failed FROM b""")
-def mut_batched_save(g: Graph) -> DataFrame:
-    """Counters of a save in batches of ten: one keyed upsert of what is valid, the rest counted as failed."""
-    rows = _changes(g).withColumn("bad", F.col("name").endswith("II"))
-    saved = upsert(_catalogue(g), rows.filter("NOT bad").drop("bad"), ["name", "brand"]).filter("action <> 'kept'").agg(F.count(F.lit(1)).alias("saved"))
-    counts = rows.agg(F.ceil(F.count(F.lit(1)) / 10).alias("batches"), F.count_if("bad").alias("failed"))
-    return counts.crossJoin(saved)  # one row each

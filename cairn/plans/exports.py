@@ -128,10 +128,3 @@ def export_notifications(g: Graph) -> DataFrame:
 @query("export_state", "SELECT count(DISTINCT url) AS total_processed, min(url) AS first_id, max(url) AS last_id FROM source WHERE source_type = 'F'")
 def export_state(g: Graph) -> DataFrame:
     return g.source().filter("source_type = 'F'").agg(F.countDistinct("url").alias("total_processed"), F.min("url").alias("first_id"), F.max("url").alias("last_id"))
-
-
-def write_version(df: DataFrame, root: str, version: int) -> str:
-    """A new version of a table beside the old ones; readers of those are not disturbed."""
-    path = f"{root}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path

@@ -5,11 +5,14 @@ Orders end with a key, so every preset is one defined result. NULL sorts as the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.graph import branch_counts, missing, present, undirected, without
-from cairn.registry import query
+from cairn.operators.queue import FIXABLE
+from cairn.registry import ORACLE_SQL, QUERIES, query
 from cairn.sources.views import Graph
 
 
@@ -266,3 +269,15 @@ def family_candidates(g: Graph) -> DataFrame:
     return counted.withColumnRenamed("count", "product_count").filter("product_count >= 2").orderBy(
         F.desc("product_count"), *_up("brand")
     ).limit(50)
+
+
+def _fix_rows() -> dict[str, str]:
+    """Presets whose rows can be fixed, with what fixes them."""
+    return {k: v for k, v in FIXABLE.items() if f"preset_{k}" in ORACLE_SQL}
+
+
+@query("fix_plan", " UNION ALL ".join(f"SELECT '{k}' AS query_key, '{v}' AS fix_type, count(*) AS to_fix FROM ({ORACLE_SQL[f'preset_{k}']})" for k, v in _fix_rows().items()))
+def fix_plan(g: Graph) -> DataFrame:
+    """What the presets show that can be fixed, by kind of fix."""
+    parts = [QUERIES[f"preset_{k}"](g.spark, g.sf_dir).agg(F.count(F.lit(1)).alias("to_fix")).select(F.lit(k).alias("query_key"), F.lit(v).alias("fix_type"), "to_fix") for k, v in _fix_rows().items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -117,11 +117,3 @@ def files_cache_misses(g: Graph) -> DataFrame:
     at = F.when(F.col("page_id") % 5 == 0, F.lit("2025-12-01 00:00:00")).otherwise("2026-01-30 00:00:00").cast("timestamp")
     cache = g.page().filter("page_id % 3 <> 0").select(F.md5("url").alias("url_key"), at.alias("created_at"))
     return cache_misses(g.page().select("page_id", "url"), cache, now, 24 * 30)
-
-
-@query("files_fallback_tiers", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'cache' WHEN page_id % 3 = 0 THEN 'own' WHEN page_id % 5 = 0 THEN 'cloud' ELSE 'browser' END AS origin FROM page""")
-def files_fallback_tiers(g: Graph) -> DataFrame:
-    """The first tier that has a page, with its name."""
-    k = F.col("page_id")
-    tier = lambda c, n: F.when(c, F.lit(n))
-    return g.page().select("page_id", F.coalesce(tier(k % 2 == 0, "cache"), tier(k % 3 == 0, "own"), tier(k % 5 == 0, "cloud"), F.lit("browser")).alias("origin"))

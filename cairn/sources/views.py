@@ -96,7 +96,9 @@ class Graph:
         """src_id, src_label, rel_type, dst_id, dst_label of one relationship type; TYPE/Label is the part of
         a type that has several source labels."""
         src, dst, make = EDGES[rel]
-        pairs = make(self).select("src_id", "dst_id").distinct()
+        pairs = make(self).select("src_id", "dst_id")
+        if rel not in ONCE:
+            pairs = pairs.distinct()
         return pairs.select("src_id", F.lit(src).alias("src_label"), F.lit(rel.split("/")[0]).alias("rel_type"), "dst_id", F.lit(dst).alias("dst_label"))
 
     def edges(self) -> DataFrame:
@@ -155,6 +157,9 @@ EDGES: dict[str, tuple[str, str, Callable[[Graph], DataFrame]]] = {
     "USES_TERM": ("Item", "Term", lambda g: g.table("part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("src_id"), (F.col("p_partkey") % 20).alias("dst_id"))),
 }
 
+#: Relationships whose pairs have the key of a table at one end, so that none comes twice.
+ONCE = frozenset(EDGES) - {"MANUFACTURES_ITEM", "EXTRACTED_FROM", "MANUFACTURES"}
+
 _NAME = "CASE WHEN p_partkey % 4 = 0 THEN p_name || ' ' || p_size WHEN p_partkey % 12 = 1 THEN p_name || ' ' || p_size || '0L' WHEN p_partkey % 12 = 2 THEN p_brand || ' ' || p_name ELSE p_name END"
 _LAST = "list_extract(string_split(p_name, ' '), -1)"
 

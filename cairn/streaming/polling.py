@@ -102,12 +102,6 @@ def stream_sessions(g: Graph) -> DataFrame:
     return sessions(g.work_event()).groupBy("entity").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
-@query("stream_queue_order", """SELECT entity, sort_key, seq FROM (SELECT entity, CAST(count(*) AS BIGINT) * 1000 AS sort_key, min(event_id) AS seq FROM work_event GROUP BY entity)""")
-def stream_queue_order(g: Graph) -> DataFrame:
-    """Queue entries with the key and sequence they are taken by."""
-    return g.work_event().groupBy("entity").agg((F.count(F.lit(1)) * 1000).alias("sort_key"), F.min("event_id").alias("seq"))
-
-
 @query("stream_durations", """SELECT entity, CAST(epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) AS BIGINT) AS seconds FROM work_event GROUP BY entity""")
 def stream_durations(g: Graph) -> DataFrame:
     second = lambda c: F.unix_seconds(F.date_trunc("second", c).cast("timestamp"))
