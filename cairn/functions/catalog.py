@@ -100,19 +100,44 @@ def text_md5_keys(g: Graph) -> DataFrame:
     return g.page().select("page_id", F.md5("url").alias("url_key"), F.substring(F.md5("host"), 1, 8).alias("host_key"))
 
 
-@query("text_search_query", """SELECT node_id, concat_ws(' ', brand, name, CASE lower(category) WHEN 'economy' THEN 'price review' WHEN 'small' THEN 'dimensions' ELSE 'specs weight' END) AS q FROM item""")
+# What a search for a product's data asks for by category, and otherwise; words of lines about gear and about insights, characters of a line that are kept, lines of a text.
+SEARCH_TERMS = {
+    "backpack": "specs volume liters weight", "tent": "specs weight capacity season", "sleeping_bag": "specs temperature rating fill power", "sleeping_pad": "specs r-value weight", "stove": "specs fuel weight boil time",
+    "headlamp": "specs lumens battery life", "water_filter": "specs flow rate filter type", "jacket": "specs weight waterproof rating",
+}
+OTHER_TERMS = "specs weight"
+HARVEST = {
+    "gear": (["tent", "bag", "pack", "jacket", "shoe", "boot", "stove", "filter"], 100, 100), "insight": (["recommends", "suggests", "tip", "advice", "important", "note"], 200, 50),
+}
+
+
+def search_query(brand: Column, name: Column, category: Column) -> Column:
+    """What a search for a product's data asks."""
+    terms = F.create_map(*[F.lit(x) for pair in SEARCH_TERMS.items() for x in pair])
+    return F.concat_ws(" ", brand, name, F.coalesce(F.try_element_at(terms, F.lower(F.coalesce(category, F.lit("")))), F.lit(OTHER_TERMS)))
+
+
+def harvested(c: Column, kind: str) -> Column:
+    """The first lines of a text that hold one of a kind's words, without blank ends and cut to a length."""
+    words, length, most = HARVEST[kind]
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: F.lower(x).rlike("|".join(words)))
+    return F.slice(F.transform(lines, lambda x: F.substring(x, 1, length)), 1, most)
+
+
+@query("text_search_query", """SELECT node_id, concat_ws(' ', brand, name, CASE WHEN node_id % 3 = 0 THEN 'specs weight capacity season' WHEN node_id % 3 = 1 THEN 'specs fuel weight boil time' ELSE 'specs weight' END) AS q FROM item""")
 def text_search_query(g: Graph) -> DataFrame:
-    more = F.create_map(F.lit("economy"), F.lit("price review"), F.lit("small"), F.lit("dimensions"))
-    tail = F.coalesce(F.try_element_at(more, F.coalesce(F.lower("category"), F.lit(""))), F.lit("specs weight"))
-    return g.item().select("node_id", F.concat_ws(" ", "brand", "name", tail).alias("q"))
+    """Searches for items; two of three get a category that has terms of its own."""
+    category = F.when(F.col("node_id") % 3 == 0, "Tent").when(F.col("node_id") % 3 == 1, "stove").otherwise(F.col("category"))
+    return g.item().select("node_id", search_query(F.col("brand"), F.col("name"), category).alias("q"))
 
 
-@query("text_harvested_lines", r"""SELECT node_id, count(*) AS lines FROM (SELECT node_id, unnest(string_split(content, chr(10))) AS line FROM insight)
-  WHERE regexp_matches(lower(trim(line)), 'licensed|rights|token') GROUP BY 1""")
+@query("text_harvested_lines", " UNION ALL ".join(
+    f"SELECT node_id, '{k}' AS kind, i - 1 AS pos, substr(l[i], 1, {n}) AS line FROM (SELECT node_id, l, unnest(range(1, least(len(l), {most}) + 1)) AS i FROM (SELECT node_id, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(lower(x), '{'|'.join(words)}')) AS l FROM insight))"
+    for k, (words, n, most) in HARVEST.items()))
 def text_harvested_lines(g: Graph) -> DataFrame:
-    """Lines that hold one of a few keywords."""
-    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: F.lower(x).rlike("licensed|rights|token"))
-    return g.insight().select("node_id", F.size(lines).cast("long").alias("lines")).filter("lines > 0")
+    """Lines about gear and about insights in the texts of insights."""
+    each = [g.insight().select("node_id", F.lit(k).alias("kind"), F.posexplode(harvested(F.col("content"), k)).alias("pos", "line")) for k in HARVEST]
+    return each[0].unionByName(each[1]).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("text_key_values", r"""SELECT event_id, trim(regexp_extract(props, '"([a-z]+)"', 1)) AS key, TRY_CAST(regexp_extract(props, ':\s*([0-9]+)', 1) AS BIGINT) AS value FROM events""")

@@ -173,3 +173,10 @@ def dup_vocabulary(g: Graph) -> DataFrame:
 @query("dup_exact_names", "SELECT name, count(*) AS n, min(node_id) AS first_id FROM item GROUP BY name HAVING count(*) > 1")
 def dup_exact_names(g: Graph) -> DataFrame:
     return g.item().groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_id")).filter("n > 1")
+
+
+@query("dup_largest_groups", "SELECT lower(name) AS name, count(*) AS members, count(DISTINCT brand) AS brands, min(node_id) AS first_id FROM item WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY members DESC, name LIMIT 50")
+def dup_largest_groups(g: Graph) -> DataFrame:
+    """The fifty largest groups of items of one name, the largest first."""
+    groups = g.item().filter("name IS NOT NULL").groupBy(F.lower("name").alias("name")).agg(F.count(F.lit(1)).alias("members"), F.countDistinct("brand").alias("brands"), F.min("node_id").alias("first_id"))
+    return groups.filter("members > 1").orderBy(F.desc("members"), "name").limit(50)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,23 +118,6 @@ def research_batch_extract(g: Graph) -> DataFrame:
     return g.page().select("page_id", title.alias("title"), error.alias("error"))
 
 
-#: Keywords by kind of a context of use.
-CONTEXTS = {"activity": ["economy", "promo"], "weather": ["large", "medium"], "terrain": ["small"]}
-
-
-@query("research_rich_rows", """, x AS (SELECT node_id, coalesce(lower(category), '') AS c, [name || ' light', name || ' warm', name || ' small', name || ' dear'] AS pros, [name || ' heavy'] AS cons FROM item WHERE name IS NOT NULL)
-  SELECT node_id, 'context' AS kind, CASE WHEN contains(c, 'economy') OR contains(c, 'promo') THEN 'activity' WHEN contains(c, 'large') OR contains(c, 'medium') THEN 'weather' WHEN contains(c, 'small') THEN 'terrain' ELSE 'other' END AS detail FROM x
-  UNION ALL SELECT node_id, 'pro', unnest(pros[1:3]) FROM x UNION ALL SELECT node_id, 'con', unnest(cons[1:3]) FROM x""")
-def research_rich_rows(g: Graph) -> DataFrame:
-    """Rows that one extracted product is saved as: its context by keywords, up to three pros and cons."""
-    c, n = F.coalesce(F.lower("category"), F.lit("")), F.col("name")
-    kind = F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words]), k) for k, words in CONTEXTS.items()], F.lit("other"))
-    says = lambda words: F.array(*[F.concat_ws(" ", n, F.lit(w)) for w in words])
-    made = lambda k, xs: F.transform(F.slice(xs, 1, 3), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("detail")))
-    rows = F.concat(made("context", F.array(kind)), made("pro", says(["light", "warm", "small", "dear"])), made("con", says(["heavy"])))
-    return g.item().filter("name IS NOT NULL").select("node_id", F.explode(rows).alias("x")).select("node_id", "x.kind", "x.detail")
-
-
 @query("files_site_patterns", """SELECT host, min_page % 2 = 1 AS cached FROM (SELECT host, min(page_id) AS min_page FROM page GROUP BY host)""")
 def files_site_patterns(g: Graph) -> DataFrame:
     """Sites whose learned patterns are younger than a day; the others are to be analysed again."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions.products import checklist
 from cairn.operators import rules
 from cairn.operators.aggregates import first_by
-from cairn.operators.graph import missing, present
+from cairn.operators.graph import present
 from cairn.operators.quality import _FORMS, _HOLDS, _MESSY, _in, invalid_brand_confidence, lookup, messy_brands, scan_redundant_brands
 from cairn.operators.research import _RESULTS, search_results
 from cairn.registry import query

@@ -96,20 +96,3 @@ def research_brand_model(g: Graph) -> DataFrame:
     rows = g.item().select("node_id", F.regexp_replace("name", r"^\d+x\s+", "").alias("n"))
     first = F.element_at(F.split("n", " "), 1)
     return rows.select("node_id", first.alias("maker"), F.trim(F.substr(F.col("n"), F.length(first) + F.lit(2))).alias("model"))
-
-
-@query("research_use_contexts", """SELECT CASE WHEN contains(c, 'economy') THEN 'activity' WHEN contains(c, 'small') THEN 'terrain' ELSE 'weather' END AS context, count(*) AS n
-  FROM (SELECT coalesce(lower(category), '') AS c FROM item) GROUP BY 1""")
-def research_use_contexts(g: Graph) -> DataFrame:
-    c = F.coalesce(F.lower("category"), F.lit(""))
-    kind = F.when(F.contains(c, F.lit("economy")), "activity").when(F.contains(c, F.lit("small")), "terrain").otherwise("weather")
-    return g.item().groupBy(kind.alias("context")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("research_rich_save", """SELECT node_id, field, 0.8::DOUBLE AS confidence FROM (SELECT node_id, unnest([CASE WHEN weight_grams <> 0 THEN 'weight_grams' END, CASE WHEN price_usd <> 0 THEN 'price_usd' END,
-  CASE WHEN description <> '' THEN 'description' END]) AS field FROM item) WHERE field IS NOT NULL""")
-def research_rich_save(g: Graph) -> DataFrame:
-    """One field source for each field that an extraction filled."""
-    fields = F.array_compact(F.array(F.when(F.col("weight_grams") != 0, "weight_grams"), F.when(F.col("price_usd") != 0, "price_usd"), F.when(F.col("description") != "", "description")))
-    return g.item().select("node_id", F.explode(fields).alias("field"), F.lit(0.8).alias("confidence"))
-

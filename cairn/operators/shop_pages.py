@@ -227,3 +227,11 @@ def mut_enrich_write_back(g: Graph) -> DataFrame:
     items = g.item().select("node_id", F.col("weight_grams").cast("int").alias("weight_grams"))
     found = reseller_products(product_pages(g), "p_partkey", keeper(g.spark)).withColumnRenamed("p_partkey", "node_id")
     return enriched(items, found, NOW)
+
+
+@query("page_list_quality", """SELECT p_partkey // 20 AS shop_page, count(*) AS products, count(*) AS with_price, count(*) FILTER (p_partkey % 4 <> 3) AS with_weight, count(*) AS with_description FROM part GROUP BY 1""")
+def page_list_quality(g: Graph) -> DataFrame:
+    """How many of the products that a list page leads to have a weight, a price and a description."""
+    rows = reseller_products(product_pages(g), "p_partkey", keeper(g.spark)).withColumn("shop_page", F.floor(F.col("p_partkey") / 20).cast("long"))
+    has = lambda c: F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+    return rows.groupBy("shop_page").agg(F.count(F.lit(1)).alias("products"), has("price").alias("with_price"), has("weight_grams").alias("with_weight"), has("description").alias("with_description"))

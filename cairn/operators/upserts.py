@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.aggregates import first_by
 from cairn.operators.mutations import _UP, _catalogue, _changes, last_of, link, upsert
 from cairn.registry import query
 from cairn.sources.views import Graph

@@ -100,3 +100,19 @@ def test_merge_moves_edges_and_drops_loops(spark):
     assert sorted(r.node_id for r in left.collect()) == [1, 3]
     assert sorted(tuple(r) for r in moved.collect()) == [(1, "R", 3), (3, "S", 1)]
     assert sorted(tuple(r) for r in mutations.merge_nodes(nodes, edges, mapping, ["R"])[1].collect()) == [(1, "R", 3)]
+
+
+@pytest.mark.parametrize("category, want", [("Tent", "Zed Mug specs weight capacity season"), ("SLEEPING_PAD", "Zed Mug specs r-value weight"), ("cups", "Zed Mug specs weight"), (None, "Zed Mug specs weight")])
+def test_searches_by_category(spark, category, want):
+    from cairn.functions.catalog import search_query
+
+    assert one(spark, search_query(F.lit("Zed"), F.lit("Mug"), F.col("c")), c=category) == want
+
+
+def test_harvested_lines_are_cut_and_capped(spark):
+    from cairn.functions.catalog import harvested
+
+    text_ = "\n".join(["  A TENT for two ", "nothing", "He suggests " + "x" * 300, "note: bag"] + [f"pack {i}" for i in range(120)])
+    gear, insight = one(spark, harvested(F.col("t"), "gear"), t=text_), one(spark, harvested(F.col("t"), "insight"), t=text_)
+    assert gear[:3] == ["A TENT for two", "note: bag", "pack 0"] and len(gear) == 100
+    assert [len(x) for x in insight] == [200, 9] and insight[0].startswith("He suggests x")
