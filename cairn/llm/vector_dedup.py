@@ -20,12 +20,12 @@ LIST, ORDERS, SPAN = 10, 6, 96
 #: The share of new list entries below which rounds end.
 SETTLED = 0.002
 #: Vectors of a component that are multiplied with as many others at once.
-BLOCK = 256
+BLOCK = 1024
 #: Query vectors that one pass of the audit compares with all rows.
 QUERIES = 2048
-#: Vectors that a run compares with all others to see what its search missed, and the share of them
-#: that may have missed links; beyond it lists are doubled and the search is run again.
-AUDITED, MISSED = 256, 0.005
+#: Vectors of each label and length that a run compares with all others to see what its search missed, QUERIES in all at most; as
+#: long as any of them has missed a link, lists are doubled and the search is run again.
+AUDITED = 48
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,8 @@ def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch, name: str
     best = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
 
     def cut(edges: DataFrame, name: str) -> DataFrame:
-        known = edges.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh"))
+        """The size best of each node, r from 1; rows are dealt by their node once for both steps."""
+        known = edges.repartition(parts, "a").groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh"))
         return scratch.keep(known.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= size), name)
 
     found = scratch.keep(found, f"{name}met0")
@@ -229,13 +230,13 @@ def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch, name: str
     k = 0
     while True:
         k += 1
-        kth = lists.groupBy("a").agg(F.when(F.count(F.lit(1)) >= size, F.min("cos")).otherwise(-2.0).alias("kth"))
+        kth = lists.filter(F.col("r") == size).select(F.col("a").alias("t"), F.col("cos").alias("kth"))
         back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos", "fresh")
         back = back.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= size)
-        near = lists.unionByName(back).groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
-        active = near.groupBy("a").agg(F.max("fresh").alias("any")).filter("any").select("a")
-        near = near.join(active, "a", "left_semi").select(F.col("a").alias("c"), F.col("b").alias("t"), "fresh")
-        met = near.join(nodes.select("t", "v", "home").join(kth.withColumnRenamed("a", "t"), "t"), "t").select("c", "t", "v", "kth", "fresh", "home")
+        near = lists.unionByName(back).repartition(parts, "a").groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
+        near = near.withColumn("any", F.max("fresh").over(Window.partitionBy("a"))).filter("any").select(F.col("a").alias("c"), F.col("b").alias("t"), "fresh")
+        known = nodes.select("t", "v", "home").join(kth, "t", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
+        met = near.join(known, "t").select("c", "t", "v", "kth", "fresh", "home")
         new = met.repartition(parts, "c").sortWithinPartitions("c").mapInArrow(_local_join(double), EDGES)
         new = scratch.keep(new, f"{name}met{k}")
         met_links = met_links.unionByName(new.filter("cos IS NULL").select("a", "b"))
@@ -271,12 +272,12 @@ def _joined(nodes: DataFrame, lists: DataFrame, links: DataFrame, double: bool,
         labels = scratch.keep(connected_components(links, scratch, f"{name}cc{k}-"), f"{name}labels{k}")
 
 
-def _missed(nodes: DataFrame, labels: DataFrame, double: bool, scratch: Scratch, name: str) -> tuple[DataFrame | None, float]:
-    """Links (a, b) of AUDITED vectors with other components, one for each component, and the share of
-    these vectors that have any; None if no vector has."""
+def _missed(nodes: DataFrame, labels: DataFrame, double: bool, scratch: Scratch, name: str) -> DataFrame | None:
+    """Links (a, b) of AUDITED vectors a label with other components, one for each component; None if there are none."""
     homes = labels.select(F.col("node").alias("t"), F.col("label").alias("home"))
     placed = nodes.select("t", "grp", "v").join(homes, "t", "left").withColumn("home", F.coalesce("home", "t"))
-    picked = placed.orderBy(F.xxhash64("t", F.lit("audit"))).limit(AUDITED).collect()
+    drawn = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("t", F.lit("audit")), "t"))
+    picked = placed.withColumn("_drawn", drawn).filter(F.col("_drawn") <= AUDITED).orderBy("_drawn", "t").limit(QUERIES).collect()
     asked: dict[str, list] = {}
     for r in picked:
         asked.setdefault(r["grp"], []).append((bytes(r["t"]), bytes(r["home"]), bytes(r["v"])))
@@ -298,8 +299,7 @@ def _missed(nodes: DataFrame, labels: DataFrame, double: bool, scratch: Scratch,
 
     met = placed.mapInArrow(meet, "a binary, home binary, b binary").groupBy("a", "home").agg(F.min("b").alias("b"))
     met = scratch.keep(met.select("a", "b"), name)
-    n = met.select("a").distinct().count()
-    return (met, n / len(picked)) if n else (None, 0.0)
+    return None if met.isEmpty() else met
 
 
 def link_vectors(vectors: DataFrame) -> DataFrame:
@@ -314,9 +314,9 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
 
     NN-descent finds links; lists hold LIST neighbours at first. A list whose last neighbour
     still links is saturated: saturated vectors search again for neighbours outside their
-    component, until that joins no more components. Then AUDITED vectors meet all others: links
-    that the search missed are added, and if more than MISSED of them had any, lists are doubled
-    and the search is run again. Lists inside a component are enlarged to the whole component:
+    component, until that joins no more components. Then AUDITED vectors of each label meet all
+    others: links that the search missed are added, and lists are doubled and the search is run
+    again until the audit finds none. Lists inside a component are enlarged to the whole component:
     its vectors are multiplied block by block, and each block pair returns one count a vector, so
     links are exact among all vectors that any found link connects, and no pair is written.
     audit_recall() measures what is still missing.
@@ -328,15 +328,10 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
         lists, found = neighbour_lists(nodes.withColumn("home", F.lit(None).cast("binary")), double, scratch, f"search{k}-", size)
         links = found if links is None else links.unionByName(found)
         links, labels = _joined(nodes, lists, links, double, scratch, f"joined{k}-", size)
-        missed, bad = _missed(nodes, labels, double, scratch, f"missed{k}")
+        missed = _missed(nodes, labels, double, scratch, f"missed{k}")
         if missed is None:
             break
-        links = links.unionByName(missed)
-        k += 1
-        if bad <= MISSED:
-            labels = scratch.keep(connected_components(links, scratch, f"last{k}-"), f"labels{k}")
-            break
-        size *= 2
+        links, k, size = links.unionByName(missed), k + 1, 2 * size
     labels = scratch.keep(labels, "labels")
     scratch.drop_all_but("rows", "nodes", "labels")
     sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
