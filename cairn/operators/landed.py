@@ -13,7 +13,7 @@ from cairn.operators.duplicates import probe
 from cairn.operators.research import _RESULTS, search_results
 from cairn.registry import query
 from cairn.sources import files
-from cairn.sources.scratch import shared_folder
+from cairn.sources.scratch import fresh_root
 from cairn.sources.views import Graph
 
 #: Categories of a site that a crawl follows, and products that it takes of a site.
@@ -140,7 +140,7 @@ def files_sync_since(g: Graph) -> DataFrame:
 @query("files_state_round_trip", "SELECT url FROM source WHERE source_type <> 'F'")
 def files_state_round_trip(g: Graph) -> DataFrame:
     """Sources that are new to a state that was written and read again."""
-    root = f"{shared_folder(g.spark)}/state-{files.fresh_name()}"
+    root = fresh_root(g.spark, "state")
     files.write_state(g.source().filter("source_type = 'F'").select(F.col("url").alias("video_id")), root, NOW)
     return g.source().select("url").join(files.read_state(g.spark, root).select(F.col("video_id").alias("url")), "url", "left_anti")
 
@@ -148,7 +148,7 @@ def files_state_round_trip(g: Graph) -> DataFrame:
 @query("files_log_round_trip", """SELECT decision, count(*) AS entries, count(DISTINCT entity) AS entities FROM (SELECT entity, status AS decision FROM work_event WHERE event_id % 2 = 0 UNION ALL SELECT entity, status FROM work_event WHERE event_id % 3 = 0) GROUP BY decision""")
 def files_log_round_trip(g: Graph) -> DataFrame:
     """A log appended to twice, as one JSON object a line, and read with its schema."""
-    root = f"{shared_folder(g.spark)}/log-{files.fresh_name()}"
+    root = fresh_root(g.spark, "log")
     for n in (2, 3):
         rows = g.work_event().filter(F.col("event_id") % n == 0)
         files.append_log(rows.select(F.col("event_id").cast("string").alias("entry_id"), F.col("entity").cast("string").alias("entity_id"), F.col("status").alias("decision"), "ts"), root)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +40,6 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def fresh_name() -> str:
-    return uuid.uuid4().hex
-
-
 def log_file(spark: SparkSession, path: str) -> DataFrame:
     """A log of one JSON object a line; lines that are none come with nulls."""
     return spark.read.schema(LOG).json(path)

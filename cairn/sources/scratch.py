@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,9 +24,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def fresh_root(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, until clear_tables()."""
+    root = f"{shared_folder(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+    _MADE.append(root)
+    return root
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all folders that this process's queries made, once their results have been written or read."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = hadoop.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def keeper(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
     """keep(df, name) writes df below a fresh folder and reads it again."""
-    root = f"{shared_folder(spark)}/cairn-{uuid.uuid4().hex}"
+    root = fresh_root(spark, "tables")
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{root}/{name}")

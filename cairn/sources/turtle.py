@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.registry import query
-from cairn.sources.scratch import keeper, shared_folder
+from cairn.sources.scratch import fresh_root, keeper
 from cairn.sources.views import EDGES, Graph
 
 TRIPLE = "s string, p string, o string, kind string, lang string, datatype string, error string"
@@ -305,7 +305,7 @@ def land_ontology(g: Graph, path: str) -> None:
 
 
 def _ontology(g: Graph) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
-    path, keep = f"{shared_folder(g.spark)}/ontology-{uuid.uuid4().hex}", keeper(g.spark)
+    path, keep = fresh_root(g.spark, "ontology"), keeper(g.spark)
     land_ontology(g, path)
     return keep(triples(g.spark, path), "triples"), keep
 

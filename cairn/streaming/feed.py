@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from cairn.functions.text import slugify
 from cairn.operators.mutations import last_of
 from cairn.registry import query
-from cairn.sources.scratch import shared_folder
+from cairn.sources.scratch import fresh_root
 from cairn.sources.views import Graph
 
 _BRAND = "struct<id:string,name:string,country:string,logo_url:string,website:string,product_count:bigint>"
@@ -280,7 +280,7 @@ _CHANGES = f"""pc AS (SELECT event_id, CASE status WHEN 'signup' THEN 0 WHEN 'er
 
 
 def _mirror(g: Graph) -> Mirror:
-    root = f"{shared_folder(g.spark)}/feed-{uuid.uuid4().hex}"
+    root = fresh_root(g.spark, "feed")
     land_products(g, f"{root}/feed")
     return Mirror(g.spark, f"{root}/feed", f"{root}/mirror")
 

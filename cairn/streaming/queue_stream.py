@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from cairn.operators import rules
 from cairn.operators.queue import _STATES, STATUS, queue_events
 from cairn.registry import query
-from cairn.sources.scratch import shared_folder
+from cairn.sources.scratch import fresh_root
 from cairn.sources.views import Graph
 
 EVENTS = "entity string, seq long, kind string, level int, score double, ts timestamp"
@@ -122,7 +122,7 @@ def kept_entries(spark: SparkSession, root: str) -> DataFrame:
 @query("stream_queue_entries", f", {_STATES} SELECT * FROM states")
 def stream_queue_entries(g: Graph) -> DataFrame:
     """The events table as a stream through the state machine: the same entries as queue_entries."""
-    root = f"{shared_folder(g.spark)}/queue-{uuid.uuid4().hex}"
+    root = fresh_root(g.spark, "queue")
     raw = g.table("events")
     stream = g.spark.readStream.schema(raw.schema).parquet(f"{g.sf_dir}/events.parquet*")
     events = queue_events(stream.select("event_id", F.col("user_id").alias("entity"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"), "value"))
