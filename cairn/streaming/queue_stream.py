@@ -7,7 +7,6 @@ watermark still lets through give what queue_states gives over all of them at on
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
