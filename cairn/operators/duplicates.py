@@ -93,50 +93,51 @@ def dup_probe(g: Graph) -> DataFrame:
     return probe(g, "red widget", "Brand#17").select("node_id", "name", "brand", F.round("similarity", 6).alias("similarity"), band.alias("band"))
 
 
-def token_neighbours(nodes: DataFrame, least: int = 2) -> DataFrame:
-    """a, b: keys of nodes (key, name, brand) with least or more common tokens, or with one and the
-    same non-empty brand.
+def shared_marks(nodes: DataFrame) -> DataFrame:
+    """key, mark: what makes two nodes (key, name, brand) alike, once each: two tokens of the name, or one token with a brand that is not empty.
 
-    A name's tokens are ordered by how many names hold them, the rarest first. Names with least
-    common tokens share one that is not among the last least - 1 of either, so the commonest
-    tokens of a name are not joined on; what is shared is counted on whole lists.
+    All nodes with a mark in common are alike, so a mark that a third of them has is as many rows, not their square.
     """
-    words = nodes.select("key", "brand", F.explode(name_tokens("name")).alias("token"))
-    held = words.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    lists = words.join(held, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("s"))
-    lists = lists.select("key", F.transform("s", lambda x: x["token"]).alias("tokens")).filter(F.size("tokens") >= least)
-    index = lists.select("key", "tokens", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)).alias("token"))
-    one, two = index.toDF("a", "x", "token"), index.toDF("b", "y", "token")
-    pairs = one.join(two, "token").filter((F.col("a") < F.col("b")) & (F.size(F.array_intersect("x", "y")) >= least)).select("a", "b")
-    own = words.filter("brand <> ''")
-    branded = own.toDF("a", "brand", "token").join(own.toDF("b", "brand", "token"), ["brand", "token"]).filter("a < b").select("a", "b")
-    return pairs.unionByName(branded).distinct()
+    words = nodes.select("key", "brand", F.array_sort(name_tokens("name")).alias("w"))
+    pairs = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda y: F.concat_ws("\1", x, y))))
+    branded = F.when(F.col("brand") != "", F.transform("w", lambda x: F.concat_ws("\2", x, "brand"))).otherwise(F.array().cast("array<string>"))
+    return words.select("key", F.explode(F.concat(pairs, branded)).alias("mark")).distinct()
 
 
-def leader_clusters(names: DataFrame, pairs: DataFrame, keep) -> DataFrame:
-    """name, leader: a name leads if no earlier neighbour leads, and joins its earliest leader.
+def leaders(marks: DataFrame, keep) -> DataFrame:
+    """key, leader of every node of marks (key, mark), where nodes that share a mark are neighbours.
 
-    Each round settles every name all of whose earlier neighbours are settled; that is the
-    sequential rule, not the transitive closure. keep writes a table and reads it again.
+    The sequential rule: taken in order, a node leads unless an earlier neighbour leads, and what does not lead
+    joins the earliest leader among its neighbours. Each round finds the nodes that come first in all
+    their marks: they lead, and all who share a mark with them do not. A mark has one leader at most, so at the end
+    each node takes the least leader of its marks. Work is linear in marks, whatever many share; keep
+    writes a table and reads it again.
     """
-    open_names, open_pairs = names, pairs
-    settled = None
-    k = 0
+    several = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    marks = keep(marks.join(several, "mark", "left_semi").select("key", "mark"), "marks")
+    open_, found, k = marks, None, 0
     while True:
-        blocked = open_pairs.select(F.col("b").alias("name")).distinct()
-        lead = keep(open_names.join(blocked, "name", "left_anti").select("name", F.col("name").alias("leader")), f"lead{k}")
+        first = open_.groupBy("mark").agg(F.min("key").alias("first"))
+        marked = open_.join(first, "mark")
+        lead = marked.groupBy("key").agg(F.bool_and(F.col("first") == F.col("key")).alias("leads")).filter("leads").select("key")
+        lead = keep(lead, f"lead{k}")
         if lead.isEmpty():
             break
-        hit = open_pairs.join(lead.select(F.col("name").alias("a")), "a", "left_semi")
-        follow = keep(hit.groupBy(F.col("b").alias("name")).agg(F.min("a").alias("leader")), f"follow{k}")
-        done = lead.unionByName(follow)
-        settled = done if settled is None else settled.unionByName(done)
-        gone = done.select("name")
-        open_names = keep(open_names.join(gone, "name", "left_anti"), f"names{k}")
-        left = open_pairs.join(gone.withColumnRenamed("name", "a"), "a", "left_anti").join(gone.withColumnRenamed("name", "b"), "b", "left_anti")
-        open_pairs = keep(left.select("a", "b"), f"pairs{k}")
+        found = lead if found is None else found.unionByName(lead)
+        gone = marked.join(lead.withColumnRenamed("key", "first"), "first", "left_semi").select("key").distinct()
+        open_ = keep(open_.join(gone, "key", "left_anti"), f"open{k}")
         k += 1
-    return names.select("name", F.col("name").alias("leader")).limit(0) if settled is None else settled
+    if found is None:
+        return marks.select("key", F.col("key").alias("leader")).limit(0)
+    led = marks.join(found, "key").select("mark", F.col("key").alias("leader"))
+    return marks.join(led, "mark").groupBy("key").agg(F.min("leader").alias("leader"))
+
+
+def leader_clusters(names: DataFrame, pairs: DataFrame, keep) -> DataFrame:
+    """name, leader of all names by the sequential rule (leaders), where pairs (a, b) are neighbours."""
+    both = pairs.select(F.concat_ws("\0", "a", "b").alias("mark"), F.explode(F.array("a", "b")).alias("key"))
+    led = leaders(both.select("key", "mark").distinct(), keep).withColumnRenamed("key", "name")
+    return names.select("name").join(led, "name", "left").select("name", F.coalesce("leader", "name").alias("leader"))
 
 
 @query("dup_leader_clusters")
@@ -150,8 +151,8 @@ def dup_leader_clusters(g: Graph) -> DataFrame:
     nodes = g.item().filter("name IS NOT NULL").groupBy("name", brand.alias("brand")).agg(F.count(F.lit(1)).alias("copies"))
     keep = keeper(g.spark)
     nodes = keep(nodes.withColumn("key", F.concat("name", F.lit("\0"), "brand")), "nodes")
-    clusters = leader_clusters(nodes.select(F.col("key").alias("name")), keep(token_neighbours(nodes), "pairs"), keep)
-    found = clusters.toDF("key", "leads").join(nodes, "key")
+    clusters = leaders(shared_marks(nodes), keep).toDF("key", "leads")
+    found = nodes.join(clusters, "key", "left").withColumn("leads", F.coalesce("leads", "key"))
     itself = F.size(name_tokens("name")) >= F.when(F.col("brand") != "", 1).otherwise(2)
     members = F.when((F.col("key") == F.col("leads")) & ~itself, 1).otherwise(F.col("copies"))
     n = found.groupBy("leads").agg(F.sum(members).alias("members"), F.max(F.when(F.col("key") == F.col("leads"), F.col("name"))).alias("leader"))
