@@ -209,14 +209,11 @@ def neighbour_lists(nodes: DataFrame, double: bool, scratch: Scratch, name: str
     """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(parts, nodes.count() // (4 * SPAN)))  # a range holds several spans, or few rows would have no neighbours
+    ranges = max(1, min(parts, ORDERS * nodes.count() // (4 * SPAN)))  # a range holds several spans, or few rows would have no neighbours
     placed = nodes.select("t", "grp", "v", "home").mapInArrow(_projected(double), "t binary, grp string, v binary, home binary, places array<double>")
-    found = None
-    for o in range(ORDERS):
-        ordered = placed.select("t", "grp", "v", "home", F.col("places")[o].alias("place"))
-        ordered = ordered.repartitionByRange(ranges, "grp", "place", "t").sortWithinPartitions("grp", "place", "t")
-        edges = ordered.mapInArrow(_first_lists(double, size), EDGES)
-        found = edges if found is None else found.unionByName(edges)
+    ordered = placed.select("t", "grp", "v", "home", F.posexplode("places").alias("o", "place")).withColumn("grp", F.concat_ws("|", "o", "grp"))
+    ordered = ordered.repartitionByRange(ranges, "grp", "place", "t").sortWithinPartitions("grp", "place", "t")  # all orders in one exchange
+    found = ordered.select("t", "grp", "v", "home").mapInArrow(_first_lists(double, size), EDGES)
     best = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
 
     def cut(edges: DataFrame, name: str) -> DataFrame:
