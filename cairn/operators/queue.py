@@ -224,11 +224,13 @@ def first_k(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-@query("quality_similar_brands", f""", m AS ({_MESSY}), b AS (SELECT DISTINCT brand FROM m WHERE brand IS NOT NULL UNION SELECT name FROM brand), w AS (SELECT brand, unnest(list_distinct(string_split(lower(brand), ' '))) AS word FROM b)
+@query("quality_similar_brands", f""", m AS ({_MESSY}), b AS (SELECT DISTINCT brand FROM m WHERE brand IS NOT NULL UNION SELECT brand || ' Gear' FROM m WHERE brand IS NOT NULL UNION SELECT name FROM brand), w AS (SELECT brand, unnest(list_distinct(string_split(lower(brand), ' '))) AS word FROM b)
   SELECT brand, alike FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY length(alike), alike) AS r FROM (SELECT DISTINCT x.brand, y.brand AS alike FROM w x JOIN w y ON x.word = y.word
     WHERE x.brand <> y.brand AND (contains(lower(x.brand), lower(y.brand)) OR contains(lower(y.brand), lower(x.brand))))) WHERE r <= 5""")
 def quality_similar_brands(g: Graph) -> DataFrame:
-    names = messy_brands(g).select("brand").filter("brand IS NOT NULL").union(g.brand().select("name")).distinct()
+    """Brands as items, as people lengthen them, and as nodes have them, with those that share a word and hold one another."""
+    said = messy_brands(g).select("brand").filter("brand IS NOT NULL").distinct()
+    names = said.union(said.select(F.concat("brand", F.lit(" Gear")))).union(g.brand().select("name")).distinct()
     return similar_brands(names)
 
 
