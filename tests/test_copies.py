@@ -31,3 +31,14 @@ def test_tips_of_a_category_are_counted_not_written_out(spark):
     after = fixes.linked_by_category(spark.range(n).toDF("node_id"), small, edges, asked.filter("entity_id < 10"))
     linked = {r.dst_id: r.n for r in after.filter("src_id < 12 AND dst_id < 10").groupBy("dst_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert linked == {r.entity_id: r.tips for r in fixes.tips_by_category(spark.range(n).toDF("node_id"), small, tips, asked.filter("entity_id < 10")).collect()}
+
+
+def test_repeated_insights_meet_their_products_once(spark):
+    products = spark.range(4000).select(F.col("id").alias("node_id"), F.lit("Item").alias("label"), F.lit("Mug").alias("name"))
+    asked = spark.range(4000).select(F.substring(F.concat(F.lit("s"), "id"), 1, 1).alias("summary"), F.concat(F.lit("Mu"), F.substring(F.concat(F.lit("g"), "id"), 1, 1)).alias("name"))
+    edges = spark.createDataFrame([(1, "Item", "HAS_TIP", "s")], "src_id long, src_label string, rel_type string, summary string")
+    made = rich_save._linked(edges, asked, products, ["name"], "HAS_TIP")
+    text = plan(made)
+    assert made.count() == 4000
+    join = text.index("Join")
+    assert text.count("keys=[summary") >= 1 and text.index("keys=[summary", join) > join  # asked is made distinct below the join
