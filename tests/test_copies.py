@@ -42,3 +42,15 @@ def test_repeated_insights_meet_their_products_once(spark):
     assert made.count() == 4000
     join = text.index("Join")
     assert text.count("keys=[summary") >= 1 and text.index("keys=[summary", join) > join  # asked is made distinct below the join
+
+
+def test_relationships_of_an_extraction_are_not_exchanged_after_the_join(spark):
+    names = [f.strip().split()[0] for f in rich_save.EXTRACTED.split(", ")]
+    row = {"name": "Mug", "brand": "Zed", "source_url": "https://a", "use_cases": ["Hiking"] * 2, "insights": ["x" * 500, "y"]}
+    rows = spark.createDataFrame([tuple(row.get(n) for n in names)] * 3, rich_save.EXTRACTED)
+    items = spark.range(50).select(F.col("id").alias("node_id"), F.lit("Mug").alias("name"), F.lit("Zed").alias("brand"))
+    out = rich_save.rich_edges(items, rows, lambda c: F.md5(c.cast("binary")))
+    assert out.count() == out.distinct().count() == 150
+    assert {len(r.dst_key) for r in out.collect()} == {32}
+    above = plan(out).split("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
