@@ -52,6 +52,14 @@ def test_an_entry_is_of_one_page(spark):
     assert sorted(r.page_id for r in files.files_cache_misses(Pages()).collect()) == [3, 5, 9]
 
 
+def test_links_of_a_category_are_not_exchanged(spark):
+    items = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, None), (5, "z")], "src_id long, _category string")
+    tips = spark.createDataFrame([(10, "a"), (11, "a"), (11, "a"), (12, "b"), (13, None)], "dst_id long, _category string")
+    out = upserts.category_links(items, tips)
+    assert sorted((r.src_id, r.dst_id) for r in out.collect()) == [(1, 10), (1, 11), (2, 10), (2, 11), (3, 12)]
+    assert "Exchange" not in plan(out).split("Join")[0] and "Aggregate" not in plan(out).split("Join")[0]
+
+
 def test_relationships_of_an_extraction_are_not_exchanged_after_the_join(spark):
     names = [f.strip().split()[0] for f in rich_save.EXTRACTED.split(", ")]
     row = {"name": "Mug", "brand": "Zed", "source_url": "https://a", "use_cases": ["Hiking"] * 2, "insights": ["x" * 500, "y"]}
