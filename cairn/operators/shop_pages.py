@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.mutations import upsert
 from cairn.operators.upserts import NOW
 from cairn.registry import query
-from cairn.sources.dom import first_of, joined_url, nodes, rank_first, select, with_text
+from cairn.sources.dom import first_text, firsts, joined_url, nodes, rank_first, select, with_text
 from cairn.sources.scratch import keeper
 from cairn.sources.views import Graph
 
@@ -24,6 +24,7 @@ CARD_NAMES = [
     ".woocommerce-loop-product__title", ".wc-block-grid__product-title", "h2", "h3",
 ]
 CARD_PRICES = [".price", ".product-price", ".money", "[data-price]", ".amount", ".woocommerce-Price-amount"]
+BARE = 'a[href*="/product"], a[href*="/produkt"]'
 PRODUCT_PATHS = ["/product/", "/products/", "/produkt/", "/produkte/", "/artikel/"]
 OTHER_PATHS = [
     "/faq", "/terms", "/privacy", "/policy", "/policies", "/shipping", "/returns", "/contact", "/about", "/payment", "/pricing", "/production-time", "/company", "/legal", "/impressum", "/agb",
@@ -44,32 +45,28 @@ def is_product_url(url: Column) -> Column:
     return ~has(OTHER_PATHS) & has(PRODUCT_PATHS)
 
 
-def cards(pages: DataFrame, key: str, keep) -> DataFrame:
+def cards(pages: DataFrame, key: str, keep=None) -> DataFrame:
     """key, url, name, price: the products of each collection page (key, url, html), once each address.
 
     The first of CARDS with a product on the page counts; a card's product is its first link, or the
-    card itself. A page without any gives its product links, with their texts or titles as names. keep writes a table and reads it again.
+    card itself. A page without any gives its product links, with their texts or titles as names.
     """
-    dom = keep(nodes(pages, key), "dom")
-    base = pages.select(key, F.col("url").alias("page_url"))
-    roots = reduce(DataFrame.unionByName, [select(dom, key, s).select(key, F.col("pre").alias("root"), F.col("last").alias("root_last"), F.lit(i).alias("rank"), F.col("attrs")["href"].alias("own")) for i, s in enumerate(CARDS)])
-    roots = keep(roots.join(base, key), "roots")
-    link = first_of(dom, key, ["a[href]"], "href", roots, F.col("attrs")["href"])
-    found = roots.join(link, [key, "root"], "left").withColumn("href", F.coalesce("href", "own")).filter(is_product_url(F.col("href")))
-    found = keep(found, "found")
-    name, price = first_of(dom, key, CARD_NAMES, "name", found), first_of(dom, key, CARD_PRICES, "price", found)
-    whole = with_text(dom, key, found.select(key, F.col("root").alias("pre"), F.col("root_last").alias("last")).distinct()).select(key, F.col("pre").alias("root"), F.split("inner", "\n")[0].alias("line"))
-    rows = found.join(name, [key, "root"], "left").join(price, [key, "root"], "left").join(whole, [key, "root"], "left")
-    rows = rows.select(key, "rank", "root", joined_url(F.col("page_url"), F.col("href")).alias("url"), F.substring(F.trim(F.coalesce("name", "line")), 1, 200).alias("name"), "price").filter("name <> ''")
-    chosen = rows.groupBy(key).agg(F.min("rank").alias("rank"))
-    first = rank_first(rows.join(chosen, [key, "rank"]), [key, "url"], ["root"])
-    bare = with_text(dom, key, select(dom, key, 'a[href*="/product"], a[href*="/produkt"]')).join(chosen, key, "left_anti").join(base, key)
-    href = F.col("attrs")["href"]
-    skipped = F.contains(href, F.lit("#")) | F.lower(href).rlike("javascript:|mailto:")
-    label = F.trim(F.split(F.when(F.col("inner") != "", F.col("inner")).otherwise(F.col("attrs")["title"]), "\n")[0])
-    links = bare.filter(is_product_url(href) & ~skipped).select(key, "pre", joined_url(F.col("page_url"), href).alias("url"), label.alias("name"), F.lit(None).cast("string").alias("price"))
-    links = rank_first(links.filter((F.length("name") > 2) & (F.length("name") < 200)), [key, "url"], ["pre"])
-    return first.select(key, "url", "name", "price").unionByName(links.select(key, "url", "name", "price"))
+    places = ["a[href]", *CARD_NAMES, *CARD_PRICES]
+    names = range(1, 1 + len(CARD_NAMES))
+    prices = range(1 + len(CARD_NAMES), len(places))
+    href = F.coalesce(F.nullif(F.get(F.get("found", F.lit(0)), F.lit(0))["attrs"]["href"], F.lit("")), F.col("own")["href"])
+    line = lambda c: F.split(c, "\n")[0]
+    found = firsts(pages, key, places, [*CARDS, BARE])
+    card = F.col("rank") < len(CARDS)
+    title = F.substring(F.trim(F.coalesce(first_text(names), line(F.col("own_text")))), 1, 200)
+    label = F.trim(line(F.when(F.col("own_text") != "", F.col("own_text")).otherwise(F.col("own")["title"])))
+    rows = found.select(key, "rank", "root", F.when(card, href).otherwise(F.col("own")["href"]).alias("href"), F.when(card, title).otherwise(label).alias("name"), F.when(card, first_text(prices)).alias("price"))
+    skipped = F.contains("href", F.lit("#")) | F.lower("href").rlike("javascript:|mailto:")
+    good = F.when(card, F.col("name") != "").otherwise(~skipped & (F.length("name") > 2) & (F.length("name") < 200))
+    rows = rows.filter(is_product_url(F.col("href")) & good).join(pages.select(key, F.col("url").alias("page_url")), key)
+    rows = rows.select(key, "rank", "root", joined_url(F.col("page_url"), F.col("href")).alias("url"), "name", "price")
+    chosen = rows.withColumn("_least", F.min("rank").over(Window.partitionBy(key))).filter("rank = _least")  # the links of one page
+    return rank_first(chosen, [key, "url"], ["root"]).select(key, "url", "name", "price")
 
 
 def grams_of(text: Column, pattern: str) -> Column:
@@ -81,23 +78,24 @@ def grams_of(text: Column, pattern: str) -> Column:
     return F.floor(value * factor).cast("int")
 
 
-def reseller_products(pages: DataFrame, key: str, keep) -> DataFrame:
+def reseller_products(pages: DataFrame, key: str, keep=None) -> DataFrame:
     """key, name, brand, price, category, description, weight_grams of each product page (key, html) of a shop with several brands.
 
     Each field is the text of the first of its places that has any. Without a brand, "Brand - Name" is
     split. The weight comes from its own place, or from "weight" or "Gewicht" in the page's text; the category
     is the last step of the trail, or the one before if that is the name's first word.
     """
-    dom = keep(nodes(pages, key), "dom")
-    out = pages.select(key)
-    for column, places in (("name", TITLES), ("brand", BRANDS), ("price", PRICES), ("description", TEXTS), ("trail", TRAILS)):
-        out = out.join(first_of(dom, key, places, column), key, "left")
+    fields, places, at = {}, [], {}
+    for column, some in (("name", TITLES), ("brand", BRANDS), ("price", PRICES), ("description", TEXTS), ("trail", TRAILS), ("weight", WEIGHTS), ("body", ["body"])):
+        at[column] = range(len(places), len(places) + len(some))
+        places += some
+    for column in ("name", "brand", "price", "description", "trail"):
+        fields[column] = first_text(at[column])
     own = r"(\d+(?:[.,]\d+)?)\s*(g|kg|oz|lb)"
-    first = [select(dom, key, s).groupBy(key).agg(F.min_by(F.struct("pre", "last"), "pre").alias("x")).select(key, "x.*", F.lit(i).alias("rank")) for i, s in enumerate(WEIGHTS)]
-    placed = with_text(dom, key, reduce(DataFrame.unionByName, first)).withColumn("w", grams_of(F.col("inner"), own)).groupBy(key).agg(F.min_by("w", F.when(F.col("w").isNotNull(), F.col("rank"))).alias("placed"))
-    body = with_text(dom, key, select(dom, key, "body").groupBy(key).agg(F.min_by(F.struct("pre", "last"), "pre").alias("x")).select(key, "x.*")).select(key, F.coalesce(
-        grams_of(F.col("inner"), r"gewicht[:\s]*(\d+(?:[.,]\d+)?)\s*(g|kg)"), grams_of(F.col("inner"), r"weight[:\s]*(\d+(?:[.,]\d+)?)\s*(g|kg|oz)")).alias("said"))
-    out = out.join(placed, key, "left").join(body, key, "left")
+    fields["placed"] = F.coalesce(*[grams_of(first_text([i]), own) for i in at["weight"]])
+    fields["said"] = F.coalesce(
+        grams_of(first_text(at["body"]), r"gewicht[:\s]*(\d+(?:[.,]\d+)?)\s*(g|kg)"), grams_of(first_text(at["body"]), r"weight[:\s]*(\d+(?:[.,]\d+)?)\s*(g|kg|oz)"))
+    out = firsts(pages, key, places).select(key, *[c.alias(n) for n, c in fields.items()])
     text = lambda c: F.trim(F.coalesce(c, F.lit("")))
     parts = F.split("name", " - ")
     two = F.col("brand").isNull() & (F.size(parts) == 2)
@@ -111,26 +109,19 @@ def reseller_products(pages: DataFrame, key: str, keep) -> DataFrame:
     )
 
 
-def pack_items(pages: DataFrame, key: str, keep) -> DataFrame:
+def pack_items(pages: DataFrame, key: str, keep=None) -> DataFrame:
     """key, pos, name, weight_grams, price, is_worn, is_consumable of each item of a pack list page (key, html); items without a name are left out."""
-    dom = keep(nodes(pages, key), "dom")
-    roots = keep(select(dom, key, ".lpItem").select(key, F.col("pre").alias("root"), F.col("last").alias("root_last")), "roots")
-    inside = lambda s: select(dom, key, s).join(roots.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("pre") > F.col("root")) & (F.col("pre") <= F.col("root_last")))
-    desc, box = inside(".lpDescription").withColumn("r", F.lit(0)), inside("input[type='text']").withColumn("r", F.lit(1))
-    named = desc.unionByName(box).groupBy(key, "root").agg(F.min_by(F.struct("pre", "last", "attrs"), F.struct("r", "pre")).alias("x")).select(key, "root", "x.*")
-    named = with_text(dom, key, named).select(key, "root", F.coalesce(F.nullif(F.col("attrs")["value"], F.lit("")), "inner").alias("name")).filter(F.trim("name") != "")
-    numbers = inside("input.lpNumber").groupBy(key, "root").agg(F.sort_array(F.collect_list(F.struct("pre", F.col("attrs")["value"].alias("v")))).alias("l"))
-    flag = lambda s, name: inside(s).select(key, "root", F.lit(True).alias(name)).distinct()
-    rows = named.join(numbers, [key, "root"], "left").join(flag(".lpWorn.lpActive", "worn"), [key, "root"], "left").join(flag(".lpConsumable.lpActive", "eaten"), [key, "root"], "left")
-    w = F.lower(F.replace(F.coalesce(F.get("l", F.lit(0))["v"], F.lit("")), F.lit(","), F.lit("")))
+    found = firsts(pages, key, [".lpDescription", "input[type='text']", "input.lpNumber", ".lpWorn.lpActive", ".lpConsumable.lpActive"], [".lpItem"], k=2)
+    first = lambda i, n=0: F.get(F.get("found", F.lit(i)), F.lit(n))
+    called = F.coalesce(first(0), first(1))
+    name = F.coalesce(F.nullif(called["attrs"]["value"], F.lit("")), called["inner"])
+    w = F.lower(F.replace(F.coalesce(first(2)["attrs"]["value"], F.lit("")), F.lit(","), F.lit("")))
     value = F.regexp_extract(w, r"([\d.]+)", 1).try_cast("double")
     grams = F.floor(F.when(F.contains(w, F.lit("kg")), value * 1000).when(F.contains(w, F.lit("lb")), value * 453.592).when(F.contains(w, F.lit("oz")), value * 28.3495).otherwise(value))
-    first = roots.groupBy(key).agg(F.array_sort(F.collect_list("root")).alias("all"))  # the items of one page
-    false = F.lit(False)
-    return rows.join(first, key).select(
-        key, (F.array_position("all", F.col("root")) - 1).cast("int").alias("pos"), F.trim("name").alias("name"), grams.cast("int").alias("weight_grams"),
-        F.nullif(F.trim(F.get("l", F.lit(1))["v"]), F.lit("")).alias("price"), F.coalesce("worn", false).alias("is_worn"), F.coalesce("eaten", false).alias("is_consumable"),
-    )
+    return found.select(
+        key, "pos", F.trim(name).alias("name"), grams.cast("int").alias("weight_grams"), F.nullif(F.trim(first(2, 1)["attrs"]["value"]), F.lit("")).alias("price"),
+        first(3).isNotNull().alias("is_worn"), first(4).isNotNull().alias("is_consumable"),
+    ).filter("name <> ''")
 
 
 def _html(c: str) -> Column:
@@ -195,14 +186,14 @@ def page_links(g: Graph) -> DataFrame:
     CASE (p_partkey // 20) % 3 WHEN 0 THEN '$' || p_retailprice WHEN 1 THEN p_retailprice || ' EUR' END AS price FROM part""")
 def page_cards(g: Graph) -> DataFrame:
     """The products of all collection pages."""
-    return cards(collection_pages(g), "shop_page", keeper(g.spark))
+    return cards(collection_pages(g), "shop_page")
 
 
 @query("research_reseller", """SELECT p_partkey, p_name AS name, p_brand AS brand, p_retailprice || ' €' AS price, p_type AS category, 'A ' || p_name || chr(10) || 'for all' AS description,
   CAST(CASE p_partkey % 4 WHEN 0 THEN p_size * 1000 + 500 WHEN 1 THEN p_size WHEN 2 THEN floor(p_size * 28.35::DOUBLE) END AS INTEGER) AS weight_grams FROM part""")
 def research_reseller(g: Graph) -> DataFrame:
     """The product of each page of a shop with several brands."""
-    return reseller_products(product_pages(g), "p_partkey", keeper(g.spark))
+    return reseller_products(product_pages(g), "p_partkey")
 
 
 @query("files_pack_items", """SELECT l_orderkey, p_name AS name,
@@ -210,7 +201,7 @@ def research_reseller(g: Graph) -> DataFrame:
   l_returnflag = 'R' AS is_worn, l_returnflag = 'A' AS is_consumable FROM lineitem JOIN part ON p_partkey = l_partkey""")
 def files_pack_items(g: Graph) -> DataFrame:
     """The items of all pack lists."""
-    return pack_items(pack_pages(g), "l_orderkey", keeper(g.spark)).drop("pos")
+    return pack_items(pack_pages(g), "l_orderkey").drop("pos")
 
 
 def enriched(items: DataFrame, found: DataFrame, now: str) -> DataFrame:
@@ -225,13 +216,13 @@ def enriched(items: DataFrame, found: DataFrame, now: str) -> DataFrame:
 def mut_enrich_write_back(g: Graph) -> DataFrame:
     """Weights read from the product pages of items that lack one are written back, with the time."""
     items = g.item().select("node_id", F.col("weight_grams").cast("int").alias("weight_grams"))
-    found = reseller_products(product_pages(g), "p_partkey", keeper(g.spark)).withColumnRenamed("p_partkey", "node_id")
+    found = reseller_products(product_pages(g), "p_partkey").withColumnRenamed("p_partkey", "node_id")
     return enriched(items, found, NOW)
 
 
 @query("page_list_quality", """SELECT p_partkey // 20 AS shop_page, count(*) AS products, count(*) AS with_price, count(*) FILTER (p_partkey % 4 <> 3) AS with_weight, count(*) AS with_description FROM part GROUP BY 1""")
 def page_list_quality(g: Graph) -> DataFrame:
     """How many of the products that a list page leads to have a weight, a price and a description."""
-    rows = reseller_products(product_pages(g), "p_partkey", keeper(g.spark)).withColumn("shop_page", F.floor(F.col("p_partkey") / 20).cast("long"))
+    rows = reseller_products(product_pages(g), "p_partkey").withColumn("shop_page", F.floor(F.col("p_partkey") / 20).cast("long"))
     has = lambda c: F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
     return rows.groupBy("shop_page").agg(F.count(F.lit(1)).alias("products"), has("price").alias("with_price"), has("weight_grams").alias("with_weight"), has("description").alias("with_description"))

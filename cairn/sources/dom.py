@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import reduce
 from html.parser import HTMLParser
 
@@ -183,6 +184,124 @@ def first_of(dom: DataFrame, key: str, selectors: list[str], name: str, within:
     return held.filter("inner <> ''").groupBy(*group).agg(F.min_by("inner", "rank").alias(name))
 
 
+def _test_of(compound: str) -> Callable[[str, list[str], dict[str, str]], bool]:
+    """_fits, for the tag, classes and attributes of one node."""
+    tests = []
+    for m in _PART.finditer(compound):
+        if m["tag"] and m["tag"] != "*":
+            tests.append(lambda tag, classes, attrs, v=m["tag"].lower(): tag == v)
+        elif m["cls"]:
+            tests.append(lambda tag, classes, attrs, v=m["cls"]: v in classes)
+        elif m["id"]:
+            tests.append(lambda tag, classes, attrs, v=m["id"]: attrs.get("id") == v)
+        elif m["attr"]:
+            op = {None: lambda c, v: True, "=": str.__eq__, "*=": str.__contains__, "^=": str.startswith, "$=": str.endswith}[m["op"]]
+            tests.append(lambda tag, classes, attrs, n=m["attr"], op=op, v=m["value"]: n in attrs and op(attrs[n], v))
+    return lambda tag, classes, attrs: tag != "#text" and all(t(tag, classes, attrs) for t in tests)
+
+
+def _index_of(compound: str) -> tuple[str, str] | None:
+    """A class, attribute or tag that a node of the compound has."""
+    named = [("class", m["cls"]) for m in _PART.finditer(compound) if m["cls"]] + [("attr", m["attr"] or "id") for m in _PART.finditer(compound) if m["attr"] or m["id"]]
+    tags = [("tag", m["tag"].lower()) for m in _PART.finditer(compound) if m["tag"] and m["tag"] != "*"]
+    return next(iter(named + tags), None)
+
+
+def _steps(selector: str) -> list[list[tuple]]:
+    """For each of a selector's lists: whether a step lies right below the one before, what finds its nodes, and its test."""
+    out = []
+    for one in selector.split(","):
+        steps, child = [], False
+        for step in re.findall(r">|(?:\[[^\]]*\]|[^\s>\[])+", one):
+            if step == ">":
+                child = True
+            else:
+                steps.append((child, _index_of(step), _test_of(step)))
+                child = False
+        out.append(steps)
+    return out
+
+
+class _Found:
+    """What selectors give on one page, by the same rules as select and with_text."""
+
+    def __init__(self, html: str):
+        self.nodes = _Page().finish(html)
+        self.attrs = [{n: v or "" for n, v in reversed(x[3])} for x in self.nodes]
+        self.classes = [a.get("class", "").split() for a in self.attrs]
+
+        self.index: dict[tuple[str, str], list[int]] = {}
+        for k, x in enumerate(self.nodes):
+            if x[2] != "#text":
+                for what in {("tag", x[2]), *(("class", c) for c in self.classes[k]), *(("attr", a) for a in self.attrs[k])}:
+                    self.index.setdefault(what, []).append(k)
+
+    def select(self, steps: list[list[tuple]]) -> list[int]:
+        every: set[int] = set()
+        for one in steps:
+            cur: set[int] | None = None
+            for child, what, test in one:
+                some = range(len(self.nodes)) if what is None else self.index.get(what, ())
+                fits = [k for k in some if test(self.nodes[k][2], self.classes[k], self.attrs[k])]
+                cur = set(fits) if cur is None else {k for k in fits if self._below(k, cur, child)}
+            every |= cur or set()
+        return sorted(every)
+
+    def _below(self, k: int, above: set[int], child: bool) -> bool:
+        up = self.nodes[k][0]
+        while up >= 0 and up not in above and not child:
+            up = self.nodes[up][0]
+        return up in above
+
+    def inner(self, k: int) -> str:
+        text = "".join(x[4] + x[5] for x in self.nodes[k : self.nodes[k][6] + 1] if x[2] == "#text")
+        return re.sub(r" *\n *", "\n", text).strip(" \t\n\r\f\v")
+
+
+FOUND = "own map<string,string>, own_text string, found array<array<struct<attrs:map<string,string>,inner:string>>>"
+
+
+def firsts(pages: DataFrame, key: str, selectors: list[str], roots: list[str] | None = None, k: int = 1, html: str = "html") -> DataFrame:
+    """key, rank, pos, root, own, own_text, found: for each page, or each node of each of the roots' selectors on it, the first k
+    nodes inside it that each selector gives, with their attributes and texts.
+
+    rank is the root's selector, pos its place among the nodes of it, own and own_text are its attributes and text; of whole pages
+    they are 0, 0, -1 and nulls. Pages are dealt to as many tasks as a shuffle has, whatever files they come from, and what a
+    page gives is worked out where it is parsed: nodes are neither stored nor joined.
+    """
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, around = [_steps(s) for s in selectors], [_steps(s) for s in roots or []]
+        for b in batches:
+            for start in range(0, len(b), 256):
+                part, rows = b.slice(start, 256), []
+                for at, text in enumerate(part.column(1).to_pylist()):
+                    page = _Found(text or "")
+                    hits = [page.select(s) for s in asked] if page.nodes else [[] for _ in asked]
+                    some = lambda low, high: [[{"attrs": list(page.attrs[n].items()), "inner": page.inner(n)} for n in h[bisect_right(h, low) : bisect_right(h, high)][:k]] for h in hits]
+                    if roots is None:
+                        rows.append((at, 0, 0, -1, None, None, some(-1, len(page.nodes))))
+                    for rank, steps in enumerate(around):
+                        for pos, n in enumerate(page.select(steps)):
+                            rows.append((at, rank, pos, n, list(page.attrs[n].items()), page.inner(n), some(n, page.nodes[n][6])))
+                if rows:
+                    cols = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]], names)
+
+    texts = pa.map_(pa.string(), pa.string())
+    types = [pa.int32(), pa.int32(), pa.int32(), texts, pa.string(), pa.list_(pa.list_(pa.struct([("attrs", texts), ("inner", pa.string())])))]
+    names = [key, "rank", "pos", "root", "own", "own_text", "found"]
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.select(key, html).repartition(n, key).mapInArrow(run, f"`{key}` {kind}, rank int, pos int, root int, {FOUND}")
+
+
+def first_text(places: list[int]) -> Column:
+    """The text of the first of the selectors (by number) whose first node has any."""
+    each = [F.get(F.get("found", F.lit(i)), F.lit(0))["inner"] for i in places]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in each])
+
+
 def joined_url(base: Column, href: Column) -> Column:
     """The address that a link on a page means."""
     origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
