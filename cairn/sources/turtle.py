@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from cairn.registry import query
 from cairn.sources.scratch import fresh_root, keeper
 from cairn.sources.views import EDGES, Graph
 
+#: Triples that a task holds at once, and statements of a file that land_ontology writes, which is what one task parses at once.
+SLICE, FILE_ROWS = 4096, 5000
 TRIPLE = "s string, p string, o string, kind string, lang string, datatype string, error string"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -178,9 +181,10 @@ def parse(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in TRIPLE.split(", ")]
         for b in batches:
-            for mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = list(Statements(text or "", mark).rows())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
+            for k in range(len(b)):
+                found = Statements(b.column(1)[k].as_py() or "", b.column(0)[k].as_py()).rows()
+                while rows := list(islice(found, SLICE)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(len(names))], names)
 
     return texts.select("mark", "value").mapInArrow(run, TRIPLE)
 
@@ -300,7 +304,7 @@ def land_ontology(g: Graph, path: str) -> None:
         g.table("supplier").select(t(":s", F.col("s_suppkey"), " a :n", F.col("s_nationkey"), " ; rdfs:label ", quoted(F.col("s_name")), " .").alias("value")),
         g.table("part").select(t(":i", F.col("p_partkey"), " a :Item ; rdfs:label ", quoted(F.col("p_name")), " ; :weight [ :grams ", F.col("p_size"), " ; :unit \"g\" ] ; :numbers ( ", F.col("p_partkey"), " ", F.col("p_size"), " \"x\" ) .").alias("value")),
     ]
-    reduce(DataFrame.unionByName, parts).select(F.concat(F.lit(_HEAD), "value").alias("value")).write.text(path)
+    reduce(DataFrame.unionByName, parts).select(F.concat(F.lit(_HEAD), "value").alias("value")).write.option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def _ontology(g: Graph) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:

@@ -88,3 +88,15 @@ def test_labels_and_ends(spark):
     out = turtle.checked_edges(t, spark.createDataFrame(kinds, "src_label string, rel_type string, dst_label string"), keeper(spark)).collect()
     got = {(r.src_label, r.rel_type, r.dst_label): r.verdict for r in out}
     assert [got[k] for k in kinds] == ["valid", "valid", "domain", "range", "valid", "unknown label", "unknown relationship"]
+
+
+def test_a_file_is_landed_and_parsed_in_parts(spark, sf, tmp_path, monkeypatch):
+    from cairn.sources.views import Graph
+
+    monkeypatch.setattr(turtle, "FILE_ROWS", 20)
+    turtle.land_ontology(Graph(spark, sf), f"file://{tmp_path}/o")
+    files = [p.read_text().count("@prefix") for p in (tmp_path / "o").glob("*.txt")]
+    assert max(files) <= 20 and sum(files) > 200
+    text = "@prefix : <http://x/> .\n" + "".join(f":s{i} :p {i} .\n" for i in range(3 * turtle.SLICE))
+    rows = turtle.parse(spark.createDataFrame([("m", text), ("n", "")], "mark string, value string"))
+    assert rows.count() == rows.select("s").distinct().count() == 3 * turtle.SLICE
