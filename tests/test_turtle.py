@@ -95,7 +95,7 @@ def test_a_file_is_landed_and_parsed_in_parts(spark, sf, tmp_path, monkeypatch):
 
     monkeypatch.setattr(turtle, "FILE_ROWS", 20)
     turtle.land_ontology(Graph(spark, sf), f"file://{tmp_path}/o")
-    files = [p.read_text().count("@prefix") for p in (tmp_path / "o").glob("*.txt")]
+    files = [p.read_text().count("@prefix : ") for p in (tmp_path / "o").glob("*.txt")]
     assert max(files) <= 20 and sum(files) > 200
     text = "@prefix : <http://x/> .\n" + "".join(f":s{i} :p {i} .\n" for i in range(3 * turtle.SLICE))
     rows = turtle.parse(spark.createDataFrame([("m", text), ("n", "")], "mark string, value string"))
