@@ -23,7 +23,7 @@ from cairn.sources.views import Graph
 
 
 #: Names of a brand that are compared with as many others by one group of the join.
-BLOCK = 1000
+BLOCK = 250
 #: Characters that are counted one by one; all others are counted as one.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -54,7 +54,9 @@ def pairs_within_brand(g: Graph, least: float = 85.0) -> DataFrame:
     shorter = F.least("n1", "n2") * 2 * 0.3 / (F.col("n1") + F.col("n2")) + F.least("m1", "m2") * 2 * 0.25 / (F.col("m1") + F.col("m2"))
     most = both("l1", "l2") * 0.3 / (F.col("n1") + F.col("n2")) + both("w1", "w2") * 0.25 / (F.col("m1") + F.col("m2")) + 45
     once = (F.col("i") != F.col("j")) | (F.col("name1") < F.col("name2"))
-    pairs = one.join(two, ["brand", "i", "j"]).filter(once & (shorter * 100 + 45 >= least - 1e-6) & (most >= least - 1e-6))
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few names are many pairs: a given number is not made smaller
+    spread = lambda df: df.repartition(tasks, "brand", "i", "j")
+    pairs = spread(one).join(spread(two), ["brand", "i", "j"]).filter(once & (shorter * 100 + 45 >= least - 1e-6) & (most >= least - 1e-6))
     pairs = pairs.select("brand", F.least("name1", "name2").alias("name"), F.greatest("name1", "name2").alias("other"))
     return pairs.withColumn("similarity", fuzzy.scored(lambda a, b: fuzzy.in_brand(a, b, least), F.col("name"), F.col("other"))).filter(F.col("similarity") >= least)
 

@@ -22,3 +22,10 @@ def test_transcription_reads_names_and_prefixes(spark):
     rows = [(1, "Durst tent", "Other", None, None), (2, "Durstonian", "Other", None, None), (4, "Zliter", None, None, None), (5, "The Zliter", "Thermarest", None, None)]
     got = {(r.entity_id, r.description, r.confidence) for r in quality.scan_transcription(Items(spark, rows)).collect()}
     assert got == {("1", "Durst tent", 0.9), ("4", "Zliter", 0.75), ("5", "Thermarest", 0.95)}
+
+
+def test_pairs_of_few_names_are_many_tasks(spark):
+    from cairn.operators.duplicates import pairs_within_brand
+
+    rows = [(i, f"arc haul {i}", "Zed", None, None) for i in range(60)]
+    assert pairs_within_brand(Items(spark, rows)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
