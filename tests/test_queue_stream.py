@@ -64,3 +64,16 @@ def test_a_second_add_is_ignored(spark):
     out = queue_states(spark.createDataFrame(rows, "entity string, seq long, kind string, level int, score double")).orderBy("entity")
     assert [tuple(r) for r in out.select("entity", "status", "level", "sort_key", "checks", "added").collect()] == [("a", "completed", 3, 3025, 7, 1), ("b", "pending", 2, 2020, 4, 5)]
     assert out.filter(F.col("level").isNull()).isEmpty()
+
+
+def test_entries_of_a_shard_are_worked_on_together(spark, tmp_path):
+    day = 24 * 60
+    land(tmp_path / "in", "0.json", [event(f"e{k}", k, "add", 3, minutes=k) for k in range(50)] + [event(f"e{k}", 100 + k, "defer", 5, minutes=k) for k in range(0, 50, 2)])
+    land(tmp_path / "in", "1.json", [event("z", 200, "add", 2, minutes=day + 80), event("e4", 201, "take", minutes=70)])  # e0 to e20 are due then, not e22
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    running = keep_entries(queue_stream(stream, shards=1), str(tmp_path / "out"), str(tmp_path / "cp"))
+    running.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in running.recentProgress) == 1
+    got = {r.entity: r for r in kept_entries(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 51 and got["e4"].status == "in_progress"
+    assert {e for e, r in got.items() if r.due} == {f"e{k}" for k in range(0, 21, 2) if k != 4}
