@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
 
@@ -142,8 +142,8 @@ def whole_candidates(names: DataFrame, group: list[str], least: float) -> DataFr
     return rows.withColumnRenamed("name", "a").join(two, [*group, "key"]).filter("a < b").select(*group, "a", "b").distinct()
 
 
-def similar(lines: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """line, known, score: all pairs of a line and a known name (tidy, distinct) of weighted_ratio least or more.
+def similar(lines: DataFrame, known: DataFrame, least: float, group: Sequence[str] = ()) -> DataFrame:
+    """group, line, known, score: all pairs of a line and a known name (tidy, distinct in a group) of a group, of weighted_ratio least or more.
 
     weighted_ratio is a ratio of whole names, of their sorted words or of the words of one with those
     that both hold, at 0.95, while lengths lie within a factor of 1.5; and else a ratio of the
@@ -179,15 +179,18 @@ def similar(lines: DataFrame, known: DataFrame, least: float) -> DataFrame:
         (lambda s: keys.part(s, part_least, q) | keys.part(ordered(s), part_least, q), lambda s: keys.holder(s, q) | keys.holder(ordered(s), q)),
         (lambda s: keys.holder(s, q) | keys.holder(ordered(s), q), lambda s: keys.part(s, part_least, q) | keys.part(ordered(s), part_least, q)),
     ]
-    lines, known = lines.select("line").filter("line <> ''"), known.select("known").filter("known <> ''")
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few names have many keys, and more pairs: a given number is not made smaller
+    lines = lines.select(*group, "line").filter("line <> ''").repartition(tasks, "line")
+    known = known.select(*group, "known").filter("known <> ''").repartition(tasks, "known")
+    spread = lambda df: df.repartition(tasks, *group, "key")
     found = None
     for k, (mine, theirs) in enumerate(sides):
-        pairs = keyed(lines, "line", mine).join(keyed(known, "known", theirs), "key").select("line", "known")
+        pairs = spread(keyed(lines, "line", mine)).join(spread(keyed(known, "known", theirs)).hint("merge"), [*group, "key"]).select(*group, "line", "known")
         far = F.greatest(F.length("line"), F.length("known")) / F.least(F.length("line"), F.length("known"))
         pairs = pairs.filter(far < 1.5 if 0 < k < 3 else (far <= max(1.5, 200 / least - 1) + 1e-9) if k == 0 else ((far >= 1.5) & (far <= 8)))
         pairs = pairs.filter(F.length("line") <= F.length("known")) if k == 3 else pairs.filter(F.length("line") >= F.length("known")) if k == 4 else pairs
         found = pairs if found is None else found.unionByName(pairs)
-    scored = found.distinct().withColumn("score", F.round(fuzzy.scored(fuzzy.weighted_ratio, F.col("line"), F.col("known")), 6))
+    scored = found.repartition(tasks, "line", "known").distinct().withColumn("score", F.round(fuzzy.scored(fuzzy.weighted_ratio, F.col("line"), F.col("known"), in_place=True), 6))
     return scored.filter(F.col("score") >= least)
 
 

@@ -10,6 +10,7 @@ from cairn.operators.fuzzy_join import contained, similar, tidy
 from cairn.operators.quality import _MESSY, messy_brands
 from cairn.operators.research import search_results
 from cairn.registry import query
+from cairn.sources.scratch import keeper
 from cairn.sources.views import Graph
 
 #: Least scores of a product of the line's brand, and of any product.
@@ -30,16 +31,26 @@ def validated_products(lines: DataFrame, products: DataFrame) -> DataFrame:
     ANY or more. Names are compared in lower case with single spaces; of equal scores the first
     name counts. products (node_id, name, brand): those without a name or brand are unknown. A blank
     line is invalid, a line that nothing matches uncertain.
+
+    A tier sees only what those before it left open: no other name is as similar as the name itself, so
+    lines that are a product's name meet none, and lines of a known brand meet that brand's names alone first.
     """
     heard = lines.select("line", "brand").distinct().withColumn("t", tidy("line")).withColumn("b", F.lower("brand"))
     named = products.filter("name IS NOT NULL AND brand IS NOT NULL").select(tidy("name").alias("known"), F.lower("brand").alias("b"), "name", "node_id").filter("known <> ''")
     own = named.groupBy("known", "b").agg(F.min_by("name", F.struct("node_id", "name")).alias("suggested"))
     any_ = named.groupBy("known").agg(F.min_by("name", F.struct("node_id", "name")).alias("suggested"))
-    pairs = similar(heard.select(F.col("t").alias("line")).distinct(), any_.select("known"), OWN).withColumnRenamed("line", "t")
-    met = heard.select("t", "b").distinct().join(pairs, "t")
-    best_own = first_by(met.join(own, ["known", "b"]), ["t", "b"], [F.desc("score"), "known"]).select("t", "b", F.col("score").alias("own_score"), F.col("suggested").alias("own_name"))
-    best_any = first_by(pairs.filter(F.col("score") >= ANY).join(any_, "known"), ["t"], [F.desc("score"), "known"]).select("t", F.col("score").alias("any_score"), F.col("suggested").alias("any_name"))
     exact = own.select(F.col("known").alias("t"), "b", F.lit(True).alias("exact"))
+    keep = keeper(lines.sparkSession)
+    asked = keep(heard.filter("t <> ''").select("t", "b").distinct().join(exact, ["t", "b"], "left_anti"), "asked")
+    met = similar(asked.filter("b IS NOT NULL").select("b", F.col("t").alias("line")), own.select("b", "known"), OWN, ["b"])
+    best_own = first_by(met.join(own, ["known", "b"]), ["line", "b"], [F.desc("score"), "known"])
+    best_own = keep(best_own.select(F.col("line").alias("t"), "b", F.col("score").alias("own_score"), F.col("suggested").alias("own_name")), "own")
+    left = asked.join(best_own, ["t", "b"], "left_anti").select(F.col("t").alias("line")).distinct()
+    known = keep(any_, "known")
+    equal = left.join(known.withColumnRenamed("known", "line"), "line").select(F.col("line").alias("t"), F.lit(100.0).alias("any_score"), F.col("suggested").alias("any_name"))
+    other = keep(left.join(known.select(F.col("known").alias("line")), "line", "left_anti"), "other")
+    near = similar(other, known.select("known"), ANY)
+    best_any = first_by(near.join(known, "known"), ["line"], [F.desc("score"), "known"]).select(F.col("line").alias("t"), F.col("score").alias("any_score"), F.col("suggested").alias("any_name")).unionByName(equal)
     rows = heard.join(exact, ["t", "b"], "left").join(best_own, ["t", "b"], "left").join(best_any, "t", "left")
     blank, known = F.coalesce(F.col("t"), F.lit("")) == "", F.col("exact").isNotNull()
     fuzzy_own, fuzzy_any = F.col("own_score").isNotNull(), F.col("any_score").isNotNull()

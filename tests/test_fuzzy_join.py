@@ -59,3 +59,12 @@ def test_few_candidates_among_many_names(spark):
     rows = spark.createDataFrame([("z", x) for x in names], "brand string, name string").repartition(8)
     n = fuzzy_join.whole_candidates(rows, ["brand"], 85.0).count()
     assert n < len(names) ** 2 / 2 / 20
+
+
+def test_pairs_are_scored_once(spark):
+    from tests.test_copies import plan
+
+    names = [f"red widget {i}" for i in range(8)]
+    rows = lambda c: spark.createDataFrame([(x,) for x in names], f"{c} string")
+    text = plan(fuzzy_join.similar(rows("line"), rows("known"), 90.0))
+    assert text.count("ArrowEvalPython [score(") == 1 and text.index("ArrowEvalPython [score(") < text.index("HashAggregate")  # above the aggregate that makes pairs distinct

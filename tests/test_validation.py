@@ -77,3 +77,16 @@ def test_queries_give_each_heard_name_once(spark, sf):
     out = validation.dup_product_vocabulary(g)
     assert out.count() == validation.heard_products(g).count() > 50
     assert {r.verdict for r in out.select("verdict").distinct().collect()} >= {"valid", "corrected"}
+
+
+def test_lines_meet_their_own_brand_first(spark, monkeypatch):
+    met = []
+    real = validation.similar
+    monkeypatch.setattr(validation, "similar", lambda lines, known, *more: met.append((lines.count(), known.count(), more)) or real(lines, known, *more))
+    products = [(i, f"red widget {i}", f"b{i % 3}") for i in range(30)]
+    lines = [(n, b) for _, n, b in products] + [("rd widget 4", "b1"), ("red widget 5", None), ("rd widget 8", None)]
+    out = validation.validated_products(spark.createDataFrame(lines, "line string, brand string"), spark.createDataFrame(products, "node_id long, name string, brand string"))
+    got = {(r.line, r.brand): (r.verdict, r.confidence, r.suggested) for r in out.collect()}
+    assert met == [(1, 30, (85.0, ["b"])), (1, 30, (90.0,))]  # names that are there meet none, nor does a name without a brand that is one
+    assert got["red widget 5", None] == ("corrected", 1.0, "red widget 5") and got["rd widget 4", "b1"][2] == "red widget 4" and got["rd widget 8", None][2] == "red widget 8"
+    assert sum(v[0] == "valid" for v in got.values()) == 30
