@@ -94,8 +94,10 @@ def listed_names(page: Column) -> Column:
     priced = lambda x: F.filter(F.array(F.btrim(F.regexp_extract(x, PRICED, 1), F.lit(" *#[]|"))), lambda n: x.rlike(r"\$\d+") & size(n))
     linked = lambda x: F.filter(F.transform(F.regexp_extract_all(x, F.lit(LINKED), F.lit(1)), lambda n: F.trim(n)), size)
     names = F.filter(F.flatten(F.transform(lines, lambda x: F.concat(priced(x), linked(x)))), lambda n: ~holds(F.lower(n), NOISE) & (F.length(F.trim(n)) >= 5))
-    low = F.transform(names, lambda n: F.lower(F.trim(n)))
-    return F.filter(names, lambda n, i: F.array_position(low, F.lower(F.trim(n))) == i + 1)
+    low = lambda xs: F.transform(xs, lambda n: F.lower(F.trim(n)))
+    first = lambda xs, keys: F.filter(xs, lambda n, i: F.array_position(keys, F.lower(F.trim(n))) == i + 1)
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  # a lambda's variable is worked out once, a column wherever it stands
+    return once(names, lambda xs: once(low(xs), lambda keys: first(xs, keys)))
 
 
 def checklist(item: DataFrame) -> Column:

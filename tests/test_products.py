@@ -76,3 +76,11 @@ def test_crawl_takes_no_more_than_its_limits(spark):
     pages = spark.createDataFrame([("h", "/c1", html("p1", "p2", "p3")), ("h", "/c2", html("p3", "p4")), ("h", "/c3", html("p9"))], "host string, path string, html string")
     got = sorted(tuple(r) for r in landed.category_products(pages, 2, 3).collect())
     assert got == [("h", "h/c1", "h/p1"), ("h", "h/c1", "h/p2"), ("h", "h/c1", "h/p3")]
+
+
+def test_a_page_is_read_once_for_its_names(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.functions.products import listed_names
+
+    assert str(listed_names(F.col("page"))).count("regexp_extract_all") == 1
