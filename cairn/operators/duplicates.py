@@ -26,12 +26,20 @@ from cairn.sources.views import Graph
 BLOCK = 250
 #: Characters that are counted one by one; all others are counted as one.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: How often a letter has bits of its own, and letters that are counted in one number.
+COUNTED, A_NUMBER = 5, 12
 
 
-def letter_counts(c: Column) -> Column:
-    """How often each of LETTERS stands in a text, and how many other characters there are."""
+def letter_bits(c: Column) -> dict[str, Column]:
+    """How often each of LETTERS stands in a text, as so many bits, COUNTED at most; letters: how many there are.
+
+    The bits that two texts have in common are the letters they share. Those beyond COUNTED are letters less bits.
+    """
     each = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in LETTERS]
-    return F.array(*each, F.length(c) - reduce(Column.__add__, each))
+    ones = [F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(COUNTED))) - 1 for n in each]
+    parts = [ones[i : i + A_NUMBER] for i in range(0, len(ones), A_NUMBER)]
+    out = {f"b{k}": reduce(Column.__add__, [x * F.lit(1 << COUNTED * i) for i, x in enumerate(part)]) for k, part in enumerate(parts)}
+    return out | {"letters": reduce(Column.__add__, each)}
 
 
 def pairs_within_brand(g: Graph, least: float = 85.0) -> DataFrame:
@@ -41,24 +49,32 @@ def pairs_within_brand(g: Graph, least: float = 85.0) -> DataFrame:
     token sort ratio are at most twice the letters that both names have over their lengths, so
     counts of letters rule most pairs out before any is aligned. A brand's names are dealt to
     blocks, and each pair of blocks is a group of its own: a brand of very many names is no load
-    for one task, though all its pairs of blocks are met.
+    for one task, though all its pairs of blocks are met. What is left is dealt by its two names,
+    which are aligned once, not again for each brand that has both.
     """
     names = g.item().filter("name IS NOT NULL").select(F.lower(F.coalesce("brand", F.lit("unknown"))).alias("brand"), F.lower("name").alias("name")).distinct()
     blocks = names.groupBy("brand").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     single = F.trim(F.regexp_replace("name", r"\s+", " "))
-    dealt = names.join(blocks, "brand").select("brand", "name", F.length("name").alias("n"), letter_counts(F.col("name")).alias("l"), letter_counts(single).alias("w"), F.length(single).alias("m"),
+    bits = letter_bits(F.col("name"))
+    numbers = [c for c in bits if c != "letters"]
+    dealt = names.join(blocks, "brand").select("brand", "name", F.length("name").alias("n"), F.length(single).alias("m"), *[x.alias(c) for c, x in bits.items()],
                                                F.pmod(F.xxhash64("name"), F.col("blocks")).alias("k"), "blocks")
-    one = dealt.select("brand", F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}1") for c in ("name", "n", "l", "m", "w")])
-    two = dealt.select("brand", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))).alias("i"), F.col("k").alias("j"), *[F.col(c).alias(f"{c}2") for c in ("name", "n", "l", "m", "w")])
-    both = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x) * 200.0
-    shorter = F.least("n1", "n2") * 2 * 0.3 / (F.col("n1") + F.col("n2")) + F.least("m1", "m2") * 2 * 0.25 / (F.col("m1") + F.col("m2"))
-    most = both("l1", "l2") * 0.3 / (F.col("n1") + F.col("n2")) + both("w1", "w2") * 0.25 / (F.col("m1") + F.col("m2")) + 45
+    dealt = dealt.withColumn("over", reduce(Column.__sub__, [F.col("letters"), *[F.bit_count(c) for c in numbers]]))
+    kept = ("name", "n", "m", "letters", "over", *numbers)
+    one = dealt.select("brand", F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}1") for c in kept])
+    two = dealt.select("brand", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))).alias("i"), F.col("k").alias("j"), *[F.col(c).alias(f"{c}2") for c in kept])
+    share = lambda both, c, weight: F.when(F.col(f"{c}1") + F.col(f"{c}2") > 0, both * 2.0 * weight / (F.col(f"{c}1") + F.col(f"{c}2"))).otherwise(weight)
+    shorter = share(F.least("n1", "n2"), "n", 30.0) + share(F.least("m1", "m2"), "m", 25.0) + 45
+    shared = reduce(Column.__add__, [F.bit_count(F.col(f"{c}1").bitwiseAND(F.col(f"{c}2"))) for c in numbers]) + F.least("over1", "over2")
+    common = lambda c: shared + F.least(F.col(f"{c}1") - F.col("letters1"), F.col(f"{c}2") - F.col("letters2"))
+    most = share(common("n"), "n", 30.0) + share(common("m"), "m", 25.0) + 45
     once = (F.col("i") != F.col("j")) | (F.col("name1") < F.col("name2"))
     tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few names are many pairs: a given number is not made smaller
     spread = lambda df: df.repartition(tasks, "brand", "i", "j")
-    pairs = spread(one).join(spread(two), ["brand", "i", "j"]).filter(once & (shorter * 100 + 45 >= least - 1e-6) & (most >= least - 1e-6))
+    pairs = spread(one).join(spread(two), ["brand", "i", "j"]).filter(once & (shorter >= least - 1e-6) & (most >= least - 1e-6))
     pairs = pairs.select("brand", F.least("name1", "name2").alias("name"), F.greatest("name1", "name2").alias("other"))
-    return pairs.withColumn("similarity", fuzzy.scored(lambda a, b: fuzzy.in_brand(a, b, least), F.col("name"), F.col("other"))).filter(F.col("similarity") >= least)
+    pairs = pairs.repartition(tasks, "name", "other").sortWithinPartitions("name", "other")
+    return pairs.withColumn("similarity", fuzzy.scored(lambda a, b: fuzzy.in_brand(a, b, least), F.col("name"), F.col("other"), in_place=True)).filter(F.col("similarity") >= least)
 
 
 @query("dup_pairs_in_brand")

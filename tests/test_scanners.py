@@ -40,3 +40,19 @@ def test_pairs_of_few_names_are_many_tasks(spark):
 
     rows = [(i, f"arc haul {i}", "Zed", None, None) for i in range(60)]
     assert pairs_within_brand(Items(spark, rows)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_classes_lose_no_pair_of_items(spark):
+    n = 300
+    rows = [(i, ("Arc Haul 60", "arc haul 60", "Arc Haul 61", "Arc Haul 62", " ", "Mug")[i % 6], ("Zed", None, "zed")[i % 3], (None, 5.0)[i % 2], (None, 1.0)[i % 5 == 0]) for i in range(n)]
+    of = {i: ((b or "unknown").lower(), name.lower()) for i, name, b, _, _ in rows}
+    members = {}
+    for i, key in of.items():
+        members.setdefault(key, []).append(i)
+    want = {(frozenset((int(r.entity_id), int(r.new_value))), r.confidence) for r in quality.scan_duplicates(Items(spark, rows)).collect()}
+    got, issues = set(), quality.duplicate_classes(Items(spark, rows)).collect()
+    for r in issues:
+        one, two = of[int(r.entity_id)], of[int(r.new_value)]
+        got |= {(frozenset((a, b)), r.confidence) for a in members[one] for b in members[two] if a != b}
+    assert got == want and len(want) > 20 * len(issues)
+    assert len(issues) < 2 * n  # linear in copies, where pairs are many times as many
