@@ -37,17 +37,16 @@ def validated_products(lines: DataFrame, products: DataFrame) -> DataFrame:
     """
     heard = lines.select("line", "brand").distinct().withColumn("t", tidy("line")).withColumn("b", F.lower("brand"))
     named = products.filter("name IS NOT NULL AND brand IS NOT NULL").select(tidy("name").alias("known"), F.lower("brand").alias("b"), "name", "node_id").filter("known <> ''")
-    own = named.groupBy("known", "b").agg(F.min_by("name", F.struct("node_id", "name")).alias("suggested"))
-    any_ = named.groupBy("known").agg(F.min_by("name", F.struct("node_id", "name")).alias("suggested"))
     keep = keeper(lines.sparkSession)
-    own = keep(own, "named")
+    heard, named = keep(heard, "heard"), keep(named.groupBy("known", "b").agg(F.min(F.struct("node_id", "name")).alias("first")), "named")
+    own = named.select("known", "b", F.col("first")["name"].alias("suggested"))
     exact = own.select(F.col("known").alias("t"), "b", F.lit(True).alias("exact"))
     asked = keep(heard.filter("t <> ''").select("t", "b").distinct().join(exact, ["t", "b"], "left_anti"), "asked")
     met = similar(asked.filter("b IS NOT NULL").select("b", F.col("t").alias("line")), own.select("b", "known"), OWN, ["b"])
     best_own = first_by(met, ["line", "b"], [F.desc("score"), "known"]).join(own, ["known", "b"])
     best_own = keep(best_own.select(F.col("line").alias("t"), "b", F.col("score").alias("own_score"), F.col("suggested").alias("own_name")), "own")
     left = asked.join(best_own, ["t", "b"], "left_anti").select(F.col("t").alias("line")).distinct()
-    known = keep(any_, "known")
+    known = keep(named.groupBy("known").agg(F.min("first")["name"].alias("suggested")), "known")
     equal = left.join(known.withColumnRenamed("known", "line"), "line").select(F.col("line").alias("t"), F.lit(100.0).alias("any_score"), F.col("suggested").alias("any_name"))
     other = keep(left.join(known.select(F.col("known").alias("line")), "line", "left_anti"), "other")
     near = similar(other, known.select("known"), ANY)
