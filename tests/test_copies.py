@@ -60,6 +60,16 @@ def test_links_of_a_category_are_not_exchanged(spark):
     assert "Exchange" not in plan(out).split("Join")[0] and "Aggregate" not in plan(out).split("Join")[0]
 
 
+def test_links_of_a_category_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(upserts, "CELL", 8)
+    items = spark.range(100).select(F.col("id").alias("src_id"), F.when(F.col("id") < 90, "a").otherwise("b").alias("_category"))
+    tips = spark.range(41).select(F.col("id").alias("dst_id"), F.when(F.col("id") < 40, "a").otherwise("c").alias("_category"))
+    out = upserts.category_links(items, tips)
+    got = out.select("src_id", "dst_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.src_id, r.dst_id) for r in got) == [(i, t) for i in range(90) for t in range(40)]
+    assert len({r.task for r in got}) > 20  # of 12 * 5 parts; small tables are not made one task, however many links they make
+
+
 def test_relationships_of_an_extraction_are_not_exchanged_after_the_join(spark):
     names = [f.strip().split()[0] for f in rich_save.EXTRACTED.split(", ")]
     row = {"name": "Mug", "brand": "Zed", "source_url": "https://a", "use_cases": ["Hiking"] * 2, "insights": ["x" * 500, "y"]}
