@@ -109,9 +109,11 @@ def reseller_products(pages: DataFrame, key: str, keep=None) -> DataFrame:
     )
 
 
-def pack_items(pages: DataFrame, key: str, keep=None) -> DataFrame:
-    """key, pos, name, weight_grams, price, is_worn, is_consumable of each item of a pack list page (key, html); items without a name are left out."""
-    found = firsts(pages, key, [".lpDescription", "input[type='text']", "input.lpNumber", ".lpWorn.lpActive", ".lpConsumable.lpActive"], [".lpItem"], k=2)
+def pack_items(pages: DataFrame, key: str, keep=None, *, deal: bool = True) -> DataFrame:
+    """key, pos, name, weight_grams, price, is_worn, is_consumable of each item of a pack list page (key, html); items without a name are left out.
+
+    deal as in firsts."""
+    found = firsts(pages, key, [".lpDescription", "input[type='text']", "input.lpNumber", ".lpWorn.lpActive", ".lpConsumable.lpActive"], [".lpItem"], k=2, deal=deal)
     first = lambda i, n=0: F.get(F.get("found", F.lit(i)), F.lit(n))
     called = F.coalesce(first(0), first(1))
     name = F.coalesce(F.nullif(called["attrs"]["value"], F.lit("")), called["inner"])
@@ -160,14 +162,16 @@ def product_pages(g: Graph) -> DataFrame:
 
 
 def pack_pages(g: Graph) -> DataFrame:
-    """One pack list an order: its lines as items with inputs."""
-    line = g.table("lineitem").join(g.table("part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    unit = F.element_at(F.array(*[F.lit(u) for u in ("", " g", " oz", "lb", " kg")]), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    """One pack list an order: its lines as items with inputs. Lines are exchanged by order, their pages made after that."""
+    parts = g.table("part").select("p_partkey", _html("p_name").alias("name"), F.lpad(F.col("p_size").cast("string"), 3, "0").alias("size"))
+    line = g.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.col("l_quantity").cast("int").alias("quantity")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    unit = lambda n: F.element_at(F.array(*[F.lit(u) for u in ("", " g", " oz", "lb", " kg")]), (n % 5 + 1).cast("int"))
     active = lambda c: F.when(c, " lpActive").otherwise("")
-    item = _t('<li class="lpItem" id="', F.col("l_linenumber").cast("string"), '"><input type="text" class="lpName" value="', _html("p_name"), '"><i class="lpWorn', active(F.col("l_returnflag") == "R"), '"></i><i class="lpConsumable', active(F.col("l_returnflag") == "A"),
-              '"></i><input class="lpNumber" value="1,', F.lpad(F.col("p_size").cast("string"), 3, "0"), unit, '"><input class="lpNumber" value="', F.col("l_quantity").cast("int").cast("string"), '"></li>')
-    lists = line.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", item.alias("x")))), lambda s: s["x"]), "").alias("items"))  # the lines of one order
-    return lists.select("l_orderkey", _t("<html><head><title>Pack</title></head><body><ul>", F.col("items"), "</ul></body></html>").alias("html"))
+    item = lambda x: _t('<li class="lpItem" id="', x["l_linenumber"].cast("string"), '"><input type="text" class="lpName" value="', x["name"], '"><i class="lpWorn', active(x["l_returnflag"] == "R"), '"></i><i class="lpConsumable', active(x["l_returnflag"] == "A"),
+                        '"></i><input class="lpNumber" value="1,', x["size"], unit(x["l_linenumber"]), '"><input class="lpNumber" value="', x["quantity"].cast("string"), '"></li>')
+    tasks = int(g.spark.conf.get("spark.sql.shuffle.partitions"))  # short lines are long pages: a given number is not made smaller
+    lists = line.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "name", "size", "l_returnflag", "quantity"))).alias("lines"))  # the lines of one order
+    return lists.select("l_orderkey", _t("<html><head><title>Pack</title></head><body><ul>", F.array_join(F.transform("lines", item), ""), "</ul></body></html>").alias("html"))
 
 
 @query("page_links", r"""SELECT page_id, i - 1 AS pos, replace(h[i], '&amp;', '&') AS href, trim(replace(replace(replace(replace(replace(t[i], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')) AS label FROM (
@@ -201,7 +205,7 @@ def research_reseller(g: Graph) -> DataFrame:
   l_returnflag = 'R' AS is_worn, l_returnflag = 'A' AS is_consumable FROM lineitem JOIN part ON p_partkey = l_partkey""")
 def files_pack_items(g: Graph) -> DataFrame:
     """The items of all pack lists."""
-    return pack_items(pack_pages(g), "l_orderkey").drop("pos")
+    return pack_items(pack_pages(g), "l_orderkey", deal=False).drop("pos")
 
 
 def enriched(items: DataFrame, found: DataFrame, now: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,19 +25,85 @@ SCOPES = frozenset("button caption html object table td template th".split())
 SILENT = frozenset("script style noscript template head".split())
 
 
+class _Tag:
+    """A start tag as it is written: its attributes, the first of a name, and its classes."""
+
+    def __init__(self, tag: str, attrs: list):
+        self.tag, self.attrs = tag, attrs
+        self.held = {n: v or "" for n, v in reversed(attrs)}
+        self.names, self.values, self.classes = list(self.held), list(self.held.values()), self.held.get("class", "").split()
+        self.plan, self.fits = None, []
+        self.line, self.void, self.ends, self.stops, self.ends_paragraph = tag in LINES, tag in VOID, ENDS.get(tag), STOPS.get(tag, ()), tag in PARAGRAPH_ENDS
+
+    def fitting(self, plan: _Plan) -> list[int]:
+        """Numbers of the plan's compounds that the tag fits."""
+        if self.plan is not plan:
+            self.plan, self.fits = plan, [k for k, test in enumerate(plan.tests) if test(self.tag, self.classes, self.held)]
+        return self.fits
+
+
+class _One(HTMLParser):
+    """Calls that one tag makes."""
+
+    def __init__(self, text: str):
+        super().__init__(convert_charrefs=True)
+        self.calls: list[tuple] = []
+        self.feed(text)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.calls.append((START, _Tag(tag, attrs)))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.calls.append((BOTH, _Tag(tag, attrs)))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.calls.append((END, tag))
+
+
+START, BOTH, END, HOLDER, SKIP, OTHER = range(6)
+_SPACES, _BREAKS = re.compile(r"\s+"), re.compile(r" *\n *")
+_PIECES = re.compile(r"<[^>]*>|[^<]+")
+_STARTS = re.compile(r"""<[a-z][a-z0-9-]*(?:\s+[a-z_][a-z0-9_:.-]*(?:=(?:"[^"<>]*"|'[^'<>]*'))?)*\s*/?>""", re.I | re.A)
+_ENDS = re.compile(r"</[a-z][a-z0-9-]*\s*>", re.I | re.A)
+_SKIPPED = re.compile(r"<!doctype[^<>]*>|<!--(?:[^<>-]|-(?!-))+-->", re.I)
+#: Characters of a tag that is known from then on at most.
+KNOWN = 1024
+#: Elements whose content is read in other ways, in one version of the parser or another; of some of them, text up to the end is read the same way.
+RAW, PLAIN_RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript plaintext".split()), frozenset("script style title".split())
+
+
+@lru_cache(maxsize=1 << 15)
+def _piece(text: str) -> tuple:
+    """What the parser makes of one tag that means the same wherever it stands; OTHER if that may not be so."""
+    if _SKIPPED.fullmatch(text):
+        return (SKIP, None)
+    if not _STARTS.fullmatch(text) and not _ENDS.fullmatch(text):
+        return (OTHER, None)
+    calls = _One(text).calls
+    kind, what = calls[0] if len(calls) == 1 else (OTHER, None)
+    if kind in (START, BOTH) and what.tag in RAW:
+        return (HOLDER, what) if kind == START and what.tag in PLAIN_RAW else (OTHER, None)
+    return (kind, what)
+
+
+@lru_cache(maxsize=1 << 15)
+def _tag(tag: str, attrs: tuple) -> _Tag:
+    return _Tag(tag, list(attrs))
+
+
 class _Page(HTMLParser):
-    """The nodes of one page. Open elements are closed at the end; an end without a beginning is left out."""
+    """The nodes of one page. Open elements are closed at the end; an end without a beginning is left out.
+
+    Pages mostly hold the same tags over and over, so a tag is read once and known from then on. A page with anything that
+    a tag alone does not tell (scripts with tags in them, open quotes, declarations) is read by the parser as a whole.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = []  # parent, depth, tag, attributes, lead, text, last
+        self.nodes: list[list] = []  # parent, depth, tag, attributes, lead, text, last, the tag as written
         self.open: list[int] = []
         self.lead = ""
 
-    def _add(self, tag: str, attrs: list, text: str | None) -> int:
-        self.nodes.append([self.open[-1] if self.open else -1, len(self.open), tag, attrs, self.lead, text, len(self.nodes)])
-        return len(self.nodes) - 1
-
     def _close(self, down_to: int) -> None:
         while len(self.open) > down_to:
             node = self.nodes[self.open.pop()]
@@ -45,25 +112,30 @@ class _Page(HTMLParser):
                 self.lead = "\n"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ENDS:
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.nodes[self.open[k]][2]
-                if name in ENDS[tag]:
+        self._start(_tag(tag, tuple(attrs)) if len(self.get_starttag_text() or "") <= KNOWN else _Tag(tag, attrs))
+
+    def _start(self, written: _Tag) -> None:
+        nodes, up = self.nodes, self.open
+        if written.ends:
+            for k in range(len(up) - 1, -1, -1):
+                name = nodes[up[k]][2]
+                if name in written.ends:
                     self._close(k)
-                elif name in STOPS.get(tag, ()):
+                elif name in written.stops:
                     break
-        if tag in PARAGRAPH_ENDS:
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.nodes[self.open[k]][2]
+        if written.ends_paragraph:
+            for k in range(len(up) - 1, -1, -1):
+                name = nodes[up[k]][2]
                 if name == "p":
                     self._close(k)
                 if name == "p" or name in SCOPES:
                     break
-        if tag in LINES:
+        if written.line:
             self.lead = "\n"
-        node = self._add(tag, attrs, None)
-        if tag not in VOID:
-            self.open.append(node)
+        at = len(nodes)
+        nodes.append([up[-1] if up else -1, len(up), written.tag, written.attrs, self.lead, None, at, written])
+        if not written.void:
+            up.append(at)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -71,25 +143,60 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        nodes, up = self.nodes, self.open
+        if up and nodes[up[-1]][2] == tag:  # as nearly always
+            nodes[up.pop()][6] = len(nodes) - 1
+            if tag in LINES:
+                self.lead = "\n"
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[k]][2] == tag:
                 self._close(k)
                 return
 
     def handle_data(self, data: str) -> None:
-        if any(self.nodes[k][2] in SILENT for k in self.open):
-            if self.open and self.nodes[self.open[-1]][2] != "title":
-                return
         if data.strip():
-            self._add("#text", [], re.sub(r"\s+", " ", data))
+            if any([self.nodes[k][2] in SILENT for k in self.open]) and self.nodes[self.open[-1]][2] != "title":
+                return
+            self.nodes.append([self.open[-1] if self.open else -1, len(self.open), "#text", [], self.lead, _SPACES.sub(" ", data), len(self.nodes), None])
             self.lead = ""
 
     def finish(self, html: str) -> list[list]:
-        self.feed(html)
-        self.close()
+        if not self._read(html):
+            self.feed(html)
+            self.close()
         self._close(0)
         return self.nodes
 
+    def _read(self, html: str) -> bool:
+        """Whether the page could be read by its pieces."""
+        texts = _PIECES.findall(html)
+        if len("".join(texts)) != len(html):
+            return False
+        for k, text in enumerate(texts):
+            if text[0] != "<":
+                self.handle_data(unescape(text) if "&" in text else text)
+                continue
+            kind, what = _piece(text) if len(text) <= KNOWN else (OTHER, None)
+            if kind == START:
+                self._start(what)
+            elif kind == END:
+                self.handle_endtag(what)
+            elif kind == BOTH:
+                self.handle_startendtag(what.tag, what.attrs)
+            elif kind == HOLDER and self._ends_soon(what.tag, texts[k + 1 : k + 3]):
+                self._start(what)
+            elif kind != SKIP:
+                self.nodes, self.open, self.lead = [], [], ""
+                return False
+        return True
+
+    @staticmethod
+    def _ends_soon(tag: str, some: list[str]) -> bool:
+        """Whether an element whose start comes before holds text at most and is closed."""
+        rest = some[1:] if some and some[0][0] != "<" else some
+        return bool(rest) and len(rest[0]) <= KNOWN and _piece(rest[0]) == (END, tag)
+
 
 def nodes(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key and NODE of every element and text of the pages; null and empty pages have none.
@@ -200,50 +307,47 @@ def _test_of(compound: str) -> Callable[[str, list[str], dict[str, str]], bool]:
     return lambda tag, classes, attrs: tag != "#text" and all(t(tag, classes, attrs) for t in tests)
 
 
-def _index_of(compound: str) -> tuple[str, str] | None:
-    """A class, attribute or tag that a node of the compound has."""
-    named = [("class", m["cls"]) for m in _PART.finditer(compound) if m["cls"]] + [("attr", m["attr"] or "id") for m in _PART.finditer(compound) if m["attr"] or m["id"]]
-    tags = [("tag", m["tag"].lower()) for m in _PART.finditer(compound) if m["tag"] and m["tag"] != "*"]
-    return next(iter(named + tags), None)
+class _Plan:
+    """Selectors as steps over numbered compounds: for each of a selector's lists, whether a step lies right below the one before, and its compound."""
 
+    def __init__(self, selectors: list[str]):
+        self.numbers: dict[str, int] = {}
+        self.selectors = [self._steps(s) for s in selectors]
+        self.tests = [_test_of(c) for c in self.numbers]
 
-def _steps(selector: str) -> list[list[tuple]]:
-    """For each of a selector's lists: whether a step lies right below the one before, what finds its nodes, and its test."""
-    out = []
-    for one in selector.split(","):
-        steps, child = [], False
-        for step in re.findall(r">|(?:\[[^\]]*\]|[^\s>\[])+", one):
-            if step == ">":
-                child = True
-            else:
-                steps.append((child, _index_of(step), _test_of(step)))
-                child = False
-        out.append(steps)
-    return out
+    def _steps(self, selector: str) -> list[list[tuple[bool, int]]]:
+        out = []
+        for one in selector.split(","):
+            steps, child = [], False
+            for step in re.findall(r">|(?:\[[^\]]*\]|[^\s>\[])+", one):
+                if step == ">":
+                    child = True
+                else:
+                    steps.append((child, self.numbers.setdefault(step, len(self.numbers))))
+                    child = False
+            out.append(steps)
+        return out
 
 
 class _Found:
-    """What selectors give on one page, by the same rules as select and with_text."""
+    """What a plan's selectors give on one page, by the same rules as select and with_text."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, plan: _Plan):
         self.nodes = _Page().finish(html)
-        self.attrs = [{n: v or "" for n, v in reversed(x[3])} for x in self.nodes]
-        self.classes = [a.get("class", "").split() for a in self.attrs]
-
-        self.index: dict[tuple[str, str], list[int]] = {}
+        self.fits: list[list[int]] = [[] for _ in plan.tests]
         for k, x in enumerate(self.nodes):
-            if x[2] != "#text":
-                for what in {("tag", x[2]), *(("class", c) for c in self.classes[k]), *(("attr", a) for a in self.attrs[k])}:
-                    self.index.setdefault(what, []).append(k)
+            if x[7] is not None:
+                for c in x[7].fitting(plan):
+                    self.fits[c].append(k)
 
-    def select(self, steps: list[list[tuple]]) -> list[int]:
+    def select(self, steps: list[list[tuple[bool, int]]]) -> list[int]:
+        if len(steps) == 1 and len(steps[0]) == 1:
+            return self.fits[steps[0][0][1]]
         every: set[int] = set()
         for one in steps:
             cur: set[int] | None = None
-            for child, what, test in one:
-                some = range(len(self.nodes)) if what is None else self.index.get(what, ())
-                fits = [k for k in some if test(self.nodes[k][2], self.classes[k], self.attrs[k])]
-                cur = set(fits) if cur is None else {k for k in fits if self._below(k, cur, child)}
+            for child, what in one:
+                cur = set(self.fits[what]) if cur is None else {k for k in self.fits[what] if self._below(k, cur, child)}
             every |= cur or set()
         return sorted(every)
 
@@ -254,46 +358,81 @@ class _Found:
         return up in above
 
     def inner(self, k: int) -> str:
-        text = "".join(x[4] + x[5] for x in self.nodes[k : self.nodes[k][6] + 1] if x[2] == "#text")
-        return re.sub(r" *\n *", "\n", text).strip(" \t\n\r\f\v")
+        last = self.nodes[k][6]
+        if last == k:
+            return ""
+        text = "".join([x[4] + x[5] for x in self.nodes[k : last + 1] if x[7] is None])
+        return _BREAKS.sub("\n", text).strip(" \t\n\r\f\v") if text else ""
+
+
+class _Maps:
+    """Attributes of tags as a column of maps."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.values: list[str] = []
+        self.ends = [0]
+
+    def add(self, written: _Tag) -> None:
+        self.names += written.names
+        self.values += written.values
+        self.ends.append(len(self.names))
+
+    def column(self) -> pa.Array:
+        return pa.MapArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.names, pa.string()), pa.array(self.values, pa.string()))
 
 
 FOUND = "own map<string,string>, own_text string, found array<array<struct<attrs:map<string,string>,inner:string>>>"
 
 
-def firsts(pages: DataFrame, key: str, selectors: list[str], roots: list[str] | None = None, k: int = 1, html: str = "html") -> DataFrame:
+def firsts(pages: DataFrame, key: str, selectors: list[str], roots: list[str] | None = None, k: int = 1, html: str = "html", *, deal: bool = True) -> DataFrame:
     """key, rank, pos, root, own, own_text, found: for each page, or each node of each of the roots' selectors on it, the first k
     nodes inside it that each selector gives, with their attributes and texts.
 
     rank is the root's selector, pos its place among the nodes of it, own and own_text are its attributes and text; of whole pages
-    they are 0, 0, -1 and nulls. Pages are dealt to as many tasks as a shuffle has, whatever files they come from, and what a
-    page gives is worked out where it is parsed: nodes are neither stored nor joined.
+    they are 0, 0, -1 and nulls. Pages are dealt to as many tasks as a shuffle has, whatever files they come from, unless deal is
+    False, for pages that an exchange by their key has made; what a page gives is worked out where it is parsed: nodes are neither stored nor joined.
     """
     kind = pages.schema[key].dataType.simpleString()
 
+    names = [key, "rank", "pos", "root", "own", "own_text", "found"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, around = [_steps(s) for s in selectors], [_steps(s) for s in roots or []]
+        plan = _Plan([*selectors, *(roots or [])])
+        asked, around = plan.selectors[: len(selectors)], plan.selectors[len(selectors) :]
         for b in batches:
             for start in range(0, len(b), 256):
-                part, rows = b.slice(start, 256), []
+                part = b.slice(start, 256)
+                rows, own, own_text, attrs, inner, each, every = [], _Maps(), [], _Maps(), [], [0], [0]
                 for at, text in enumerate(part.column(1).to_pylist()):
-                    page = _Found(text or "")
-                    hits = [page.select(s) for s in asked] if page.nodes else [[] for _ in asked]
-                    some = lambda low, high: [[{"attrs": list(page.attrs[n].items()), "inner": page.inner(n)} for n in h[bisect_right(h, low) : bisect_right(h, high)][:k]] for h in hits]
-                    if roots is None:
-                        rows.append((at, 0, 0, -1, None, None, some(-1, len(page.nodes))))
-                    for rank, steps in enumerate(around):
-                        for pos, n in enumerate(page.select(steps)):
-                            rows.append((at, rank, pos, n, list(page.attrs[n].items()), page.inner(n), some(n, page.nodes[n][6])))
+                    page = _Found(text or "", plan)
+                    hits = [page.select(s) for s in asked]
+                    places = [(0, 0, -1)] if roots is None else [(rank, pos, n) for rank, steps in enumerate(around) for pos, n in enumerate(page.select(steps))]
+                    for rank, pos, root in places:
+                        rows.append((at, rank, pos, root))
+                        last = len(page.nodes)
+                        if root >= 0:
+                            last = page.nodes[root][6]
+                            own.add(page.nodes[root][7])
+                            own_text.append(page.inner(root))
+                        for h in hits:
+                            if h:
+                                low = bisect_right(h, root)
+                                for n in h[low : min(bisect_right(h, last, low), low + k)]:
+                                    attrs.add(page.nodes[n][7])
+                                    inner.append(page.inner(n))
+                            each.append(len(inner))
+                        every.append(len(each) - 1)
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]], names)
+                    some = pa.StructArray.from_arrays([attrs.column(), pa.array(inner, pa.string())], ["attrs", "inner"])
+                    found = pa.ListArray.from_arrays(pa.array(every, pa.int32()), pa.ListArray.from_arrays(pa.array(each, pa.int32()), some))
+                    mine = [pa.nulls(len(rows), pa.map_(pa.string(), pa.string())), pa.nulls(len(rows), pa.string())] if roots is None else [own.column(), pa.array(own_text, pa.string())]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int32()) for c in cols[1:]], *mine, found], names)
 
-    texts = pa.map_(pa.string(), pa.string())
-    types = [pa.int32(), pa.int32(), pa.int32(), texts, pa.string(), pa.list_(pa.list_(pa.struct([("attrs", texts), ("inner", pa.string())])))]
-    names = [key, "rank", "pos", "root", "own", "own_text", "found"]
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.select(key, html).repartition(n, key).mapInArrow(run, f"`{key}` {kind}, rank int, pos int, root int, {FOUND}")
+    dealt = pages.select(key, html)
+    return (dealt.repartition(n, key) if deal else dealt).mapInArrow(run, f"`{key}` {kind}, rank int, pos int, root int, {FOUND}")
 
 
 def first_text(places: list[int]) -> Column:
